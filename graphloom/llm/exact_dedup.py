@@ -43,7 +43,7 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        batch = batch.select(names)
+        batch = pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names)  # without the flags for nulls
         if last is not None:
             batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
         cell = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.uint64).reshape(-1, 4)
@@ -52,7 +52,7 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new)
         copies = np.add.reduceat(batch.column("copies").to_numpy(), first)
         out = batch.take(pa.array(first))
-        out = out.set_column(6, "copies", pa.array(copies))
+        out = pa.RecordBatch.from_arrays([*out.columns[:6], pa.array(copies)], names=names)
         if out.num_rows > 1:
             yield out.slice(0, out.num_rows - 1)
         last = out.slice(out.num_rows - 1)

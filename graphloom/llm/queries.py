@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm import bpe
 from graphloom.llm.common import documents
 from graphloom.llm.exact_dedup import exact_duplicates
 from graphloom.llm.huffman import token_files
@@ -19,6 +20,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), WORD_BPE)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), BYTE_BPE)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -28,7 +33,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_files, op7_exact_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts)}
 
 
 OP7_SQL = r"""

@@ -55,7 +55,9 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Cut every text before each ASCII white space that follows another character.
 
     Returns the bytes, chunk offsets (n + 1) over them and the number of chunks of each text. A chunk
-    is a run of white space and the run of other characters after it; an empty text has none.
+    is a run of white space and the run of other characters after it; an empty text has none. There
+    is no cut inside a run of white space that holds other spaces than ASCII's, and one more before
+    each comma or full stop after an ASCII letter.
     """
     n = len(data)
     if n == 0:
@@ -64,11 +66,24 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cut = np.empty(n, bool)
     cut[0] = True
     np.logical_and(space[1:], ~space[:-1], out=cut[1:])
+    at = np.flatnonzero(cut[1:] & (data[:-1] >= 0x80)) + 1
+    if len(at):
+        cut[at[_wide_space_before(data, at)]] = False
+    cut[1:] |= LETTER[data[:-1]] & STOP[data[1:]]
     cut[offsets[:-1][offsets[:-1] < n]] = True
     starts = np.flatnonzero(cut)
     return data, np.append(starts, n), np.diff(np.searchsorted(starts, offsets))
 
 
+def _wide_space_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each position is white space outside ASCII."""
+    a, b, c = (data[np.maximum(at - k, 0)].astype(np.int32) for k in (3, 2, 1))
+    two = (b << 8) | c
+    three = (a << 16) | two
+    general = (three >= 0xE28080) & (three <= 0xE2808A)
+    return np.isin(two, [0xC285, 0xC2A0]) | general | np.isin(three, [0xE19A80, 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
+
+
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Like ``chunks`` for tokenizers that drop white space and case: words without the space.
 
