@@ -142,7 +142,7 @@ class ByteBPE:
         return out
 
     def split_words(self, chunk: str) -> list[str]:
-        if chunk.isascii() or max(chunk) < "ɐ":
+        if chunk.isascii() or max(chunk) < "\u0250":
             return self.split.findall(chunk)
         if self._library is None:  # the library's own tables say what is a letter in other scripts
             from tokenizers import Tokenizer

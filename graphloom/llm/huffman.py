@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import dropped, shared_dir, ship, stored, texts
 from graphloom.llm.textbatch import flat, slices
-from graphloom.llm.token_counts import dictionary
+from graphloom.llm.token_counts import dictionary, release
 
 LIMIT, STEP, BLOCK = 20, 64, 1 << 17
 
@@ -155,6 +155,7 @@ def id_counts(encoded: DataFrame) -> DataFrame:
     """token_id and n over all documents; each task sends one row for each id it met."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(0, np.int64)
         for batch in batches:
             for cell, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True):
@@ -184,6 +185,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1) -> None:
     shared = spark.sparkContext.broadcast(code)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         part, block, first = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
 
@@ -237,6 +239,7 @@ def read_documents(spark: SparkSession, at: str) -> DataFrame:
     base = spark.sparkContext.broadcast(before)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for row in range(batch.num_rows):
                 part, first, docs, sizes, marks, bits = (batch.column(c)[row] for c in ("part", "first", "doc_ids", "sizes", "marks", "bits"))

@@ -12,6 +12,7 @@ from graphloom.llm.common import documents
 from graphloom.llm.exact_dedup import exact_duplicates
 from graphloom.llm.huffman import token_files
 from graphloom.llm.token_counts import token_counts
+from graphloom.llm.toxicity import toxicity
 
 WORD_BPE, BYTE_BPE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
@@ -32,8 +33,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), WORD_BPE)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts, op10_toxicity)}
 
 
 OP7_SQL = r"""

@@ -143,7 +143,7 @@ class Dictionary:
     limit bounds memory only: a full dictionary starts anew, results stay the same.
     """
 
-    def __init__(self, encode, cut=chunks, limit: int = 1_200_000, dtype=np.uint32):
+    def __init__(self, encode, cut=chunks, limit: int = 690_000, dtype=np.uint32):
         self.encode, self.cut, self.limit, self.dtype = encode, cut, limit, dtype
         self.clear()
 
