@@ -11,6 +11,7 @@ from graphloom.llm import bpe
 from graphloom.llm.common import documents
 from graphloom.llm.exact_dedup import exact_duplicates
 from graphloom.llm.huffman import token_files
+from graphloom.llm.simhash import near_duplicates
 from graphloom.llm.token_counts import token_counts
 from graphloom.llm.toxicity import toxicity
 
@@ -33,12 +34,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), WORD_BPE)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity)}
 
 
 OP7_SQL = r"""
