@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -58,6 +59,25 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_row(df: DataFrame) -> DataFrame:
+    """``df`` with a column ``__row`` that names each row, the same whenever the frame is read.
+
+    A frame read straight from Parquet files has file and row number as metadata; any other frame is
+    stored once, numbered.
+    """
+    try:
+        return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("__row"))
+    except AnalysisException:
+        number = F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))
+        return stored(df.withColumn("__row", number), "numbered")
+
+
+def only(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``df`` (made by ``with_row``) whose ``__row`` is in ``kept``, without it."""
+    by = [df["__row"]["file"] == kept["__row"]["file"], df["__row"]["at"] == kept["__row"]["at"]]
+    return df.join(kept, by, "left_semi").drop("__row")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

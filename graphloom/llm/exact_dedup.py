@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ship, stored, texts
+from graphloom.llm.common import only, ship, stored, with_row
 
 #: The characters that normalising deletes: the space, and tab to carriage return.
 DELETED = " \t\n\x0b\x0c\r"
@@ -29,10 +29,11 @@ DELETED = " \t\n\x0b\x0c\r"
 DIGITS = 2
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, n (code points), size (of the normalised bytes), digest, row (a number of the row), stored."""
     plain = F.translate("text", DELETED, "")
-    out = texts(docs).select("doc_id", F.char_length("text").cast("long").alias("n"), F.octet_length(plain).cast("long").alias("size"), F.unhex(F.sha2(plain, 256)).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
+    out = docs.select("doc_id", *more, F.char_length("text").cast("long").alias("n"), F.octet_length(plain).cast("long").alias("size"), F.unhex(F.sha2(plain, 256)).alias("digest"), F.monotonically_increasing_id().alias("row"))
     return stored(out, "digests")
 
 
@@ -94,9 +95,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns."""
-    spark = docs.sparkSession
-    plain = F.translate(F.coalesce("text", F.lit("")), DELETED, "")
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), F.octet_length(plain).cast("long").alias("size"), F.unhex(F.sha2(plain, 256)).alias("digest"), F.col("__row").alias("row"))
-    keep = merged(rows).select(F.col("keep_row").alias("__row"))
-    return numbered.join(keep, "__row", "left_semi").select(*docs.columns)
+    numbered = with_row(docs)
+    rows = digests(numbered, "__row")
+    best = merged(rows).select(F.col("keep_row").alias("row"))
+    return only(numbered, rows.join(best, "row", "left_semi").select("__row"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import bpe
 from graphloom.llm.common import documents
+from graphloom.llm.decontam import leaks
 from graphloom.llm.exact_dedup import exact_duplicates
 from graphloom.llm.huffman import token_files
 from graphloom.llm.simhash import near_duplicates
@@ -18,6 +19,10 @@ from graphloom.llm.toxicity import toxicity
 WORD_BPE, BYTE_BPE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), WORD_BPE)
 
@@ -43,7 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity)}
 
 
 OP7_SQL = r"""

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import dropped, ship, stored, texts
+from graphloom.llm.common import dropped, only, ship, stored, texts, with_row
 from graphloom.llm.textbatch import CAPITAL, expand, flat, slices, words
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -246,10 +246,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, radius: int = RADIUS) -> Da
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One row of each component stays, that with the smallest doc_id (one of equals), all columns."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    ids = numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")).alias("who"), "text")
-    rows = stored(fingerprints(ids.select(F.col("who.row").alias("doc_id"), "text"), k).join(ids.select("who", F.col("who.row").alias("doc_id")), "doc_id"), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("who").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), radius))
-    kept = distinct.join(roots, distinct.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("who"))
-    return numbered.join(kept.select(F.col("who.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    numbered = with_row(docs)
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row.file").alias("file"), F.col("__row.at").alias("at"))
+    rows = stored(fingerprints(numbered.select(who.alias("doc_id"), "text"), k).groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(rows.select("fp"), radius))
+    kept = rows.join(roots, rows.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("who"))
+    return only(numbered, kept.select(F.struct("who.file", "who.at").alias("__row")))

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 #: ASCII white space: the space and tab, line feed, vertical tab, form feed, carriage return.
@@ -24,6 +25,8 @@ STOP[[ord(","), ord(".")]] = True
 def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array and its n + 1 offsets, counted from 0."""
     kind = np.int64 if pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type) else np.int32
+    if arr.null_count:
+        arr = pc.fill_null(arr, "")
     _, off, data = arr.buffers()
     if len(arr) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
