@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,8 +159,9 @@ def id_counts(encoded: DataFrame) -> DataFrame:
         release()
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for cell, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True):
-                got = np.bincount(_ids(cell, width))
+            for width in set(batch.column("width").to_pylist()):  # one, or two where few ids are small
+                cells = batch.column("ids").filter(pc.equal(batch.column("width"), width))
+                got = np.bincount(flat(cells)[0].view("<u2" if width == 2 else "<u4"))
                 if len(got) > len(total):
                     got[: len(total)] += total
                     total = got
