@@ -15,6 +15,7 @@ from graphloom.llm.exact_dedup import exact_duplicates
 from graphloom.llm.huffman import token_files
 from graphloom.llm.secret_scan import scan
 from graphloom.llm.simhash import near_duplicates
+from graphloom.llm.suffix_dedup import removal_digests
 from graphloom.llm.token_counts import token_counts
 from graphloom.llm.toxicity import toxicity
 
@@ -36,6 +37,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), WORD_BPE)
 
@@ -61,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat, op3_secrets, op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat, op3_secrets, op4_suffix_dedup, op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity)}
 
 
 OP7_SQL = r"""

@@ -57,7 +57,8 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     plain = F.regexp_replace(F.base64(F.unhex(digest)), "[=\r\n]", "")
     made = spark.range(RANDOM).select(F.explode(F.array(digest, plain, F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)), F.substring(F.translate(plain, "+/", "_-"), 1, 24))).alias("token"), F.lit(1).alias("random"))
-    chosen = texts(docs).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
+    chosen = texts(docs).join(F.broadcast(ids), "doc_id")  # SAMPLE ids at most
     words = chosen.select(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w"))
     joined = F.transform("w", lambda w, i: F.concat(w, F.element_at(F.array(F.lit(""), F.lit("_"), F.lit("-"), F.lit("/")), (i % 4 + 1).cast("int")), F.initcap(F.coalesce(F.get("w", i + 1), F.lit("")))))
     ordinary = words.select(F.explode(F.concat("w", joined)).alias("token"), F.lit(0).alias("random"))
