@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from graphloom.llm.common import ship, texts
-from graphloom.llm.textbatch import Dictionary, chunks, expand, flat, slices
+from graphloom.llm.textbatch import Dictionary, chunks, expand, flat, slices, sums
 
 #: The split of byte-level BPE (fixed by the tokenizer format); white space is Unicode's White_Space.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -150,8 +150,8 @@ class ByteBPE:
             self._library = Tokenizer.from_file(self._path).pre_tokenizer
         return [chunk[a:b] for _, (a, b) in self._library.pre_tokenize_str(chunk)]
 
-    def encode(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunks, and the number for each."""
+    def encode(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the chunks, the number for each, and their order (as given)."""
         number: dict[bytes, int] = {}
         rows: list[int] = []
         per = np.zeros(len(new), np.int64)
@@ -184,14 +184,10 @@ class ByteBPE:
             row_at[places], each[places] = len(ids) - len(fixed) + np.arange(len(fixed)), 1
         else:
             row_at = at[row]
-        from graphloom.llm.textbatch import sums
-
-        return ids[expand(row_at, each)], sums(each, per)
+        return ids[expand(row_at, each)], sums(each, per), np.arange(len(new))
 
     def spell(self, ids: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that the ids of each document stand for, and their number."""
-        from graphloom.llm.textbatch import sums
-
         lens = self.token_len[ids]
         return self.token_bytes[expand(self.token_at[ids], lens)], sums(lens, per)
 

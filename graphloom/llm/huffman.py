@@ -23,13 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import dropped, shared_dir, ship, stored, texts
-from graphloom.llm.textbatch import flat, slices
+from graphloom.llm.textbatch import DISTINCT_BYTES, flat, slices
 from graphloom.llm.token_counts import dictionary, release
 
 LIMIT, STEP, BLOCK = 20, 64, 1 << 17
@@ -131,21 +130,26 @@ class Code:
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens and ids (unsigned 16-bit where the vocabulary allows, else 32-bit) of each document."""
+    """doc_id, n_tokens and ids (unsigned 16-bit where the vocabulary allows, else 32-bit) of each document.
+
+    ``counts`` has how often each id occurs in a batch, on the batch's first row.
+    """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", DISTINCT_BYTES):
             ids, per = dictionary(path).encoded(*flat(batch.column("text")))
             ids = np.insert(ids, np.cumsum(per), end_id)
             small = "<u2" if len(ids) == 0 or ids.max() < 1 << 16 else "<u4"
             raw, ends = ids.astype(small).tobytes(), np.append(0, np.cumsum(per + 1))
             width = np.dtype(small).itemsize
             cells = [raw[a * width : b * width] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array((per + 1).astype(np.int64)), pa.array(cells, pa.binary()), pa.array(np.full(len(per), width, np.int32))], names=["doc_id", "n_tokens", "ids", "width"])
+            counts = [np.bincount(ids).astype("<u4").tobytes(), *[None] * (len(per) - 1)]
+            cols = [batch.column("doc_id"), pa.array((per + 1).astype(np.int64)), pa.array(cells, pa.binary()), pa.array(np.full(len(per), width, np.int32)), pa.array(counts, pa.binary())]
+            yield pa.record_batch(cols, names=["doc_id", "n_tokens", "ids", "width", "counts"])
 
-    return texts(docs).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids binary, width int")
+    return texts(docs).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids binary, width int, counts binary")
 
 
 def _ids(cell: bytes, width: int) -> np.ndarray:
@@ -153,15 +157,14 @@ def _ids(cell: bytes, width: int) -> np.ndarray:
 
 
 def id_counts(encoded: DataFrame) -> DataFrame:
-    """token_id and n over all documents; each task sends one row for each id it met."""
+    """token_id and n over all documents: the batches' counts, added up by task and then over all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for width in set(batch.column("width").to_pylist()):  # one, or two where few ids are small
-                cells = batch.column("ids").filter(pc.equal(batch.column("width"), width))
-                got = np.bincount(flat(cells)[0].view("<u2" if width == 2 else "<u4"))
+            for cell in batch.column("counts").to_pylist():
+                got = np.frombuffer(cell, "<u4").astype(np.int64)
                 if len(got) > len(total):
                     got[: len(total)] += total
                     total = got
@@ -170,7 +173,7 @@ def id_counts(encoded: DataFrame) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["token_id", "n"])
 
-    return encoded.select("ids", "width").mapInArrow(count, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+    return encoded.select("counts").where("counts is not null").mapInArrow(count, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1) -> None:

@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+#: Where the work is on distinct pieces, of which larger slices have fewer a byte.
+DISTINCT_BYTES = 8 << 20
 #: ASCII white space: the space and tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -142,11 +144,12 @@ def expand(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 class Dictionary:
     """What a function gives for distinct chunks, kept for the worker's life up to ``limit`` chunks.
 
-    ``encode`` takes a list of byte strings and returns all their ids and the number for each. The
-    limit bounds memory only: a full dictionary starts anew, results stay the same.
+    ``encode`` takes a list of byte strings and returns all their ids, the number for each, and in
+    which order they come (positions in the list). The limit bounds memory only: a full dictionary
+    starts anew, results stay the same.
     """
 
-    def __init__(self, encode, cut=chunks, limit: int = 690_000, dtype=np.uint32):
+    def __init__(self, encode, cut=chunks, limit: int = 600_000, dtype=np.uint32):
         self.encode, self.cut, self.limit, self.dtype = encode, cut, limit, dtype
         self.clear()
 
@@ -160,11 +163,13 @@ class Dictionary:
     def rows(self, distinct: list[bytes]) -> np.ndarray:
         if len(self.known) + len(distinct) > self.limit:
             self.clear()
-        known = self.known
-        new = [x for x in distinct if x not in known]
-        if new:
-            ids, lens = self.encode(new)
-            total, n = len(ids), len(known)
+        get = self.known.get
+        out = np.fromiter((get(x, -1) for x in distinct), np.int64, len(distinct))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = [distinct[k] for k in missing.tolist()]
+            ids, lens, order = self.encode(new)
+            total, n = len(ids), len(self.known)
             while n + len(new) > len(self.at):
                 self.at, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.len))
             while self.used + total > len(self.ids):
@@ -173,8 +178,11 @@ class Dictionary:
             self.at[n : n + len(new)] = self.used + np.cumsum(lens) - lens
             self.ids[self.used : self.used + total] = ids
             self.used += total
-            known.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.fromiter((known[x] for x in distinct), np.int64, len(distinct))
+            place = np.empty(len(new), np.int64)
+            place[order] = np.arange(n, n + len(new))
+            self.known.update(zip(new, place.tolist(), strict=True))
+            out[missing] = place
+        return out
 
     def codes(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Row of each chunk."""

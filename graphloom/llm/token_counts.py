@@ -11,6 +11,7 @@ model joins words over spaces, so its texts go to the library whole.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import ship, texts
-from graphloom.llm.textbatch import Dictionary, flat, pieces, slices
+from graphloom.llm.textbatch import DISTINCT_BYTES, Dictionary, flat, pieces, slices
 
 LIMIT = 2048
 _made: dict[str, object] = {}
@@ -49,35 +50,50 @@ def cuts_at_space(tok) -> bool:
     return lone and not kept and apart and bool(tok.get_added_tokens_decoder())
 
 
-def joined(tok):
+def plain_only(path: str):
+    """The tokenizer for words that normalising and splitting leave as they are, without those steps.
+
+    None if it does not give the same ids as the whole tokenizer.
+    """
+    from tokenizers import pre_tokenizers
+
+    whole, bare = tokenizer(path), tokenizer(path)
+    bare.normalizer = None
+    bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    probe = ["a", "word", "straße", "été", "ñandú", "internationalisation"]
+    same = all(bare.encode(w, add_special_tokens=False).ids == whole.encode(w, add_special_tokens=False).ids for w in probe)
+    return bare if same else None
+
+
+def is_plain(word: str) -> bool:
+    """Lower-case Latin letters only, composed."""
+    return word.isalpha() and word.islower() and (word.isascii() or (max(word) < "\u0250" and unicodedata.is_normalized("NFC", word)))
+
+
+def joined(path: str):
     """Batch encoding of many pieces: joined by a special string, whose id marks the ends.
 
-    Pieces that hold the start of a special string themselves are encoded one by one.
+    Plain words go to the tokenizer without its normaliser and splitter; pieces that hold a part of a
+    special string are encoded one by one.
     """
-    marks = sorted((i, x.content) for i, x in tok.get_added_tokens_decoder().items() if x.special)
-    mark, text = marks[0]
+    tok, bare = tokenizer(path), plain_only(path)
+    mark, text = min((i, x.content) for i, x in tok.get_added_tokens_decoder().items() if x.special)
 
-    def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        odd = {k for k, x in enumerate(new) if b"<" in x or b"|" in x or b">" in x}
-        plain = [x.decode() for k, x in enumerate(new) if k not in odd] if odd else [x.decode() for x in new]
-        runs = tok.encode_batch_fast([text.join(plain[i : i + 500]) for i in range(0, len(plain), 500)], add_special_tokens=False)
+    def run(t, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        runs = t.encode_batch_fast([text.join(words[i : i + 500]) for i in range(0, len(words), 500)], add_special_tokens=False)
         ids = np.concatenate([np.array(x, np.uint32) for r in runs for x in (r.ids, [mark])] or [np.zeros(0, np.uint32)])
-        ends = np.flatnonzero(ids == mark)
-        lens = np.diff(np.append(-1, ends)) - 1
-        ids = ids[ids != mark]
-        if odd:
-            first = np.cumsum(lens) - lens
-            singles = {k: tok.encode(new[k].decode(), add_special_tokens=False).ids for k in odd}
-            order, at = [], 0
-            for k in range(len(new)):
-                if k in odd:
-                    order.append(np.array(singles[k], np.uint32))
-                else:
-                    order.append(ids[first[at] : first[at] + lens[at]])
-                    at += 1
-            lens = np.array([len(x) for x in order], np.int64)
-            ids = np.concatenate(order)
-        return ids, lens
+        return ids[ids != mark], np.diff(np.append(-1, np.flatnonzero(ids == mark))) - 1
+
+    def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = [x.decode() for x in new]
+        group: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for k, w in enumerate(words):
+            group[0 if bare is not None and is_plain(w) else 2 if "<" in w or "|" in w or ">" in w else 1].append(k)
+        single = [tok.encode(words[k], add_special_tokens=False).ids for k in group[2]]
+        alone = np.array([i for x in single for i in x], np.uint32), np.array([len(x) for x in single], np.int64)
+        parts = [run(bare, [words[k] for k in group[0]]), run(tok, [words[k] for k in group[1]]), alone]
+        ids, lens = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
+        return ids, lens, np.array(group[0] + group[1] + group[2], np.int64)
 
     return encode
 
@@ -85,10 +101,9 @@ def joined(tok):
 def dictionary(path: str) -> Dictionary:
     """The worker's dictionary of encoded pieces for a tokenizer that ``cuts_at_space``."""
     if path not in _made:
-        tok = tokenizer(path)
-        if not cuts_at_space(tok):
+        if not cuts_at_space(tokenizer(path)):
             raise ValueError(f"{path}: its tokens can span white space")
-        _made[path] = Dictionary(joined(tok), pieces)
+        _made[path] = Dictionary(joined(path), pieces)
     return _made[path]
 
 
@@ -124,7 +139,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     cut = path.endswith(".json") and cuts_at_space(tokenizer(path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", DISTINCT_BYTES):
             column = batch.column("text")
             data, offsets = flat(column)
             if cut:
