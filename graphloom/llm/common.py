@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -59,17 +59,18 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def with_row(df: DataFrame) -> DataFrame:
-    """``df`` with a column ``__row`` that names each row, the same whenever the frame is read.
+def with_row(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` of ``df`` (all by default) with ``__row``, which names each row, the same at every reading.
 
     A frame read straight from Parquet files has file and row number as metadata; any other frame is
     stored once, numbered.
     """
+    columns = columns or ("*",)
     try:
-        return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("__row"))
+        return df.select(*columns, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("__row"))
     except AnalysisException:
         number = F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))
-        return stored(df.withColumn("__row", number), "numbered")
+        return stored(df.select(*columns).withColumn("__row", number), "numbered")
 
 
 def only(df: DataFrame, kept: DataFrame) -> DataFrame:

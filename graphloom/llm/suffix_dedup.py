@@ -18,15 +18,14 @@ What was found goes back to all places of a segment, and each document's spans a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import dropped, ship, stored
-from graphloom.llm.common import with_row as located
+from graphloom.llm.common import dropped, ship, stored, with_row
 from graphloom.llm.decontam import _MIX, _POWERS, mixed
 from graphloom.llm.suffix_sort import Scratch, sorted_suffixes
 from graphloom.llm.textbatch import flat, slices
@@ -39,7 +38,7 @@ _PLACE = np.uint64((1 << 24) - 1)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Text number, start in it, length, anchor hash and digest of every segment."""
+    """Text number, start in it, place of the anchor, length, anchor hash and digest of every segment."""
     out = []
     for a in range(0, max(1, len(data) - span + 1), _PIECE):
         out.append(_segments(data[a : a + _PIECE + span - 1], offsets - a, span, gram))
@@ -50,7 +49,7 @@ def _segments(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tu
     n = len(data)
     if n < span:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
+        return z, z, z, z, z.astype(np.uint64), z.astype(np.uint64)
     up, down = _POWERS.get(n)
     sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up))
     hashes = mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
@@ -67,27 +66,30 @@ def _segments(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tu
     window = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
     if not len(window):
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
+        return z, z, z, z, z.astype(np.uint64), z.astype(np.uint64)
     place = (least[window] & _PLACE).astype(np.int64)
     head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)))
     start, end = window[head], window[np.append(head[1:], len(window)) - 1] + span
     digest = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _MIX)
     text = np.searchsorted(offsets, start, side="right") - 1
-    return text, start - offsets[text], end - start, hashes[place[head]], digest
+    return text, start - offsets[text], place[head] - start, end - start, hashes[place[head]], digest
 
 
 PLACES = "row long, at long, anchor long, digest long"
-_LENGTH_BITS = 12  # a segment is at most 2 * SPAN - GRAM + ... < 4096 bytes long
+#: In ``at``: the segment's start, the anchor's place in it and its length, the last two in so many bits.
+_BITS = 12
+#: An anchor with more different segments than this is dealt out by the bytes beside it.
+CROWD = 256
 
 
 def places(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """Every segment: row, at (start and length in one number), anchor, digest."""
+    """Every segment: row, at (start, anchor's place and length in one number), anchor, digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            text, start, length, anchor, digest = segments(*flat(batch.column("text")), span, gram)
+            text, start, place, length, anchor, digest = segments(*flat(batch.column("text")), span, gram)
             row = batch.column("row").take(pa.array(text))
-            yield pa.record_batch([row, pa.array((start << _LENGTH_BITS) | length), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))], names=["row", "at", "anchor", "digest"])
+            yield pa.record_batch([row, pa.array((start << 2 * _BITS) | (place << _BITS) | length), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))], names=["row", "at", "anchor", "digest"])
 
     return docs.mapInArrow(run, PLACES)
 
@@ -120,16 +122,26 @@ def counted(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "anchor long, digest long, n long, row long, at long")
 
 
-def repeated_in(texts: list[bytes], span: int = SPAN, memory: int = MEMORY, names: int = NAMES) -> list[list[tuple[int, int]]]:
-    """For each text the spans covered by strings of ``span`` bytes that start at another place of these texts too."""
+def repeated_in(texts: Iterable[bytes], span: int = SPAN, memory: int = MEMORY, names: int = NAMES) -> list[list[tuple[int, int]]]:
+    """For each text the spans covered by strings of ``span`` bytes that start at another place of these texts too.
+
+    The texts go to a file as they come; it is read whole only if it is no longer than ``memory``.
+    """
     scratch = Scratch(memory)
     try:
-        size = np.array([len(t) for t in texts], np.int64)
+        name, sizes = scratch.path(), []
+        with open(name, "wb") as f:
+            for t in texts:
+                f.write((np.frombuffer(t, np.uint8) + np.uint8(1)).tobytes())  # UTF-8 has no byte 255; 0 separates
+                f.write(b"\0")
+                sizes.append(len(t))
+        size = np.array(sizes, np.int64)
         first = np.cumsum(size + 1) - size - 1
-        text = scratch.array(int((size + 1).sum()), np.uint8)
-        for t, a in zip(texts, first.tolist(), strict=True):
-            text[a : a + len(t)] = np.frombuffer(t, np.uint8) + np.uint8(1)  # UTF-8 has no byte 255; 0 separates
-        repeated = scratch.array(len(text), np.bool_)
+        total = int((size + 1).sum())
+        if not total:
+            return []
+        text = np.fromfile(name, np.uint8) if total <= memory else np.memmap(name, np.uint8, "r")
+        repeated = scratch.array(total, np.bool_)
         last = -1
         for pos, lcp in sorted_suffixes(text, span, scratch, names):
             same = np.flatnonzero(lcp >= span)
@@ -160,13 +172,17 @@ def shared_parts(wanted: DataFrame, span: int) -> DataFrame:
     """(anchor, digest, spans) of the segments (anchor, digest, bytes) of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        anchor, digest = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("anchor", "digest"))
-        texts = [x for b in got for x in b.column("bytes").to_pylist()]
-        got = []
-        spans = repeated_in(texts, span)
+        own: dict[tuple[int, int], None] = {}  # in order; both sides of a crowded segment may be here
+
+        def texts() -> Iterator[bytes]:
+            for batch in batches:
+                for key, text in zip(zip(batch.column("anchor").to_pylist(), batch.column("digest").to_pylist(), strict=True), batch.column("bytes"), strict=True):
+                    if key not in own:
+                        own[key] = None
+                        yield text.as_py()
+
+        spans = repeated_in(texts(), span)
+        anchor, digest = np.array(list(own), np.int64).reshape(-1, 2).T
         hit = [k for k, s in enumerate(spans) if s]
         rows = pa.array([[{"start": a, "end": b} for a, b in spans[k]] for k in hit], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         yield pa.record_batch([pa.array(anchor[hit]), pa.array(digest[hit]), rows], names=["anchor", "digest", "spans"])
@@ -177,25 +193,13 @@ def shared_parts(wanted: DataFrame, span: int) -> DataFrame:
 def numbered(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty) and row, a number for each row that is the same at every reading."""
     spark = docs.sparkSession
-    named = located(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))) if not _is_file(docs) else docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("__row"))
-    if not _is_file(docs):
-        return named.select("doc_id", "text", F.col("__row.at").alias("row"))
-    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())  # a row for each file of the table
-    table = spark.createDataFrame([(f, k) for k, f in enumerate(files)] or [("", 0)], "file string, k long")
+    named = with_row(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    files = sorted(r[0] for r in named.select("__row.file").distinct().collect())  # a row for each file of the table
+    table = spark.createDataFrame([(f, k) for k, f in enumerate(files)], "file string, k long")
     return named.join(F.broadcast(table), named["__row"]["file"] == table["file"]).select("doc_id", "text", (F.shiftleft("k", 38) + F.col("__row.at")).alias("row"))
 
 
-def _is_file(docs: DataFrame) -> bool:
-    from pyspark.sql.utils import AnalysisException
-
-    try:
-        docs.select("_metadata.row_index").schema  # noqa: B018
-        return True
-    except AnalysisException:
-        return False
-
-
-def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """row and spans (array of start, end in bytes, unordered, may overlap) of each numbered row that has any."""
     spark = docs.sparkSession
     ship(spark)
@@ -205,17 +209,23 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     groups = counted(found).repartition(parts, "anchor").groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at")).alias("who"))
     groups = stored(groups.withColumn("at", F.col("who.at")).withColumn("row", F.col("who.row")).drop("who"), "groups")
     by_anchor = groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"))
-    mixed_up = by_anchor.where("kinds > 1 and fewest = 1").select("anchor")
-    cut = groups.join(mixed_up, "anchor", "left_semi").groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "at")).alias("cut"))
-    size = F.lit((1 << _LENGTH_BITS) - 1)
+    mixed_up = by_anchor.where("kinds > 1 and fewest = 1").select("anchor", (F.col("kinds") > crowd).alias("crowded"))
+    cut = groups.join(mixed_up, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "at", "crowded")).alias("cut"))
+    low = (1 << _BITS) - 1
     fetched = docs.select("row", "text").join(cut, "row").select(F.col("text").cast("binary").alias("bytes"), F.explode("cut").alias("s"))
-    fetched = fetched.select("s.anchor", "s.digest", F.expr(f"substring(bytes, cast(shiftright(s.at, {_LENGTH_BITS}) as int) + 1, cast(s.at & {(1 << _LENGTH_BITS) - 1} as int))").alias("bytes"))
-    partly = shared_parts(fetched.repartition(parts, "anchor"), span)
-    whole = groups.where("n > 1").select("anchor", "digest", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("at").bitwiseAND(size).alias("end"))).alias("spans"))
+    fetched = fetched.select("s.anchor", "s.digest", "s.crowded", F.expr(f"cast(shiftright(s.at, {_BITS}) & {low} as int)").alias("place"), F.expr(f"substring(bytes, cast(shiftright(s.at, {2 * _BITS}) as int) + 1, cast(s.at & {low} as int))").alias("bytes"))
+    # a window has half of what the anchor leaves on one side of it at least: equal windows share that side's bytes
+    half = (span - gram) // 2
+    left = F.when(F.col("place") >= half, F.xxhash64(F.lit("left"), "anchor", F.expr(f"substring(bytes, place + 1 - {half}, {half})")))
+    right = F.when(F.octet_length("bytes") >= F.col("place") + gram + half, F.xxhash64(F.lit("right"), "anchor", F.expr(f"substring(bytes, place + {gram} + 1, {half})")))
+    shards = F.when(F.col("crowded"), F.array_compact(F.array(left, right))).otherwise(F.array(F.xxhash64("anchor")))
+    dealt = fetched.select("anchor", "digest", "bytes", F.explode(shards).alias("shard"))
+    partly = shared_parts(dealt.repartition(parts, "shard"), span).groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    whole = groups.where("n > 1").select("anchor", "digest", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("at").bitwiseAND(low).alias("end"))).alias("spans"))
     known = stored(whole.union(partly.join(whole, ["anchor", "digest"], "left_anti")), "known")
     dropped(groups)
     spark.sparkContext._jvm.System.gc()  # lets the driver's cleaner drop shuffle files that are done with
-    start = F.shiftright("at", _LENGTH_BITS)
+    start = F.shiftright("at", 2 * _BITS)
     hits = found.join(known, ["anchor", "digest"]).select("row", F.transform("spans", lambda s: F.struct((s["start"] + start).alias("start"), (s["end"] + start).alias("end"))).alias("spans"))
     return hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -263,7 +273,7 @@ def _digest(batch: pa.RecordBatch) -> list[pa.Array]:
 
 
 def _cut(docs: DataFrame, span: int, gram: int, make, schema: str) -> DataFrame:
-    if not gram < span < 1 << (_LENGTH_BITS - 1):
+    if not gram < span < 1 << (_BITS - 1):
         raise ValueError("an anchor must be shorter than a span, and a span under 2048 bytes")
     rows = numbered(docs)
     spans = repeated_spans(rows, span, gram)
