@@ -46,12 +46,35 @@ def spans(text: Column, pattern: str, keep=None) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,size:int>>"))
 
 
+def library_names() -> list[str]:
+    """Identifiers as people write them: the public names of some of the standard library's modules."""
+    import argparse
+    import ast
+    import asyncio
+    import collections
+    import concurrent.futures
+    import email.message
+    import http.client
+    import logging
+    import os
+    import socket
+    import ssl
+    import subprocess
+    import threading
+    import unittest
+    import urllib.parse
+
+    modules = (argparse, ast, asyncio, collections, concurrent.futures, email.message, http.client, logging, os, socket, ssl, subprocess, threading, unittest, urllib.parse)
+    names = {n for m in modules for n in dir(m)} | {n for m in modules for c in vars(m).values() if isinstance(c, type) for n in dir(c)}
+    return sorted(n for n in names if n.isascii() and not n.startswith("__"))
+
+
 def labelled_samples(docs: DataFrame) -> DataFrame:
     """token and random (1 or 0): random strings by rule, and ordinary words of a bounded sample of ``docs``.
 
-    Random strings are base64 and hexadecimal forms of SHA-256 values. Ordinary identifiers are the
-    words of the sampled texts, alone and joined in the ways identifiers are: with an underscore, a
-    hyphen, or a capital.
+    Random strings are base64 and hexadecimal forms of SHA-256 values. Ordinary identifiers are names
+    of the standard library, and the words of the sampled texts, alone and joined in the ways
+    identifiers are: with an underscore, a hyphen, a slash, or a capital.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
@@ -62,7 +85,8 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     words = chosen.select(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w"))
     joined = F.transform("w", lambda w, i: F.concat(w, F.element_at(F.array(F.lit(""), F.lit("_"), F.lit("-"), F.lit("/")), (i % 4 + 1).cast("int")), F.initcap(F.coalesce(F.get("w", i + 1), F.lit("")))))
     ordinary = words.select(F.explode(F.concat("w", joined)).alias("token"), F.lit(0).alias("random"))
-    return made.union(ordinary)
+    names = spark.range(1).select(F.explode(F.split(F.lit(",".join(library_names())), ",")).alias("token"), F.lit(0).alias("random"))
+    return made.union(ordinary).union(names)
 
 
 def ratios(samples: DataFrame, spark: SparkSession) -> list[float]:
