@@ -83,7 +83,7 @@ def file_inventory(files: DataFrame, n: int) -> DataFrame:
 
 def reading_order(entries: DataFrame, routines: DataFrame, models: DataFrame, cyclic: DataFrame, hubs: int = 5) -> DataFrame:
     """step, title: three entry points, the first routines, the data models, the cycles."""
-    a = entries.orderBy("ord").limit(3).select(F.lit(1).alias("part"), F.col("ord").cast("long").alias("ord"), F.concat(F.lit("Start at the entry point "), F.col("name").cast("string")).alias("title"))
+    a = entries.orderBy("ord").limit(3).select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("ord")).cast("long").alias("ord"), F.concat(F.lit("Start at the entry point "), F.col("name").cast("string")).alias("title"))
     b = routines.orderBy("rank").limit(hubs).select(F.lit(2).alias("part"), F.col("rank").cast("long").alias("ord"), F.concat(F.lit("Read "), "qualified").alias("title"))
     c = models.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(3).alias("part"), F.lit(1).cast("long").alias("ord"), F.lit("Understand the data layer").alias("title"))
     d = cyclic.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(4).alias("part"), F.lit(1).cast("long").alias("ord"), F.lit("Treat the cycle groups as hazardous").alias("title"))

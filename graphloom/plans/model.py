@@ -77,8 +77,7 @@ class Model:
     @cached_property
     def entries(self) -> DataFrame:
         e = self.records.where("record = 'entry'").select(F.col("id").alias("symbol_id"), "type", F.col("entry").alias("kind"), "file_path", F.col("line_start").alias("line"))
-        ord_ = F.row_number().over(Window.orderBy("file_path", "line", "symbol_id"))
-        return resolve.entry_points(e.withColumn("ord", ord_), self.symbols)
+        return resolve.entry_points(e.withColumn("ord", F.struct("file_path", "line", "symbol_id")), self.symbols)
 
     @cached_property
     def enriched(self) -> DataFrame:

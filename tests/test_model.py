@@ -147,7 +147,7 @@ def test_dynamic_families(spark):
 def test_patches(spark):
     rows = spark.createDataFrame([("a.py", "f", 2, "def f():\n    g()\n"), ("b.ts", "h", 9, "")], "file string, symbol string, line int, content string")
     got = {r["file"]: r for r in ripple.patches(rows, "g", "DELETION").collect()}
-    assert got["a.py"]["patched_content"].splitlines()[1].startswith("    # TODO(ripple-agent)")
+    assert got["a.py"]["patched_content"].splitlines()[1].startswith("    # TODO: verify")
     assert got["b.ts"]["patched_content"].startswith("// TODO") and "+" in got["a.py"]["diff"]
 
 
