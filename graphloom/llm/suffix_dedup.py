@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import dropped, ship, stored, with_row
@@ -207,10 +207,11 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: i
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # counts by task, then over all; both groupings keep the partitioning by anchor
     groups = counted(found).repartition(parts, "anchor").groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at")).alias("who"))
-    groups = stored(groups.withColumn("at", F.col("who.at")).withColumn("row", F.col("who.row")).drop("who"), "groups")
-    by_anchor = groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"))
-    mixed_up = by_anchor.where("kinds > 1 and fewest = 1").select("anchor", (F.col("kinds") > crowd).alias("crowded"))
-    cut = groups.join(mixed_up, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "at", "crowded")).alias("cut"))
+    own = Window.partitionBy("anchor")
+    groups = groups.select("anchor", "digest", "n", "who.*", F.count("*").over(own).alias("kinds"), F.min("n").over(own).alias("fewest"))
+    # a lone segment of its anchor that occurs once shares nothing; where all kinds repeat, they are known as they stand
+    groups = stored(groups.where("n > 1 or (kinds > 1 and fewest = 1)"), "groups")
+    cut = groups.where("kinds > 1 and fewest = 1").groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "at", (F.col("kinds") > crowd).alias("crowded"))).alias("cut"))
     low = (1 << _BITS) - 1
     fetched = docs.select("row", "text").join(cut, "row").select(F.col("text").cast("binary").alias("bytes"), F.explode("cut").alias("s"))
     fetched = fetched.select("s.anchor", "s.digest", "s.crowded", F.expr(f"cast(shiftright(s.at, {_BITS}) & {low} as int)").alias("place"), F.expr(f"substring(bytes, cast(shiftright(s.at, {2 * _BITS}) as int) + 1, cast(s.at & {low} as int))").alias("bytes"))
