@@ -152,3 +152,29 @@ RAW_CALLS, IMPORTS, SYMBOLS, SCC_GROUPS, PIVOTAL, MODULE_EDGES, LAYER, DOC = 80,
 FLOWS, FLOW_DEPTH, FLOW_FAN, FLOW_CHAINS, FLOW_HUBS = 12, 4, 2, 2, 8
 CALLER_DETAILS, LEDGER_CAP = 25, 40
 FUNCTION_KINDS, CLASS_KINDS = ("function", "method"), ("class", "interface", "type", "struct")
+
+# Called names that hide calls, with how serious each is.
+RISKY_CALLS = {"eval": "HIGH", "exec": "HIGH", "__import__": "HIGH", "getattr": "MED", "setattr": "MED", "importlib.import_module": "HIGH", "vars": "LOW", "locals": "LOW", "globals": "LOW"}
+
+# Subsystems and the words that suggest them.
+SUBSYSTEMS = {
+    "Backend": ("api", "route", "server", "handler", "controller", "middleware"),
+    "Desktop": ("window", "dialog", "widget", "gui", "app", "frame"),
+    "Storage": ("db", "database", "repo", "repository", "model", "schema", "orm", "query"),
+    "Inference": ("model", "predict", "train", "infer", "embedding", "tensor", "neural"),
+    "CLI": ("cli", "args", "argv", "argparse", "click", "command"),
+    "Testing": ("test", "spec", "mock", "fixture", "assert"),
+    "Utilities": ("util", "helper", "common", "shared", "base"),
+}
+
+# Words that are no symbols when looked up under a cursor.
+KEYWORDS = (
+    "if", "else", "elif", "while", "for", "in", "of", "do", "switch", "case", "break", "continue", "return", "yield", "try", "catch", "finally", "except", "raise", "throw",
+    "import", "from", "as", "export", "default", "package", "const", "let", "var", "def", "class", "func", "type", "interface", "struct", "enum", "true", "false",
+    "null", "undefined", "nil", "none", "self", "this", "super", "new", "delete", "async", "await", "public", "private", "protected", "static", "readonly",
+)
+
+# Heads of definitions by language, for text that isn't parsed.
+TEXT_FUNCTION = {"python": r"^\s*(?:async\s+)?def\s+([a-zA-Z_]\w*)\s*\(", "typescript": r"(?:export\s+)?(?:async\s+)?function\s+([a-zA-Z_]\w*)\s*\(", "go": r"^\s*func\s+(?:\([^)]+\)\s+)?([a-zA-Z_]\w*)\s*\("}
+FAN_IN_WEIGHT, MOST_COMPLEXITY, UNUSUAL_BONUS = 3, 20, 2
+DEFINITION_LINES = 35

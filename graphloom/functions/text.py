@@ -265,3 +265,40 @@ def comment_prefix(path: Column | str) -> Column:
     ext = F.lower(F.regexp_extract(col(path), r"(\.[^./]+)$", 1))
     slashes = (".ts", ".tsx", ".js", ".jsx", ".go", ".java", ".c", ".cpp", ".cc", ".cxx", ".h", ".hpp", ".rs", ".cs", ".swift", ".kt")
     return F.when(ext.isin(*slashes), "//").when(ext.isin(".sql", ".lua"), "--").otherwise("#")
+
+
+def language_display(path: Column | str) -> Column:
+    """The language's name as people write it, ``-`` for unknown ones."""
+    names = {"python": "Python", "go": "Go", "typescript": "TypeScript", "javascript": "JavaScript"}
+    own = language(path)
+    out = F.lit("-")
+    for k, v in names.items():
+        out = F.when(own == k, v).otherwise(out)
+    return out
+
+
+def attribution(author: Column | str, pr_number: Column | str, commit: Column | str) -> Column:
+    """The strongest source that the evidence supports."""
+    source = provenance(pr_number, commit, "no linked pull request or commit")
+    who = F.trim(F.coalesce(col(author), F.lit("")))
+    return F.when(who != "", F.concat(F.lit("Authored by "), who, F.lit(" in "), source)).otherwise(F.concat(F.lit("Source: "), source))
+
+
+def provenance(pr_number: Column | str, commit: Column | str, none: str = "No recorded history") -> Column:
+    sha = F.trim(F.coalesce(col(commit), F.lit("")))
+    return F.when(col(pr_number).isNotNull(), F.concat(F.lit("PR #"), col(pr_number).cast("string"))).when(sha != "", F.concat(F.lit("commit "), F.substring(sha, 1, 7))).otherwise(none)
+
+
+def worth_looking_up(word: Column | str) -> Column:
+    """Words of three letters or more that are no keywords."""
+    return (F.char_length(col(word)) >= 3) & ~F.lower(col(word)).isin(*fixed.KEYWORDS)
+
+
+def number_word(n: Column | str) -> Column:
+    words = ["no", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+    return F.coalesce(F.get(strings(words), F.when(col(n).between(0, 10), col(n)).cast("int")), F.format_number(col(n), 0))
+
+
+def counted(n: Column | str, noun: str) -> Column:
+    """A small count in words, its noun in number."""
+    return F.concat(number_word(n), F.lit(f" {noun}"), F.when(col(n) == 1, "").otherwise("s"))

@@ -323,15 +323,19 @@ def degree(links: DataFrame) -> DataFrame:
     return distinct.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def raw_coupling(symbols: DataFrame, calls: DataFrame, risky: tuple[str, ...] = ("eval", "exec", "compile", "getattr", "setattr", "__import__", "import_module", "globals", "locals")) -> DataFrame:
-    """id and part (leaf, dynamic) from unresolved call names: symbols (id), calls (id, callee).
+def raw_coupling(symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    """id, part (leaf, dynamic) and severity from unresolved call names: symbols (id), calls (id, callee).
 
-    A leaf has no outbound call at all; dynamic are those that call a risky name.
+    Dynamic are those that call a risky name, with the worst severity; a leaf has no call at all.
     """
-    table = calls.sparkSession.createDataFrame([(n, "HIGH" if n in ("eval", "exec", "__import__", "import_module") else "MED") for n in risky], "callee string, severity string")
-    tail = F.substring_index("callee", ".", -1)
-    dynamic = calls.withColumn("callee", tail).join(F.broadcast(table), "callee").groupBy("id").agg(F.min("severity").alias("severity")).select("id", F.lit("dynamic").alias("part"), "severity")
-    leaves = symbols.select("id").join(calls.select("id"), "id", "left_anti").join(dynamic, "id", "left_anti").select("id", F.lit("leaf").alias("part"), F.lit(None).cast("string").alias("severity"))
+    order = {"HIGH": 0, "MED": 1, "LOW": 2}
+    rank = F.lit(None).cast("int")
+    for name, severity in fixed.RISKY_CALLS.items():
+        rank = F.when(F.col("callee") == name, order[severity]).otherwise(rank)
+    risky = calls.select("id", rank.alias("rank")).where("rank is not null").groupBy("id").agg(F.min("rank").alias("rank"))
+    named = F.get(F.array(*[F.lit(x) for x in order]), F.col("rank"))
+    dynamic = risky.select("id", F.lit("dynamic").alias("part"), named.alias("severity"))
+    leaves = symbols.select("id").join(calls.select("id"), "id", "left_anti").select("id", F.lit("leaf").alias("part"), F.lit(None).cast("string").alias("severity"))
     return dynamic.union(leaves)
 
 
@@ -365,9 +369,10 @@ def tree_rows(symbols: DataFrame) -> DataFrame:
 def tree_search(rows: DataFrame, needle: str) -> DataFrame:
     """Rows whose label contains the needle in any case, with all their ancestors; a hit without hits below keeps its subtree."""
     hit = rows.where(F.contains(F.lower("label"), F.lit(needle.lower())))
+    ensure_checkpoint_dir(rows.sparkSession)
     keep, up = hit.select("node_id"), hit
-    for _ in range(16):  # as deep as paths go
-        up = rows.join(up.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct(), "node_id", "left_semi")
+    for _ in range(64):  # as deep as paths go
+        up = rows.join(up.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct(), "node_id", "left_semi").checkpoint()
         keep = keep.union(up.select("node_id"))
         if not up.limit(1).count():
             break
@@ -375,8 +380,8 @@ def tree_search(rows: DataFrame, needle: str) -> DataFrame:
     # hits with no hit among their descendants: everything below them stays
     inner = kept.join(rows.select("node_id", "parent_id"), "node_id").select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
     down = hit.select("node_id").join(inner, "node_id", "left_anti")
-    for _ in range(16):
-        down = rows.join(down.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").select("node_id")
+    for _ in range(64):
+        down = rows.join(down.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").select("node_id").checkpoint()
         if not down.limit(1).count():
             break
         kept = kept.union(down)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import fixed
+from graphloom.functions.text import outbound_calls, text_complexity, unusual_logic
+
 #: Line ends as Python's splitlines has them.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -82,3 +85,35 @@ def source_slice(content: Column | str, start: Column | str, end: Column | str,
     first = F.greatest(F.lit(1), s - pad)
     n = F.greatest(F.lit(0), F.least(F.lit(most), e + pad - first + 1))
     return F.array_join(F.slice(pieces, first, n), "\n")
+
+
+def text_functions(lines: DataFrame, most: int = fixed.DEFINITION_LINES) -> DataFrame:
+    """Functions found by their first line: name, path, line_start, line_end, code (``most`` lines at most).
+
+    ``lines`` has language; JavaScript counts as TypeScript. The code is the next lines, from a
+    window over the file.
+    """
+    lang = F.when(F.col("language") == "javascript", "typescript").otherwise(F.col("language"))
+    name = F.lit("")
+    for k, pattern in fixed.TEXT_FUNCTION.items():
+        name = F.when(lang == k, F.regexp_extract("line", pattern, 1)).otherwise(name)
+    ahead = Window.partitionBy("path").orderBy("line_no").rowsBetween(0, most - 1)
+    rows = lines.withColumn("name", name).withColumn("block", F.collect_list("line").over(ahead)).where("name <> ''")
+    return rows.select("name", "path", F.col("line_no").alias("line_start"), (F.col("line_no") + F.size("block") - 1).alias("line_end"), F.array_join("block", "\n").alias("code"))
+
+
+def cross_references(lines: DataFrame, least: int = 4) -> DataFrame:
+    """Complex or unusual functions with their call sites, best first by score; of equal names the best stays.
+
+    score is three for each other file that calls it, plus complexity up to twenty, plus two for
+    unusual logic.
+    """
+    found = text_functions(lines).where(~F.col("name").rlike(r"^__.*__$"))
+    known = found.withColumn("complexity", text_complexity("code")).withColumn("logic", unusual_logic("code")).where((F.col("complexity") >= least) | (F.size("logic") > 0))
+    sites = call_sites(lines, known.select("name", F.col("path").alias("definition_file")).distinct())
+    per = sites.join(known.select("name", F.col("path").alias("definition_file"), "line_start"), "name").groupBy("name", "definition_file", "line_start").agg(F.count("*").alias("occurrences"), F.count_distinct(F.when(F.col("path") != F.col("definition_file"), F.col("path"))).alias("fan_in_files"))
+    rows = known.withColumnRenamed("path", "definition_file").join(per, ["name", "definition_file", "line_start"], "left").fillna({"occurrences": 0, "fan_in_files": 0})
+    score = F.col("fan_in_files") * fixed.FAN_IN_WEIGHT + F.least("complexity", F.lit(fixed.MOST_COMPLEXITY)) + F.when(F.size("logic") > 0, fixed.UNUSUAL_BONUS).otherwise(0)
+    best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), F.desc("fan_in_files"), "definition_file", "line_start"))
+    scored = rows.withColumn("score", score).withColumn("k", best).where("k = 1").drop("k")
+    return scored.withColumn("outbound", outbound_calls("code"))

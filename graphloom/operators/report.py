@@ -131,3 +131,27 @@ def html(rows: list[tuple[str, DataFrame]], title: str) -> str:
         body = "".join("<tr>" + "".join(f"<td>{escape(str(v)) if v is not None else ''}</td>" for v in r) + "</tr>" for r in got)
         out.append(f"<h2>{escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
     return "".join([*out, "</body></html>"])
+
+
+def metric_cards(stats: DataFrame, detail: int) -> DataFrame:
+    """label, n: the headline numbers of a level; beyond the first four, zeros are left out."""
+    names = ["files", "symbols", "resolved_call_edges", "modules"] + (["test_functions", "production_functions", "classes"] if detail >= 2 else []) + (["methods", "unresolved_call_names"] if detail >= 3 else [])
+    rows = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(n).alias("label"), F.col(n).cast("long").alias("n")) for k, n in enumerate(names)])
+    return stats.select(F.explode(rows).alias("x")).select("x.*").where("ord < 4 or n > 0")
+
+
+def subsystems(symbols: DataFrame) -> DataFrame:
+    """Labels whose words are in some symbol's name or path."""
+    pool = F.concat_ws(" ", F.lower("name"), F.lower("file_path"))
+    hit = lambda words: F.coalesce(F.bool_or(pool.rlike("|".join(words))), F.lit(False))
+    one = symbols.agg(*[hit(w).alias(n) for n, w in fixed.SUBSYSTEMS.items()])
+    return one.select(F.explode(F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in fixed.SUBSYSTEMS]))).alias("subsystem"))
+
+
+def symbol_evidence(picks: DataFrame, symbols: DataFrame, files: DataFrame, most: int = 12, lines_most: int = 60) -> DataFrame:
+    """Picked ids with callers and callees (``most`` each), the file's history and the source."""
+    from graphloom.operators.lines import source_slice
+
+    s = symbols.join(picks.select("id"), "id", "left_semi")
+    rows = s.join(files.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
+    return rows.select("id", "qualified", F.slice("callers", 1, most).alias("callers"), F.slice("calls", 1, most).alias("calls"), source_slice("content", "line_start", "line_end", 0, lines_most).alias("source_text"))

@@ -179,7 +179,7 @@ def tree_search(spark, sf):
 @query("SELECT o_orderkey AS id, 'dynamic' AS part, CASE o_orderstatus WHEN 'F' THEN 'HIGH' ELSE 'MED' END AS severity FROM orders WHERE o_orderstatus IN ('F', 'O') UNION ALL SELECT c_custkey + 100000000, 'leaf', NULL FROM customer")
 def raw_coupling(spark, sf):
     o = table(spark, sf, "orders")
-    called = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "x.eval").when(F.col("o_orderstatus") == "O", "getattr").otherwise("plain").alias("callee"))
+    called = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "eval").when(F.col("o_orderstatus") == "O", "getattr").otherwise("plain").alias("callee"))
     leaves = table(spark, sf, "customer").select((F.col("c_custkey") + 100000000).alias("id"))
     return graph.raw_coupling(called.select("id").union(leaves), called)
 
@@ -687,6 +687,39 @@ def comments_blanked(spark, sf):
     return f.select("path", (F.char_length("blank") == F.char_length("content")).alias("same_length"), (~F.contains("blank", F.lit("# save")) & ~F.contains("blank", F.lit("Loads one row"))).alias("blanked"))
 
 
+@query("""SELECT 'f' || o_orderkey || '.py' AS definition_file, 'job_' || o_orderkey AS name, CAST(5 AS BIGINT) AS complexity, CAST(1 AS BIGINT) AS occurrences, CAST(1 AS BIGINT) AS fan_in_files, CAST(10 AS BIGINT) AS score, 'job_' || o_orderkey || ',load,save' AS outbound FROM orders""")
+def cross_reference(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    body = F.array(F.concat(F.lit("def job_"), "k", F.lit("(x):")), F.lit("    if x and load(x) or save(x):"), F.lit("        retry = 1"), F.lit("    for i in x: pass"))
+    own = o.select(F.concat(F.lit("f"), "k", F.lit(".py")).alias("path"), F.posexplode(body).alias("n", "line"))
+    other = o.select(F.concat(F.lit("g"), "k", F.lit(".py")).alias("path"), F.lit(0).alias("n"), F.concat(F.lit("job_"), "k", F.lit("(1)")).alias("line"))
+    rows = own.union(other).select("path", (F.col("n") + 1).alias("line_no"), "line", F.lit("python").alias("language"))
+    out = lines.cross_references(rows)
+    return out.select("definition_file", "name", F.col("complexity").cast("long").alias("complexity"), "occurrences", "fan_in_files", F.col("score").cast("long").alias("score"), joined("outbound").alias("outbound"))
+
+
+@query("SELECT s AS subsystem FROM (VALUES " + ", ".join(f"('{n}', (SELECT count(*) FROM part WHERE regexp_matches(lower(p_name) || ' ' || lower(p_brand || '/' || p_type), '{'|'.join(w)}')))" for n, w in fixed.SUBSYSTEMS.items()) + ") t(s, n) WHERE n > 0")
+def subsystem_labels(spark, sf):
+    return report.subsystems(st.nodes(spark, sf))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'Authored by c' || o_custkey || ' in PR #' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'Source: commit abcdefg' ELSE 'Source: no linked pull request or commit' END AS label FROM orders")
+def attribution_labels(spark, sf):
+    k = F.col("o_orderkey")
+    author, pr, sha = F.when(k % 3 == 0, F.concat(F.lit("c"), "o_custkey")), F.when(k % 3 == 0, k), F.when(k % 3 == 1, "abcdefghij")
+    return table(spark, sf, "orders").select(k.alias("id"), text.attribution(author, pr, sha).alias("label"))
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS n, CASE l_linenumber WHEN 1 THEN 'one caller' WHEN 2 THEN 'two callers' WHEN 3 THEN 'three callers' WHEN 4 THEN 'four callers' WHEN 5 THEN 'five callers' WHEN 6 THEN 'six callers' ELSE 'seven callers' END AS words FROM lineitem")
+def counted_words(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), text.counted("l_linenumber", "caller").alias("words"))
+
+
+@query("SELECT p_partkey AS id, length(p_type) >= 3 AND lower(p_type) NOT IN (" + ", ".join(quoted(k) for k in fixed.KEYWORDS) + ") AS worth FROM part")
+def lookup_guard(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.worth_looking_up("p_type").alias("worth"))
+
+
 # streams, run to their end over the table as files
 
 
