@@ -30,20 +30,23 @@ SAMPLE = 2_000
 RANDOM = 2_000
 
 
-def spans(text: Column, pattern: str, keep=None) -> Column:
-    """Array of (start, end) of the pattern's matches, in code points; ``keep`` filters by match and first group."""
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length)
+_SPAN = "array<struct<start:int,end:int,size:int,match:string>>"
+
+
+def spans(text: Column, pattern: str, by_group: bool = False) -> Column:
+    """Array of (start, end, size, match) of the pattern's matches, in code points; size is the match's or its first group's length."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), F.char_length)
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if keep == "value" else F.array().cast("array<string>")
+    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if by_group else whole
     # a fold carries (position, spans); matches are few in any text
-    pairs = F.transform(whole, lambda n, i: F.struct(F.get(between, i).alias("gap"), n.alias("n"), (F.char_length(F.get(group, i)) if keep == "value" else n).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,size:int>>").alias("found"))
+    pairs = F.transform(whole, lambda m, i: F.struct(F.get(between, i).alias("gap"), m.alias("match"), F.char_length(m).alias("n"), F.char_length(F.get(group, i)).alias("size")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
     step = lambda acc, p: F.struct(
         (acc["at"] + p["gap"] + p["n"]).alias("at"),
-        F.concat(acc["found"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["n"]).alias("end"), p["size"].alias("size")))).alias("found"),
+        F.concat(acc["found"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["n"]).alias("end"), p["size"].alias("size"), p["match"].alias("match")))).alias("found"),
     )
     found = F.aggregate(pairs, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,size:int>>"))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
 
 def library_names() -> list[str]:
@@ -124,15 +127,15 @@ def secret_spans(docs: DataFrame, samples: DataFrame | None = None, odds: float
     text = F.col("text")
     base = texts(docs).select(
         "doc_id",
-        "text",
-        F.filter(spans(text, ASSIGN, "value"), lambda s: s["size"] >= VALUE_LEAST).alias("assign"),
+        F.filter(spans(text, ASSIGN, True), lambda s: s["size"] >= VALUE_LEAST).alias("assign"),
         F.filter(spans(text, ACCESS), lambda s: s["size"] >= ACCESS_LEAST).alias("access"),
         spans(text, HEX).alias("hex"),
         spans(text, CANDIDATE).alias("candidate"),
     )
     inside = lambda s: F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    secret = lambda s: ~inside(s) & (likelihood_ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"]), table) > odds)
-    return base.select("doc_id", "assign", "access", "hex", F.filter("candidate", secret).alias("random"))
+    secret = lambda s: ~inside(s) & (likelihood_ratio(s["match"], table) > odds)
+    places = lambda c, name: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(name)
+    return base.select("doc_id", *[places(k, k) for k in KINDS[:3]], places(F.filter("candidate", secret), "random"))
 
 
 KINDS = ("assign", "access", "hex", "random")
