@@ -302,3 +302,15 @@ def number_word(n: Column | str) -> Column:
 def counted(n: Column | str, noun: str) -> Column:
     """A small count in words, its noun in number."""
     return F.concat(number_word(n), F.lit(f" {noun}"), F.when(col(n) == 1, "").otherwise("s"))
+
+
+def answer(prompt: Column | str, ladder: Sequence[tuple[Sequence[str], str]], otherwise: str) -> Column:
+    """The answer of the first rung one of whose phrases the prompt holds, in any case."""
+    low = F.lower(col(prompt))
+    out = F.lit(otherwise)
+    for phrases, text in reversed(ladder):
+        hit = F.lit(False)
+        for p in phrases:
+            hit = hit | F.contains(low, F.lit(p.lower()))
+        out = F.when(hit, text).otherwise(out)
+    return out
