@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import ship, texts
-from graphloom.llm.textbatch import expand, flat, slices
+from graphloom.llm.textbatch import expand, flat, release, slices
 
 SHINGLE, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 24, 16
 ITEM_WORDS = 2_000_000
@@ -239,6 +239,7 @@ def item_blocks(benchmark: DataFrame, most: int = ITEM_WORDS) -> Iterator[Items]
 
 def _runner(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             words, per = word_hashes(batch.column("text"))
             got = list(shared.value.search(words, per, threshold))
@@ -275,6 +276,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 def _keeper(shared, threshold: float):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             clean = np.ones(batch.num_rows, bool)
             clean[[g[0] for g in shared.value.search(*word_hashes(pc.fill_null(batch.column("text"), "")), threshold)]] = False

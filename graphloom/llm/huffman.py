@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import dropped, shared_dir, ship, stored, texts
-from graphloom.llm.textbatch import DISTINCT_BYTES, flat, slices
-from graphloom.llm.token_counts import dictionary, release
+from graphloom.llm.textbatch import DISTINCT_BYTES, flat, release, slices
+from graphloom.llm.token_counts import dictionary
 
 LIMIT, STEP, BLOCK = 20, 64, 1 << 17
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import dropped, only, ship, stored, texts, with_row
-from graphloom.llm.textbatch import CAPITAL, expand, flat, slices, words
+from graphloom.llm.textbatch import CAPITAL, expand, flat, release, slices, words
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Blocks of bits; two of them always agree within the radius. Children of a node.
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, k: int = WORDS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             fp = fingerprints_of(*flat(batch.column("text")), k)
             yield pa.record_batch([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
@@ -187,6 +188,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         got = [(b.column("fp").to_numpy(), b.column("choice").to_numpy(), b.column("bits").to_numpy()) for b in batches if b.num_rows]
         if not got:
             return

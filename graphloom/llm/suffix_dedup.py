@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import dropped, ship, stored, with_row
 from graphloom.llm.decontam import _MIX, _POWERS, mixed
 from graphloom.llm.suffix_sort import Scratch, sorted_suffixes
-from graphloom.llm.textbatch import flat, slices
+from graphloom.llm.textbatch import flat, release, slices
 
 SPAN, GRAM = 400, 200
 #: Tuples that a sorting task holds in memory, and names that it sorts there.
@@ -86,6 +86,7 @@ def places(docs: DataFrame, span: int, gram: int) -> DataFrame:
     """Every segment: row, at (start, anchor's place and length in one number), anchor, digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             text, start, place, length, anchor, digest = segments(*flat(batch.column("text")), span, gram)
             row = batch.column("row").take(pa.array(text))
@@ -98,6 +99,7 @@ def counted(found: DataFrame) -> DataFrame:
     """Rows of (anchor, digest, n, row, at): copies in a task are counted before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[pa.RecordBatch] = []
         size = 0
 
@@ -172,6 +174,7 @@ def shared_parts(wanted: DataFrame, span: int) -> DataFrame:
     """(anchor, digest, spans) of the segments (anchor, digest, bytes) of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own: dict[tuple[int, int], None] = {}  # in order; both sides of a crowded segment may be here
 
         def texts() -> Iterator[bytes]:
@@ -282,6 +285,7 @@ def _cut(docs: DataFrame, span: int, gram: int, make, schema: str) -> DataFrame:
     names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             yield pa.record_batch([batch.column("doc_id"), *make(batch)], names=names)
 

@@ -141,6 +141,16 @@ def expand(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lens), lens)
 
 
+_LIVE: list[Dictionary] = []
+
+
+def release() -> None:
+    """Empty the worker's dictionaries: a stage that needs none leaves their memory to other things."""
+    for d in _LIVE:
+        d.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Dictionary:
     """What a function gives for distinct chunks, kept for the worker's life up to ``limit`` chunks.
 
@@ -152,6 +162,7 @@ class Dictionary:
     def __init__(self, encode, cut=chunks, limit: int = 600_000, dtype=np.uint32):
         self.encode, self.cut, self.limit, self.dtype = encode, cut, limit, dtype
         self.clear()
+        _LIVE.append(self)
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}

@@ -107,14 +107,6 @@ def dictionary(path: str) -> Dictionary:
     return _made[path]
 
 
-def release() -> None:
-    """Empty the worker's dictionaries: later stages of a job need the memory for other things."""
-    for x in _made.values():
-        if isinstance(x, Dictionary):
-            x.clear()
-    pa.default_memory_pool().release_unused()
-
-
 def _whole(path: str):
     """A function from texts to token counts, without cutting."""
     if path not in _made:

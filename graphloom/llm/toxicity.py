@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import ship, texts
-from graphloom.llm.textbatch import slices
+from graphloom.llm.textbatch import release, slices
 
 #: Labelled rows to fit on at most: those with the smallest hash of doc_id.
 SAMPLE = 20_000
@@ -158,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TE
     rows = texts(docs).join(F.broadcast(chosen), "doc_id")
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             xs = [fold(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([pa.array([sketch(x) for x in xs]), batch.column("toxic").cast(pa.int32()), pa.array(xs)], names=["sketch", "toxic", "text"])
@@ -234,6 +235,7 @@ def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             got = [shared.value.score(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(got, pa.float64())], names=["doc_id", "score"])
@@ -252,6 +254,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array([t is None or shared.value.score(t) < 0.5 for t in batch.column("text").to_pylist()], pa.bool_()))
 
