@@ -3,7 +3,7 @@
 Folding lowers case, turns look-alike letters of other scripts and full-width forms into Latin
 letters, drops invisible characters, reads digits (and @ $ ! between letters) as the letters they
 stand for, and turns everything else that is no letter into a space. The lexicon holds whole words
-and word beginnings with weights: the log odds of the term in toxic against clean labelled texts.
+and word beginnings with weights: the log ratio of how often the term is in toxic and in clean texts.
 Hits inside an exception phrase don't count. The sum of the weights of the hits, normalised by the
 text's length, goes through a logistic function fitted to the same labelled texts.
 
@@ -30,8 +30,10 @@ from graphloom.llm.textbatch import release, slices
 SAMPLE = 20_000
 #: Terms in the lexicon at most, those with the largest support.
 TERMS = 2_000
-#: Least share of toxic training texts, least number of them and least log odds of a term.
+#: Least share of toxic training texts, least number of them and least log ratio of a term.
 SHARE, LEAST, ODDS = 0.004, 4, 2.5
+#: Occurrences of a term in one text that count at most.
+REPEATS = 5
 #: Lengths of word beginnings that may become terms.
 STEMS = (4, 5, 6, 7)
 #: Phrases in which a term is harmless; hits that lie in one don't count.
@@ -123,14 +125,16 @@ class Lexicon:
         return float(1 / (1 + np.exp(-min(60.0, max(-60.0, x)))))
 
 
-def terms(folded: str) -> set[str]:
-    """The words and word beginnings of a folded text."""
-    out = set()
-    for w in set(folded.split()):
+def terms(folded: str, most: int = REPEATS) -> Counter:
+    """How often each word and word beginning occurs in a folded text, up to ``most``."""
+    out: Counter = Counter()
+    for w, n in Counter(folded.split()).items():
         if len(w) >= 3:
-            out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in STEMS if len(w) > k)
-    return out
+            out[f" {w} "] += n
+        for k in STEMS:
+            if len(w) > k:
+                out[f" {w[:k]}"] += n
+    return Counter({t: min(n, most) for t, n in out.items()})
 
 
 def sketch(folded: str) -> int:
@@ -164,33 +168,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TE
             yield pa.record_batch([pa.array([sketch(x) for x in xs]), batch.column("toxic").cast(pa.int32()), pa.array(xs)], names=["sketch", "toxic", "text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        hits: tuple[Counter, Counter] = (Counter(), Counter())
+        texts_with: tuple[Counter, Counter] = (Counter(), Counter())
 
         def rows_of():
-            for toxic, c in enumerate(counts):
-                yield pa.record_batch([pa.array(list(c), pa.string()), pa.array(np.full(len(c), toxic, np.int32)), pa.array(list(c.values()), pa.int64())], names=["term", "toxic", "n"])
-                c.clear()
+            for toxic, (h, d) in enumerate(zip(hits, texts_with, strict=True)):
+                names = list(h)
+                yield pa.record_batch([pa.array(names, pa.string()), pa.array(np.full(len(names), toxic, np.int32)), pa.array([h[t] for t in names], pa.int64()), pa.array([d[t] for t in names], pa.int64())], names=["term", "toxic", "n", "texts"])
+                h.clear()
+                d.clear()
 
         for batch in slices(batches, "text"):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                counts[1 if toxic else 0].update(terms(text))
-                counts[1 if toxic else 0][""] += 1
-            if len(counts[0]) + len(counts[1]) > 400_000:
+                found = terms(text)
+                hits[1 if toxic else 0].update(found)
+                texts_with[1 if toxic else 0].update(found.keys())
+            if len(hits[0]) + len(hits[1]) > 300_000:
                 yield from rows_of()
         yield from rows_of()
 
     # one row of the sample a sketch and label; at most `sample` texts are shuffled, once
     distinct = rows.mapInArrow(folded, "sketch long, toxic int, text string").groupBy("sketch", "toxic").agg(F.min("text").alias("text")).persist()
-    counted = distinct.select("text", "toxic").mapInArrow(count, "term string, toxic int, n long")
-    both = counted.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("c"))
+    counted = distinct.select("text", "toxic").mapInArrow(count, "term string, toxic int, n long, texts long")
+    own = F.col("toxic") == 1
+    both = counted.groupBy("term").agg(F.sum(F.when(own, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(own, 0).otherwise(F.col("n"))).alias("c"), F.sum(F.when(own, F.col("texts")).otherwise(0)).alias("support"))
     totals = {r["toxic"]: r["n"] for r in distinct.groupBy(F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1:
         distinct.unpersist()
         return Lexicon({})
     odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
-    best = both.where((F.col("term") != "") & (F.col("t") >= max(LEAST, SHARE * n1))).withColumn("w", odds).where(F.col("w") >= ODDS)
-    rows = best.orderBy(F.desc("t"), F.desc("w"), "term").limit(most).collect()
+    best = both.where(F.col("support") >= max(LEAST, SHARE * n1)).withColumn("w", odds).where(F.col("w") >= ODDS)
+    rows = best.orderBy(F.desc("support"), F.desc("w"), "term").limit(most).collect()
     support = {r["term"]: r["t"] for r in rows}
     # a beginning that one longer term accounts for gives way to it; a longer term that adds nothing goes
     spelt = {t[:k] for t, n in support.items() for k in range(4, len(t)) if n >= 0.9 * support.get(t[:k], 1 << 60)}
