@@ -36,8 +36,8 @@ BLOCKS, FAN = 6, 8
 FRONTIER = 1 << 19
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> np.ndarray:
-    """Unsigned fingerprints of the texts in a flat byte array."""
+def shingles_of(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of the texts in a flat byte array, in order, and how many each text has."""
     data = data + np.where(CAPITAL[data], np.uint8(32), np.uint8(0))
     starts, ends, per = words(data, offsets)
     lens = ends - starts
@@ -50,7 +50,13 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> np
     tail = head + np.minimum(np.repeat(per, shingles), k) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(to[head].tolist(), (to[tail] + lens[tail]).tolist(), strict=True)), np.uint64, len(head))
-    out = np.zeros(len(per), np.uint64)
+    return hashes, shingles
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> np.ndarray:
+    """Unsigned fingerprints of the texts in a flat byte array."""
+    hashes, shingles = shingles_of(data, offsets, k)
+    out = np.zeros(len(shingles), np.uint64)
     filled = np.flatnonzero(shingles)
     if len(filled):
         first = (np.cumsum(shingles) - shingles)[filled]

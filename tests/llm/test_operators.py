@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from graphloom.llm import bpe, chat, decontam, exact_dedup, huffman, queries, secret_scan, simhash, suffix_dedup, suffix_sort, token_counts, toxicity
+from graphloom.llm import bpe, chat, decontam, exact_dedup, huffman, queries, secret_scan, similar, simhash, suffix_dedup, suffix_sort, token_counts, toxicity
 from graphloom.llm.textbatch import Dictionary, flat, pieces, slices
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -269,6 +269,59 @@ def test_choices_lose_no_link():
         assert any(a & m == b & m for _, m in simhash.choices())
 
 
+def test_pipeline_near_dedup_by_force(spark, docs, none):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    every = list(TEXTS)
+    for n in (3, 5, 8, 12, 40, 60, 150):  # copies with some words changed, in chains, and a common line
+        for g in range(6):
+            words = [f"w{x}" for x in rng.integers(0, 400, n)]
+            for copy in range(5):
+                line = " one line that many of these texts have" if g % 2 else ""
+                every.append((1000 + 10 * len(every) + copy, " ".join(words) + line))
+                for at in rng.integers(0, n, rng.integers(0, 3)):
+                    words[at] = f"v{rng.integers(0, 400)}"
+    sets = []
+    for _, t in every:
+        low = "".join(c.lower() if c.isascii() else c for c in t or "")
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", low) if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(every)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for i in range(len(every)):
+        for j in range(i):
+            both = sets[i] | sets[j]
+            if not both or len(sets[i] & sets[j]) / len(both) >= 0.8:
+                far += sets[i] != sets[j] and (fingerprint(every[i][1]) ^ fingerprint(every[j][1])).bit_count() > 4
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (d, _) in enumerate(every):
+        least.setdefault(find(i), []).append(d)
+    want = sorted((min((d for d in ids if d is not None), default=None) for ids in least.values()), key=str)
+    assert far > 20  # pairs that four bits leave out
+    df = docs.unionByName(spark.createDataFrame(every[len(TEXTS) :], SCHEMA), True)
+    got = corpus_pipeline.simhash_dedup(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] for r in got.collect()), key=str) == want
+    assert corpus_pipeline.simhash_dedup(spark, none, "").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_groups_hold_whole_keys(n):
+    key = np.sort(np.random.default_rng(n).integers(0, 6, 40))
+    parts = [pa.record_batch([pa.array(key[a : a + n])], names=["key"]) for a in range(0, 40, n)]
+    got = [g["key"] for g in similar._groups(iter(parts))]
+    assert np.concatenate(got).tolist() == key.tolist()
+    assert all(x[-1] < y[0] for x, y in zip(got[:-1], got[1:], strict=True))
+
+
 # suffixes
 
 
