@@ -232,7 +232,9 @@ def induced(text: np.ndarray, seeds: Queue, cap: int, scratch: Scratch) -> Itera
 
 def lms_positions(text: np.ndarray, scratch: Scratch) -> np.ndarray:
     """Positions that begin a rise after a fall, ascending (the end mark not included)."""
-    n, parts = len(text), []
+    n = len(text)
+    out = scratch.array(n // 2 + 1, np.int64)  # filled from its end; two positions are never neighbours
+    first = len(out)
     after_char, after_small = -1, True  # the end mark: smallest
     step = 1 << 22
     for a in range((n - 1) // step * step, -1, -step):
@@ -248,14 +250,11 @@ def lms_positions(text: np.ndarray, scratch: Scratch) -> np.ndarray:
         small = small[nearest]
         follow = np.append(small[1:], after_small)
         hit = np.flatnonzero(~small & follow) + a + 1
-        parts.append(hit[hit < n])
+        hit = hit[hit < n]
+        out[first - len(hit) : first] = hit
+        first -= len(hit)
         after_char, after_small = int(x[0]), bool(small[0])
-    out = scratch.array(sum(map(len, parts)), np.int64)
-    at = 0
-    for p in reversed(parts):
-        out[at : at + len(p)] = p
-        at += len(p)
-    return out
+    return out[first:]
 
 
 def lcp_of(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
@@ -401,23 +400,31 @@ def order_of_names(names: np.ndarray, depth: int, scratch: Scratch, base: int) -
     ordered = lms
     if len(lms) > 1:
         # sort the substrings between LMS positions by the same sweeps, then name them
-        start = lms[np.argsort(np.asarray(names[lms]), kind="stable")]
+        waiting, start = TupleQueue(scratch), scratch.array(len(lms), np.int64)
+        for a in range(0, len(lms), BLOCK):
+            for i, own in zip(lms[a : a + BLOCK].tolist(), names[lms[a : a + BLOCK]].tolist(), strict=True):
+                waiting.push((own, i))
+        for k in range(len(lms)):
+            start[k] = waiting.pop()[1]
         is_lms = scratch.array(m + 1, np.bool_)
-        is_lms[lms] = True
         spot = scratch.array(m + 1, np.int64)
-        spot[lms] = np.arange(len(lms))
-        ends = np.append(lms[1:], m)
+        for a in range(0, len(lms), BLOCK):
+            is_lms[lms[a : a + BLOCK]] = True
+            spot[lms[a : a + BLOCK]] = np.arange(a, min(len(lms), a + BLOCK))
         new = scratch.array(len(lms), np.int64)
         name, last = len(lms), None
         for i in induced_names(names, lms, start, scratch):
             if is_lms[i]:
-                end = int(ends[spot[i]])
+                follow = int(spot[i]) + 1
+                end = int(lms[follow]) if follow < len(lms) else m
                 own = names[i : end + 1]
                 if last is None or len(last) != len(own) or not np.array_equal(last, own):
                     name -= 1
                 new[spot[i]] = name
                 last = own
-        ordered = lms[order_of_names(new, depth, scratch, base)[0]]
+        order, ordered = order_of_names(new, depth, scratch, base)[0], scratch.array(len(lms), np.int64)
+        for a in range(0, len(lms), BLOCK):
+            ordered[a : a + BLOCK] = lms[order[a : a + BLOCK]]
     out = scratch.array(m, np.int64)
     at = m
     for i in induced_names(names, lms, ordered, scratch):
@@ -434,25 +441,28 @@ def sorted_suffixes(text: np.ndarray, depth: int, scratch: Scratch, base: int =
     lms = lms_positions(text, scratch)
     m = len(lms)
 
-    def seeds(order: np.ndarray, lcp: np.ndarray) -> Queue:
-        queue = Queue(scratch)
-        head = np.asarray(text[lms[order]]) if m else np.zeros(0, np.uint8)
-        for c in np.flatnonzero(np.bincount(head, minlength=1)).tolist():
-            own = np.flatnonzero(head == c)
-            value = lcp[own].copy()
-            value[0] = 0
-            for a in range(0, len(own), BLOCK):
-                queue.push(c, lms[order[own[a : a + BLOCK]]], value[a : a + BLOCK])
+    def seeds(order: np.ndarray | None, lcp: np.ndarray | None) -> Queue:
+        """LMS suffixes by character, in order (in that of the text and without common prefixes if not given)."""
+        queue, seen = Queue(scratch), np.zeros(256, bool)
+        for a in range(0, m, BLOCK):
+            pos = np.asarray(lms[a : a + BLOCK] if order is None else lms[order[a : a + BLOCK]])
+            value = np.full(len(pos), INF, np.uint16) if lcp is None else np.array(lcp[a : a + BLOCK])
+            head = np.asarray(text[pos])
+            for c in np.flatnonzero(np.bincount(head, minlength=1)).tolist():
+                own = np.flatnonzero(head == c)
+                if not seen[c]:
+                    value[own[0]], seen[c] = 0, True
+                queue.push(c, pos[own], value[own])
         return queue
 
     if m > 1:
         # name the substrings between LMS positions: seeds of one character count as equal
         spot = scratch.array(n + 1, np.int32 if n < 1 << 31 else np.int64)
-        spot[lms] = np.arange(1, m + 1)
-        first = np.argsort(np.asarray(text[lms]), kind="stable")
+        for a in range(0, m, BLOCK):
+            spot[lms[a : a + BLOCK]] = np.arange(a + 1, min(m, a + BLOCK) + 1)
         names = scratch.array(m, np.int64)
         name, fresh = m, True
-        for pos, lcp, _, small in induced(text, seeds(first, np.full(m, INF, np.uint16)), INF - 1, scratch):
+        for pos, lcp, _, small in induced(text, seeds(None, None), INF - 1, scratch):
             if not small:
                 low = int(lcp.min())
                 fresh = fresh or low != INF
@@ -470,17 +480,17 @@ def sorted_suffixes(text: np.ndarray, depth: int, scratch: Scratch, base: int =
             else:
                 fresh = fresh or bool(breaks[-1])
         order, ranks = order_of_names(names, depth, scratch, base)
-        lcp = neighbours(text, lms, order, ranks, depth)
+        lcp = neighbours(text, lms, order, ranks, depth, scratch)
     else:
         order, lcp = np.zeros(m, np.int64), np.zeros(m, np.uint16)
     for pos, common, _, _ in induced(text, seeds(order, lcp), depth, scratch):
         yield pos, common
 
 
-def neighbours(text: np.ndarray, lms: np.ndarray, order: np.ndarray, ranks: list[np.ndarray], depth: int) -> np.ndarray:
+def neighbours(text: np.ndarray, lms: np.ndarray, order: np.ndarray, ranks: list[np.ndarray], depth: int, scratch: Scratch) -> np.ndarray:
     """Common prefixes of LMS suffixes that follow each other in order."""
     m = len(order)
-    out = np.zeros(m, np.uint16)
+    out = scratch.array(m, np.uint16)
     for a in range(1, m, 1 << 20):
         x, y = order[a - 1 : a - 1 + (1 << 20)][: m - a], order[a : a + (1 << 20)]
         x = x[: len(y)]

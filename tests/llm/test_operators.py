@@ -364,6 +364,23 @@ def test_suffix_order_and_common_prefixes(text, sizes):
         assert lcp[k] == min(n, 50)
 
 
+def test_suffix_sort_keeps_long_arrays_in_files(monkeypatch):
+    made, sizes = [], []
+    neighbours, argsort = suffix_sort.neighbours, np.argsort
+    monkeypatch.setattr(suffix_sort, "BLOCK", 256)
+    monkeypatch.setattr(suffix_sort, "neighbours", lambda *a: made.append(neighbours(*a)) or made[-1])
+    monkeypatch.setattr(suffix_sort.np, "argsort", lambda x, **k: sizes.append(len(x)) or argsort(x, **k))
+    text = np.random.default_rng(2).integers(1, 5, 6000).astype(np.uint8)
+    scratch = suffix_sort.Scratch(512)
+    try:
+        got = np.concatenate([p for p, _ in suffix_sort.sorted_suffixes(text, 60, scratch, 100)])
+        assert isinstance(made[0], np.memmap) and max(sizes) <= 512
+    finally:
+        scratch.close()
+    raw = text.tobytes()
+    assert got[got < len(raw)].tolist() == sorted(range(len(raw)), key=lambda i: raw[i:], reverse=True)
+
+
 def test_scratch_files_go(tmp_path, monkeypatch):
     monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
     suffix_dedup.repeated_in([b"abcabcabc" * 50, b"xabcabcabc" * 30], 20, 64, 8)
