@@ -1,16 +1,18 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Texts and items become words (letters and digits, lower case) and shingles of SHINGLE words. A window
-as long as an item can be similar to it only if it holds one of its shingles, so windows are formed
-around every such place, and only there. Each window gets a SimHash of its weighted shingles from
-running sums of the votes. The items of the same length stand in a multi-index: their fingerprints
-are cut into BLOCKS blocks, and one within RADIUS bits has a block within RADIUS // BLOCKS bits of
-the window's, so looking up each block with up to that many bits flipped finds all of them. Found
-candidates are verified by the exact weighted similarity of the shingles (sum of the lesser weights
-over sum of the greater, a shingle's weight being its number of occurrences) of THRESHOLD or more.
-
-At similarity 0.8 fingerprints differ by 10 bits of 64 on average, with a deviation of 3; the radius
-of 24 leaves out fewer than one in a million such windows.
+Texts and items become words (runs of letters, marks and digits of any script, lower case) and
+shingles of SHINGLE words. A window as long as an item can be similar to it only if it holds one of
+its shingles, so windows are formed around every such place, and only there. Each window gets a
+SimHash of 64 * LANES bits of its weighted shingles, from running sums of the votes. The items of the
+same length stand in a multi-index: fingerprints are cut into BLOCKS blocks of 16 bits, each with its
+buckets by value, and one within RADIUS bits has a block within RADIUS // BLOCKS bits of the window's,
+so looking into each block's buckets at up to that many bits finds all of them (a random pair meets in
+such a bucket with probability 0.16). What is found within RADIUS is verified by the exact weighted
+similarity of the shingles (sum of the lesser weights over sum of the greater, a shingle's weight
+being its number of occurrences) of THRESHOLD or more.
+
+At similarity 0.8 fingerprints differ by 39 bits of 256 on average, with a deviation of 5.7; the
+radius of 63 leaves out about one in a hundred thousand such windows, and none that are equal.
 
 The benchmark is broadcast in blocks of at most ITEM_WORDS words, and the documents are scanned once
 for each block, so its size is bounded whatever the benchmark's.
@@ -18,26 +20,54 @@ for each block, so its size is bounded whatever the benchmark's.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.llm.common import ship, texts
 from graphloom.llm.textbatch import expand, flat, release, slices
 
-SHINGLE, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 24, 16
+SHINGLE, THRESHOLD = 5, 0.8
+#: Words of 64 bits in a fingerprint, bits within which candidates are searched, blocks of 16 bits.
+LANES, RADIUS, BLOCKS = 4, 63, 16
 ITEM_WORDS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORD = np.ones(256, bool)
+_WORD = np.zeros(256, bool)
 _WORD[:128] = [chr(c).isalnum() for c in range(128)]
 
 
+@cache
+def _word_characters() -> np.ndarray:
+    """Whether each code point is a letter, a mark on one, or a number."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)), bool, 0x110000)
+
+
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 text belongs to a character of a word."""
+    solid = _WORD[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return solid
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    code = data[lead].astype(np.int64) & (0x7F >> size)
+    for j in range(1, 4):
+        own = np.minimum(lead + j, len(data) - 1)
+        code = np.where(size > j, (code << 6) | (data[own] & 0x3F), code)
+    inside = _word_characters()[np.minimum(code, 0x10FFFF)]
+    for j in range(4):
+        own = (size > j) & (lead + j < len(data))
+        solid[lead[own] + j] = inside[own]
+    return solid
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Well-spread 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,7 +100,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    solid = _WORD[data]
+    solid = word_bytes(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first, last = solid.copy(), solid.copy()
@@ -94,40 +124,85 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def votes(shingles: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each shingle."""
-    return np.unpackbits(shingles.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+    """+1 or -1 for each of the 64 * LANES bits of each shingle."""
+    lanes = np.stack([mixed(shingles + step) for step in np.arange(LANES, dtype=np.uint64) * _MIX], axis=1)
+    return np.unpackbits(lanes.view(np.uint8).reshape(len(shingles), -1), axis=1).astype(np.int32) * 2 - 1
 
 
 def packed(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1).view(">u8").ravel().astype(np.uint64)
+    """Fingerprints, a row of LANES numbers each."""
+    return np.packbits(sums > 0, axis=1).view(np.uint64).reshape(-1, LANES)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+@cache
+def _flips(bits: int) -> np.ndarray:
+    """All differences of at most ``bits`` of 16 bits."""
+    every = np.arange(1 << 16, dtype=np.uint16)
+    return every[np.bitwise_count(every) <= bits]
 
 
 class MultiIndex:
-    """Fingerprints by block: all within RADIUS bits of a query share a block within RADIUS // BLOCKS bits."""
+    """Fingerprints in buckets by the value of each block of 16 bits.
 
-    def __init__(self, fps: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
-        self.fps, self.radius, self.blocks = fps, radius, blocks
-        self.bits = 64 // blocks
-        near = radius // blocks
-        values = np.arange(1 << self.bits)
-        close = np.bitwise_count(values[:, None] ^ values[None, :]) <= near
-        self.tables = [close[:, self.block(fps, b)] for b in range(blocks)]
+    All within ``radius`` bits of a query have a block within radius // BLOCKS bits of the query's.
+    A look-up goes through the flips of the query's block or through the occupied buckets, whichever
+    are fewer, so its cost is bounded however many fingerprints there are.
+    """
 
-    def block(self, fps: np.ndarray, b: int) -> np.ndarray:
-        return ((fps >> np.uint64(b * self.bits)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+    def __init__(self, fps: np.ndarray, radius: int = RADIUS):
+        self.fps, self.radius = fps, radius
+        self.flips = _flips(radius // BLOCKS)
+        self.buckets = []
+        for b in range(BLOCKS):
+            own = self._block(fps, b)
+            order = np.argsort(own, kind="stable")
+            value, first = np.unique(own[order], return_index=True)
+            self.buckets.append((value, np.append(first, len(own)), order))
+
+    @staticmethod
+    def _block(fps: np.ndarray, b: int) -> np.ndarray:
+        return (fps[:, b // 4] >> np.uint64(16 * (b % 4))).astype(np.uint16)
+
+    def near_buckets(self, wanted: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number in ``wanted``, bucket) of all buckets of a block within reach."""
+        value = self.buckets[b][0]
+        if len(value) <= len(self.flips):
+            return np.nonzero(np.bitwise_count(wanted[:, None] ^ value[None, :]) <= self.radius // BLOCKS)
+        probe = wanted[:, None] ^ self.flips[None, :]
+        at = np.minimum(np.searchsorted(value, probe), len(value) - 1)
+        who, flip = np.nonzero(value[at] == probe)
+        return who, at[who, flip]
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, fingerprint) numbers of all pairs within the radius."""
-        found = reduce(np.logical_or, (self.tables[b][self.block(queries, b)] for b in range(self.blocks)))
-        q, f = np.nonzero(found)
-        near = np.bitwise_count(queries[q] ^ self.fps[f]) <= self.radius
-        return q[near], f[near]
+        n, found = len(self.fps), [np.zeros(0, np.int64)]
+        for b, (_, first, order) in enumerate(self.buckets):
+            wanted, of = np.unique(self._block(queries, b), return_inverse=True)
+            asks = np.argsort(of, kind="stable")
+            starts = np.append(0, np.cumsum(np.bincount(of, minlength=len(wanted))))
+            for a in range(0, len(wanted), 1024):
+                who, bucket = self.near_buckets(wanted[a : a + 1024], b)
+                who = who + a
+                # each query with that value meets each fingerprint in the bucket
+                held, asked = first[bucket + 1] - first[bucket], starts[who + 1] - starts[who]
+                item = order[expand(first[bucket], held)]
+                times = np.repeat(asked, held)
+                query = asks[expand(np.repeat(starts[who], held), times)]
+                item = np.repeat(item, times)
+                near = distance(queries[query], self.fps[item]) <= self.radius
+                found.append(query[near] * n + item[near])
+        pair = np.unique(np.concatenate(found))
+        return pair // max(1, n), pair % max(1, n)
 
 
 class Items:
     """Benchmark items that are searched together: id and word hashes of each."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[object, np.ndarray]]):
         self.ids = [i for i, _ in items]
         self.words = [len(w) for _, w in items]
         self.k = [min(SHINGLE, n) for n in self.words]
@@ -143,7 +218,7 @@ class Items:
             sieve = np.zeros(1 << bits, bool)
             sieve[keys >> np.uint64(64 - bits)] = True
             self.by_k[k] = keys, of, sieve, np.uint64(64 - bits)
-        self.fps = np.array([packed(votes(s).sum(0, keepdims=True))[0] for s in self.shingles], np.uint64)
+        self.fps = np.array([packed(votes(s).sum(0, keepdims=True))[0] for s in self.shingles], np.uint64).reshape(-1, LANES)
         self.index: dict[tuple, tuple[MultiIndex, list[int]]] = {}
 
     def hits(self, words: np.ndarray, per: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +239,7 @@ class Items:
             self.index[k, n] = MultiIndex(self.fps[own]), own
         return self.index[k, n]
 
-    def search(self, words: np.ndarray, per: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+    def search(self, words: np.ndarray, per: np.ndarray, threshold: float) -> Iterator[tuple[int, object, float, int, int]]:
         """(text, item, similarity, first word, words) of the best window of each pair over the threshold."""
         ends = np.cumsum(per)
         for k in self.by_k:
@@ -198,7 +273,7 @@ class Items:
             if hi < lo:
                 continue
             own_sh = sh[lo : hi + size]
-            running = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes(own_sh), axis=0, dtype=np.int32)])
+            running = np.concatenate([np.zeros((1, 64 * LANES), np.int32), np.cumsum(votes(own_sh), axis=0, dtype=np.int32)])
             fps = packed(running[size:] - running[:-size])
             q, f = index.search(fps)
             if not len(q):
@@ -222,7 +297,7 @@ class Items:
 
 def item_blocks(benchmark: DataFrame, most: int = ITEM_WORDS) -> Iterator[Items]:
     """The items in blocks of at most ``most`` words (one item at least), read one partition at a time."""
-    held: list[tuple[int, np.ndarray]] = []
+    held: list[tuple[object, np.ndarray]] = []
     size = 0
     for row in benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).toLocalIterator():
         words, _ = word_hashes(pa.array([row["text"]]))
@@ -237,14 +312,14 @@ def item_blocks(benchmark: DataFrame, most: int = ITEM_WORDS) -> Iterator[Items]
         yield Items(held)
 
 
-def _runner(shared, threshold: float):
+def _runner(shared, threshold: float, item: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in slices(batches, "text"):
             words, per = word_hashes(batch.column("text"))
             got = list(shared.value.search(words, per, threshold))
             ids = batch.column("doc_id").take(pa.array([g[0] for g in got], pa.int64()))
-            cols = [pa.array([g[j] for g in got], t) for j, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
+            cols = [pa.array([g[j] for g in got], t) for j, t in ((1, item), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
             yield pa.record_batch([ids, *cols], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
     return run
@@ -260,13 +335,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, similarity double, start_word long, n_words long"
-    parts = [texts(docs).mapInArrow(_runner(spark.sparkContext.broadcast(x), threshold), schema) for x in item_blocks(benchmark)]
+    item = benchmark.schema["item_id"].dataType
+    schema = f"doc_id {kind}, item_id {item.simpleString()}, similarity double, start_word long, n_words long"
+    parts = [texts(docs).mapInArrow(_runner(spark.sparkContext.broadcast(x), threshold, to_arrow_type(item)), schema) for x in item_blocks(benchmark)]
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns; each row is decided where it is read."""
+    """The rows of ``docs`` that hold no item, all columns; each row is decided where it is read.
+
+    Rows with null, empty or wordless texts stay, and so do all rows if the benchmark is empty;
+    repeated rows are decided alike; ids and other columns are only passed on; an empty table gives
+    an empty result.
+    """
     spark = docs.sparkSession
     ship(spark)
     for items in item_blocks(benchmark):
