@@ -8,8 +8,9 @@ one-letter texts: they differ at exactly the place where texts go. With a templa
 history, spans and texts are located in the output of the whole conversation by the same probes, and
 a turn that the template leaves out has none.
 
-Rendering every prefix costs the square of the number of turns in string copying; a conversation is
-one row and one string, so it must fit in a task.
+Only two outputs are held at a time. Rendering every prefix costs the square of the number of turns in
+string copying, which a template that is a black box does not allow to avoid; a conversation's output
+is one string, so it must fit in a task.
 """
 
 from __future__ import annotations
@@ -71,20 +72,22 @@ class Rendered:
 
     def __init__(self, turns: Sequence[Turn], template: Template = chatml):
         turns = list(turns)
-        outputs = [template(turns[:k]) for k in range(len(turns) + 1)]
-        self.formatted = outputs[-1]
+        before = template([])
         self.rewrites = False
         self.spans: list[tuple[int, int] | None] = []
-        for before, after in zip(outputs[:-1], outputs[1:], strict=True):
+        self.texts: list[tuple[int, int] | None] = []
+        for k in range(len(turns)):
+            after = template(turns[: k + 1])
             head = shared_prefix(before, after)
             tail = len(before) - head
             if tail and not after[head:].endswith(before[head:]):
                 self.rewrites = True
                 break
             self.spans.append((head, len(after) - tail))
-        if not self.rewrites:
-            self.texts = [self._text(turns[: k + 1], k, outputs[k + 1], template) for k in range(len(turns))]
-        else:
+            self.texts.append(self._text(turns[: k + 1], k, after, template))
+            before = after
+        self.formatted = before if not self.rewrites else template(turns)
+        if self.rewrites:
             self.texts = [self._text(turns, k, self.formatted, template) for k in range(len(turns))]
             self.spans = list(self.texts)
 
@@ -128,7 +131,11 @@ def format_conversations(rows: DataFrame, template: Template = chatml) -> DataFr
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What a reader finds in ``chatml`` outputs: turns, loss mask (assistant texts) and their digests."""
+    """What a reader finds in ``chatml`` outputs: turns, loss mask (assistant texts) and their digests.
+
+    Roles and texts are read back from the output, the mask from it and the text spans; an output
+    without turns has digests of nothing.
+    """
     ship(formatted.sparkSession)
     kind = formatted.schema["conv_id"].dataType.simpleString()
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
@@ -136,9 +143,9 @@ def digests(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, roles, spans in zip(*(batch.column(c).to_pylist() for c in ("formatted", "roles", "texts")), strict=True):
+            for text, spans in zip(*(batch.column(c).to_pylist() for c in ("formatted", "texts")), strict=True):
                 turns = read_chatml(text)
-                loss = "".join(unescape(text[s["start"] : s["end"]]) for r, s in zip(roles, spans, strict=True) if r == "assistant" and s)
+                loss = "".join(unescape(text[s["start"] : s["end"]]) for (r, _), s in zip(turns, spans, strict=True) if r == "assistant" and s)
                 out.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
             cols = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))]
             yield pa.record_batch([batch.column("conv_id"), *cols, batch.column("rewrites")], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"])
