@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -59,24 +60,52 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have the driver forget what nothing refers to any more, so that shuffle files that are done with go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: The name of the column that names rows: one that no table has by chance.
+ROW = "__row_of_8f3a61c2d94e"
+
+
 def with_row(df: DataFrame, *columns: Column | str) -> DataFrame:
-    """``columns`` of ``df`` (all by default) with ``__row``, which names each row, the same at every reading.
+    """``columns`` of ``df`` (all by default) with ROW, which names each row, the same at every reading.
 
     A frame read straight from Parquet files has file and row number as metadata; any other frame is
     stored once, numbered.
     """
     columns = columns or ("*",)
     try:
-        return df.select(*columns, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("__row"))
+        of = df.metadataColumn("_metadata")
+        return df.select(*columns, F.struct(of["file_path"].alias("file"), of["row_index"].alias("at")).alias(ROW))
     except AnalysisException:
         number = F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))
-        return stored(df.select(*columns).withColumn("__row", number), "numbered")
+        return stored(df.select(*columns).withColumn(ROW, number), "numbered")
 
 
 def only(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``df`` (made by ``with_row``) whose ``__row`` is in ``kept``, without it."""
-    by = [df["__row"]["file"] == kept["__row"]["file"], df["__row"]["at"] == kept["__row"]["at"]]
-    return df.join(kept, by, "left_semi").drop("__row")
+    """The rows of ``df`` (made by ``with_row``) whose ROW is in ``kept``, without it."""
+    by = [df[ROW]["file"] == kept[ROW]["file"], df[ROW]["at"] == kept[ROW]["at"]]
+    return df.join(kept, by, "left_semi").drop(ROW)
+
+
+#: Keys that are broadcast at most, because each has a large part of all rows; rows of a key under which none is hot.
+HOT_KEYS, HOT_LEAST = 4_096, 64
+
+
+def joined_evenly(rows: DataFrame, by_key: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``by_key``, which has one row a key and the number of rows with it in ``size``.
+
+    Keys with more than a HOT_KEYS-th of ``total`` rows, of which there are fewer than HOT_KEYS, are
+    broadcast, and their rows stay where they are. Only rows of other keys are dealt out by key, so
+    no task gets the rows of a hot key, whatever its share.
+    """
+    hot = F.col(size) > max(HOT_LEAST, -(-total // HOT_KEYS))
+    few = F.broadcast(by_key.where(hot))
+    usual = rows.join(F.broadcast(by_key.where(hot).select(*keys)), keys, "left_anti").join(by_key.where(~hot), keys)
+    return rows.join(few, keys).unionByName(usual)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ number of rows. Then leaves exchange runs in binomial rounds: in a round, nodes
 in the round's digits trade entries so that each ends up with the digests that have its own digits
 there, merges the incoming sorted runs (Spark's external merge sort over the shuffle) and again keeps
 one entry a digest. After the last round a digest lives at one node only. A hot text is one entry a
-node from the leaves on, so no task ever sees its copies together.
+node from the leaves on. When each row asks what became of its digest, the entries of hot texts go to
+the rows instead of the rows to them, so no task ever sees the copies of a hot text together.
 
 Runs are sorted by the whole 32-byte digest, and two entries merge only if all 32 bytes and the
 normalised lengths agree.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import only, ship, stored, with_row
+from graphloom.llm.common import ROW, joined_evenly, only, ship, stored, with_row
 
 #: The characters that normalising deletes: the space, and tab to carriage return.
 DELETED = " \t\n\x0b\x0c\r"
@@ -88,14 +89,19 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     among repeated rows. An empty table gives an empty result; other columns are not read.
     """
     rows = digests(docs)
-    best = merged(rows)
-    out = rows.join(best, ["digest", "size"])
+    best = stored(merged(rows), "best")
+    out = joined_evenly(rows, best, ["digest", "size"], "copies", rows.count())
     return out.select("doc_id", "keep_id", F.col("copies").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns."""
+    """The rows of ``docs`` that stay, all columns.
+
+    Null texts are equal to empty ones and to those of white space, of which one row stays; ties and
+    repeated rows as in ``exact_duplicates``; null ids come last; an empty table gives an empty
+    result; other columns are passed on, whatever their names.
+    """
     numbered = with_row(docs)
-    rows = digests(numbered, "__row")
+    rows = digests(numbered, ROW)
     best = merged(rows).select(F.col("keep_row").alias("row"))
-    return only(numbered, rows.join(best, "row", "left_semi").select("__row"))
+    return only(numbered, rows.join(best, "row", "left_semi").select(ROW))

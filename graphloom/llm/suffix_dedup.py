@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import dropped, ship, stored, with_row
+from graphloom.llm.common import ROW, dropped, ship, stored, with_row
 from graphloom.llm.decontam import _MIX, _POWERS, mixed
 from graphloom.llm.suffix_sort import Scratch, sorted_suffixes
 from graphloom.llm.textbatch import flat, release, slices
@@ -197,9 +197,9 @@ def numbered(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty) and row, a number for each row that is the same at every reading."""
     spark = docs.sparkSession
     named = with_row(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    files = sorted(r[0] for r in named.select("__row.file").distinct().collect())  # a row for each file of the table
+    files = sorted(r[0] for r in named.select(f"{ROW}.file").distinct().collect())  # a row for each file of the table
     table = spark.createDataFrame([(f, k) for k, f in enumerate(files)], "file string, k long")
-    return named.join(F.broadcast(table), named["__row"]["file"] == table["file"]).select("doc_id", "text", (F.shiftleft("k", 38) + F.col("__row.at")).alias("row"))
+    return named.join(F.broadcast(table), named[ROW]["file"] == table["file"]).select("doc_id", "text", (F.shiftleft("k", 38) + F.col(f"{ROW}.at")).alias("row"))
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
