@@ -9,7 +9,8 @@ sorted by Gray rank, in which neighbours differ in few bits. Runs of neighbours
 all fingerprints of a node share (a mask and the bits under it) is kept at the node, its children
 keep only what they share beyond that, up to one root for each choice and bits. A search starts at
 the root with its differences, adds those of each child's own mask, and drops a whole node once the
-sum passes the radius. A shard sends on a spanning forest of its links, not the pairs.
+sum passes the radius. A shard sends on a spanning forest of its links, not the pairs, and a shard
+that very many fingerprints share is dealt out first.
 
 Components: large-star and small-star rounds over the forests, each round a table in the shared
 folder, until nothing changes.
@@ -26,14 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import dropped, only, ship, stored, texts, with_row
+from graphloom.llm.common import ROW, dropped, joined_evenly, only, ship, stored, texts, with_row
 from graphloom.llm.textbatch import CAPITAL, expand, flat, release, slices, words
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Blocks of bits; two of them always agree within the radius. Children of a node.
 BLOCKS, FAN = 6, 8
-#: Search states held at once.
-FRONTIER = 1 << 19
+#: Search states held at once; fingerprints that a task takes together at least.
+FRONTIER, BATCH = 1 << 19, 100_000
+#: Fingerprints of a bucket from which on it is dealt out, and how many such buckets there can be at most.
+HOT, HOT_BUCKETS = 1 << 17, 100_000
 
 
 def shingles_of(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -124,14 +127,19 @@ class GrayIndex:
                 level["own"] = level["mask"] & ~above["mask"][parent]
             above = level
 
-    def pairs(self, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows (as given) of all pairs in a bucket within the radius, in parts."""
+    def pairs(self, radius: int = RADIUS, asking: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows (as given) of all pairs in a bucket within the radius, in parts; with ``asking``, of these rows and any others."""
         top = len(self.levels) - 1
         if not len(self.fp):
             return
         root = self.levels[top]["bucket"]
         rows = np.arange(len(self.fp))
-        node = np.searchsorted(root, self.levels[0]["bucket"])
+        self.once = asking is None
+        if asking is not None:
+            own = np.zeros(len(rows), bool)
+            own[asking] = True
+            rows = rows[own[self.order]]
+        node = np.searchsorted(root, self.levels[0]["bucket"][rows])
         for a in range(0, len(rows), FRONTIER // 8):
             b = slice(a, a + FRONTIER // 8)
             yield from self._search(top, rows[b], node[b], self._added(top, rows[b], node[b]), radius)
@@ -141,7 +149,11 @@ class GrayIndex:
         return np.bitwise_count((self.fp[q] ^ level["all"][node]) & level["own"][node]).astype(np.int16)
 
     def _search(self, k: int, q: np.ndarray, node: np.ndarray, sums: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        live = (sums <= radius) & (self.levels[k]["last"][node] > q)  # each pair once: the later row
+        live = sums <= radius
+        if self.once:  # each pair once: the later row
+            live &= self.levels[k]["last"][node] > q
+        elif k == 0:
+            live &= node != q
         q, node, sums = q[live], node[live], sums[live]
         if k == 0:
             if len(q):
@@ -182,8 +194,14 @@ def choices() -> list[tuple[int, int]]:
     return [(i, a | b) for i, (a, b) in enumerate(combinations(block, BLOCKS - RADIUS))]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Spanning forests (a, b) of the links between distinct fingerprints (column fp)."""
+def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """Spanning forests (a, b) of the links between distinct fingerprints (column fp, stored).
+
+    A task reads its buckets one after the other and holds no more than BATCH fingerprints besides
+    the bucket it is in. A bucket of more than ``hot`` fingerprints (and more than one in HOT_BUCKETS
+    of all, so that the list of hot buckets is short enough to be broadcast) is dealt out: its
+    fingerprints fall into groups by hash, and every two groups meet in a bucket of their own.
+    """
     spark = distinct.sparkSession
     ship(spark)
     if radius > RADIUS:
@@ -191,45 +209,78 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in choices()])
     spread = distinct.select("fp", F.explode(keys).alias("key")).select("fp", "key.choice", "key.bits")
+    total = distinct.count()
+    most = max(hot, -(-total * len(choices()) // HOT_BUCKETS))
+    part = F.lit(0).cast("long")
+    if total > most:  # else no bucket can be hot
+        large = spread.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > most).select("choice", "bits", F.ceil(F.col("n") / (most // 2)).alias("groups"))
+        spread = spread.join(F.broadcast(large), ["choice", "bits"], "left")
+        own = F.pmod(F.xxhash64("fp"), F.col("groups"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda j: F.least(own, j) * F.col("groups") + F.greatest(own, j))
+        spread = spread.select("fp", "choice", "bits", F.explode(F.when(F.col("groups").isNull(), F.array(part)).otherwise(pairs)).alias("part"))
+    else:
+        spread = spread.withColumn("part", part)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["choice", "bits", "part"]
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        got = [(b.column("fp").to_numpy(), b.column("choice").to_numpy(), b.column("bits").to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        fp, choice, bits = (np.concatenate(x) for x in zip(*got, strict=True))
-        node, of = np.unique(fp, return_inverse=True)
-        _, bucket = np.unique(bits.astype(np.uint64) ^ (choice.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)
-        size = np.bincount(bucket)[bucket]
-        many = np.flatnonzero(size > 1)
-        parent = np.arange(len(node))
-        index = GrayIndex(bucket[many], fp[many].view(np.uint64))
-        for a, b in index.pairs(radius):
-            parent = connect(parent, of[many[a]], of[many[b]])
-        inner = np.flatnonzero(parent != np.arange(len(node)))
-        for a in range(0, len(inner), 100_000):
-            x = inner[a : a + 100_000]
-            yield pa.record_batch([pa.array(node[x]), pa.array(node[parent[x]])], names=["a", "b"])
-
-    return spread.repartition(parts, "choice", "bits").mapInArrow(shard, "a long, b long")
+        for rows in whole_groups(batches, order, BATCH):
+            fp = rows["fp"]
+            head = np.append(True, np.any([rows[c][1:] != rows[c][:-1] for c in order], axis=0))
+            bucket = np.cumsum(head) - 1
+            many = np.flatnonzero(np.bincount(bucket)[bucket] > 1)
+            if not len(many):
+                continue
+            node, of = np.unique(fp[many], return_inverse=True)
+            parent = np.arange(len(node))
+            for a, b in GrayIndex(bucket[many], fp[many].view(np.uint64)).pairs(radius):
+                parent = connect(parent, of[a], of[b])
+            inner = np.flatnonzero(parent != np.arange(len(node)))
+            for x in np.array_split(inner, len(inner) // 100_000 + 1):
+                yield pa.record_batch([pa.array(node[x]), pa.array(node[parent[x]])], names=["a", "b"])
+
+    return spread.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(shard, "a long, b long")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of sorted rows in parts of ``least`` rows or more (but the last) that end where a key ends."""
+    held: list[dict[str, np.ndarray]] = []
+    size, enough = 0, least
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append({c: batch.column(c).to_numpy() for c in batch.schema.names})
+        size += batch.num_rows
+        if size < enough:
+            continue
+        rows = {c: np.concatenate([p[c] for p in held]) for c in held[0]}
+        new = np.flatnonzero(np.any([rows[c][1:] != rows[c][:-1] for c in keys], axis=0)) + 1
+        cut = int(new[-1]) if len(new) else 0  # the last key may go on
+        if cut:
+            yield {c: x[:cut] for c, x in rows.items()}
+        held = [{c: x[cut:] for c, x in rows.items()}]
+        size -= cut
+        enough = max(least, 2 * size)
+    if held:
+        yield {c: np.concatenate([p[c] for p in held]) for c in held[0]}
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (smallest node of its component) for every node on an edge (a, b)."""
+    """node and root (smallest node of its component) for every node on an edge (a, b) but the roots themselves."""
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
+    seen, size = None, now.count()
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = joined_evenly(both, least, ["a"], "n", 2 * size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.where("a <> b")
         small_least = lower.groupBy("a").agg(F.min("b").alias("m"))
         small = lower.join(small_least, "a").select(F.col("b").alias("v"), "m").where("v <> m").union(small_least.select(F.col("a").alias("v"), "m")).distinct()
         after = stored(small.select(F.col("v").alias("a"), F.col("m").alias("b")), "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         dropped(now)
-        now = after
+        now, size = after, state[0]
         if seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = state
@@ -244,19 +295,20 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, radius: int = RADIUS) -> Da
     null id). Repeated rows give a row each, an empty table none; other columns are not read.
     """
     rows = stored(fingerprints(docs, k), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
     roots = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    by_fp = stored(joined_evenly(rooted, named, ["root"], "members", distinct.count()).select("fp", "component_id", "copies"), "by_fp")
+    dropped(distinct)
+    return joined_evenly(rows, by_fp, ["fp"], "copies", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One row of each component stays, that with the smallest doc_id (one of equals), all columns."""
     numbered = with_row(docs)
-    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row.file").alias("file"), F.col("__row.at").alias("at"))
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(f"{ROW}.file").alias("file"), F.col(f"{ROW}.at").alias("at"))
     rows = stored(fingerprints(numbered.select(who.alias("doc_id"), "text"), k).groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(rows.select("fp"), radius))
     kept = rows.join(roots, rows.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("who"))
-    return only(numbered, kept.select(F.struct("who.file", "who.at").alias("__row")))
+    return only(numbered, kept.select(F.struct("who.file", "who.at").alias(ROW)))
