@@ -3,9 +3,11 @@
 Folding lowers case, turns look-alike letters of other scripts and full-width forms into Latin
 letters, drops invisible characters, reads digits (and @ $ ! between letters) as the letters they
 stand for, and turns everything else that is no letter into a space. The lexicon holds whole words
-and word beginnings with weights: the log ratio of how often the term is in toxic and in clean texts.
-Hits inside an exception phrase don't count. The sum of the weights of the hits, normalised by the
-text's length, goes through a logistic function fitted to the same labelled texts.
+and word beginnings that are in toxic texts more often than chance explains, with weights: the log
+ratio of their shares of the words of toxic and of clean texts. Hits inside an exception phrase don't
+count; besides a few written ones, phrases of two words are exceptions that hold a term but are in
+clean texts only. The sum of the weights of the hits, normalised by the text's length, goes through a
+logistic function fitted to the same labelled texts.
 
 Labels are used only to fit; a score depends on the text alone.
 """
@@ -13,14 +15,16 @@ Labels are used only to fit; a score depends on the text alone.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import ship, texts
@@ -28,14 +32,13 @@ from graphloom.llm.textbatch import release, slices
 
 #: Labelled rows to fit on at most: those with the smallest hash of doc_id.
 SAMPLE = 20_000
-#: Terms in the lexicon at most, those with the largest support.
-TERMS = 2_000
-#: Least share of toxic training texts, least number of them and least log ratio of a term.
-SHARE, LEAST, ODDS = 0.004, 4, 2.5
-#: Occurrences of a term in one text that count at most.
-REPEATS = 5
+#: Least toxic training texts, least log-likelihood ratio statistic (a chance of about one in 100,000
+#: for a term that says nothing) and least weight of a term.
+LEAST, SIGNIFICANT, ODDS = 4, 20.0, 2.0
 #: Lengths of word beginnings that may become terms.
-STEMS = (4, 5, 6, 7)
+STEMS = (4, 5, 6, 7, 8)
+#: Words that a text counts as having at least; clean texts that a learnt exception is in at least.
+SHORT, EXCEPT_LEAST = 25, 5
 #: Phrases in which a term is harmless; hits that lie in one don't count.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "take out the trash", "trash collection", "clown fish", "class clown", "sore loser rule", "worthless check", "stupid question")
 # Look-alike letters, digits and signs, and the Latin letters that they stand for.
@@ -105,28 +108,51 @@ class Lexicon:
         return self._automaton
 
     def measure(self, text: str) -> float:
-        """The weights of the hits over the square root of the length in hundreds of words (one at least)."""
-        automaton, folded = self.automaton(), fold(text)
+        """The weights of the hits over the length in hundreds of words (SHORT words at least)."""
+        automaton = self.automaton()
         if not len(automaton):
             return 0.0
+        words = fold(text).split()
+        folded = f" {' '.join(words)} "
         hits, harmless = [], []
         for end, (size, w) in automaton.iter(folded):
-            (hits if w is not None else harmless).append((end - size + 1, end, w))
+            if w is None:
+                harmless.append((end - size + 1, end))
+            else:
+                hits.append((end - size + 1, end, w))
         if not hits:
             return 0.0
+        harmless.sort()
+        starts = [h[0] for h in harmless]
+        reach = list(accumulate((h[1] for h in harmless), max))
         best: dict[int, float] = {}  # one hit a word: the heaviest term
         for start, end, w in hits:
-            if not any(a <= start and end <= b for a, b, _ in harmless):
+            before = bisect_right(starts, start)
+            if not before or reach[before - 1] < end:  # no phrase that begins before it goes on to its end
                 best[start] = max(w, best.get(start, 0.0))
-        return sum(best.values()) / max(1.0, folded.count(" ") / 100) ** 0.5
+        return 100 * sum(best.values()) / max(SHORT, len(words))
+
+    def phrases(self, folded: str) -> Counter:
+        """How often each two words in a row occur of which one begins with a term."""
+        out: Counter = Counter()
+        if not self.weights:
+            return out
+        words = folded.split()
+        starts = {end - size + 1 for end, (size, w) in self.automaton().iter(f" {' '.join(words)} ") if w is not None}
+        at = 0
+        for k, word in enumerate(words):
+            if at in starts:
+                out.update(" ".join(words[i : i + 2]) for i in (k - 1, k) if i >= 0 and i + 2 <= len(words))
+            at += len(word) + 1
+        return out
 
     def score(self, text: str) -> float:
         x = self.offset + self.slope * np.log1p(self.measure(text))
         return float(1 / (1 + np.exp(-min(60.0, max(-60.0, x)))))
 
 
-def terms(folded: str, most: int = REPEATS) -> Counter:
-    """How often each word and word beginning occurs in a folded text, up to ``most``."""
+def terms(folded: str) -> Counter:
+    """How often each word and word beginning occurs in a folded text."""
     out: Counter = Counter()
     for w, n in Counter(folded.split()).items():
         if len(w) >= 3:
@@ -134,7 +160,7 @@ def terms(folded: str, most: int = REPEATS) -> Counter:
         for k in STEMS:
             if len(w) > k:
                 out[f" {w[:k]}"] += n
-    return Counter({t: min(n, most) for t, n in out.items()})
+    return out
 
 
 def sketch(folded: str) -> int:
@@ -148,13 +174,24 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TERMS) -> Lexicon:
+def surprise(with1: Column, n1: int, with0: Column, n0: int) -> Column:
+    """The log-likelihood ratio statistic of a two-by-two table: a term's texts among n1 toxic and n0 clean ones."""
+
+    def cell(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    both, every = with1 + with0, float(n1 + n0)
+    rest = F.lit(every) - both
+    return 2 * (cell(with1, both * n1 / every) + cell(with0, both * n0 / every) + cell(n1 - with1, rest * n1 / every) + cell(n0 - with0, rest * n0 / every))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """Learn a lexicon from ``labels`` (doc_id, toxic) outside the held-out fold, on at most ``sample`` rows.
 
-    The sample is bounded, so its ids are broadcast and its measures come to the driver; the term
-    counts are aggregated in the cluster and at most ``most`` terms come back. One text of those with
-    the same sketch and label counts, so copies don't make terms. Rows without a label or a
-    document are left out. Without a toxic row the lexicon is empty and every score is low.
+    The sample is bounded, so its ids are broadcast, its measures come to the driver, and so do the
+    terms that pass: there is no other cap. One text of those with the same sketch and label counts,
+    so copies don't make terms. Rows without a label or a document are left out. Without a toxic row, or
+    a term that passes, the lexicon is empty and every score is low.
     """
     ship(docs.sparkSession)
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out())
@@ -165,48 +202,66 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TE
         release()
         for batch in slices(batches, "text"):
             xs = [fold(t) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([pa.array([sketch(x) for x in xs]), batch.column("toxic").cast(pa.int32()), pa.array(xs)], names=["sketch", "toxic", "text"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits: tuple[Counter, Counter] = (Counter(), Counter())
-        texts_with: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def rows_of():
-            for toxic, (h, d) in enumerate(zip(hits, texts_with, strict=True)):
-                names = list(h)
-                yield pa.record_batch([pa.array(names, pa.string()), pa.array(np.full(len(names), toxic, np.int32)), pa.array([h[t] for t in names], pa.int64()), pa.array([d[t] for t in names], pa.int64())], names=["term", "toxic", "n", "texts"])
-                h.clear()
-                d.clear()
-
-        for batch in slices(batches, "text"):
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                found = terms(text)
-                hits[1 if toxic else 0].update(found)
-                texts_with[1 if toxic else 0].update(found.keys())
-            if len(hits[0]) + len(hits[1]) > 300_000:
-                yield from rows_of()
-        yield from rows_of()
+            toxic = [int(t == 1) for t in batch.column("toxic").to_pylist()]
+            yield pa.record_batch([pa.array([sketch(x) for x in xs]), pa.array(toxic, pa.int32()), pa.array(xs)], names=["sketch", "toxic", "text"])
+
+    def count(found) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Counts (term, toxic, n, texts) of what ``found`` gives for each text, summed in the task."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hits: tuple[Counter, Counter] = (Counter(), Counter())
+            texts_with: tuple[Counter, Counter] = (Counter(), Counter())
+
+            def rows_of():
+                for toxic, (h, d) in enumerate(zip(hits, texts_with, strict=True)):
+                    names = list(h)
+                    yield pa.record_batch([pa.array(names, pa.string()), pa.array(np.full(len(names), toxic, np.int32)), pa.array([h[t] for t in names], pa.int64()), pa.array([d[t] for t in names], pa.int64())], names=["term", "toxic", "n", "texts"])
+                    h.clear()
+                    d.clear()
+
+            for batch in slices(batches, "text"):
+                for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                    own = found(text)
+                    hits[toxic].update(own)
+                    texts_with[toxic].update(own.keys())
+                if len(hits[0]) + len(hits[1]) > 300_000:
+                    yield from rows_of()
+            yield from rows_of()
+
+        return run
+
+    def counted(found) -> DataFrame:
+        """term with n and texts of each label, in columns n1, n0, texts1, texts0."""
+        each = distinct.select("text", "toxic").mapInArrow(count(found), "term string, toxic int, n long, texts long")
+        of = lambda c, y: F.sum(F.when(F.col("toxic") == y, F.col(c)).otherwise(0)).alias(f"{c}{y}")
+        return each.groupBy("term").agg(of("n", 1), of("n", 0), of("texts", 1), of("texts", 0))
 
     # one row of the sample a sketch and label; at most `sample` texts are shuffled, once
     distinct = rows.mapInArrow(folded, "sketch long, toxic int, text string").groupBy("sketch", "toxic").agg(F.min("text").alias("text")).persist()
-    counted = distinct.select("text", "toxic").mapInArrow(count, "term string, toxic int, n long, texts long")
-    own = F.col("toxic") == 1
-    both = counted.groupBy("term").agg(F.sum(F.when(own, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(own, 0).otherwise(F.col("n"))).alias("c"), F.sum(F.when(own, F.col("texts")).otherwise(0)).alias("support"))
-    totals = {r["toxic"]: r["n"] for r in distinct.groupBy(F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    if not n1:
+    totals = {r["toxic"]: r for r in distinct.groupBy("toxic").agg(F.count("*").alias("texts"), F.sum(F.size(F.split(F.trim("text"), " +"))).alias("words")).collect()}
+    if 1 not in totals:
         distinct.unpersist()
         return Lexicon({})
-    odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
-    best = both.where(F.col("support") >= max(LEAST, SHARE * n1)).withColumn("w", odds).where(F.col("w") >= ODDS)
-    rows = best.orderBy(F.desc("support"), F.desc("w"), "term").limit(most).collect()
-    support = {r["term"]: r["t"] for r in rows}
+    (n1, w1), (n0, w0) = ((totals[y]["texts"], totals[y]["words"]) if y in totals else (0, 0) for y in (1, 0))
+    odds = F.log((F.col("n1") + 0.5) / (w1 + 1.0)) - F.log((F.col("n0") + 0.5) / (w0 + 1.0))
+    often = F.col("texts1") * (n0 + 1) > F.col("texts0") * (n1 + 1)
+    best = counted(terms).where(often & (F.col("texts1") >= LEAST)).withColumns({"w": odds, "g": surprise(F.col("texts1"), n1, F.col("texts0"), n0)})
+    rows = best.where((F.col("g") >= SIGNIFICANT) & (F.col("w") >= ODDS)).select("term", "w", "n1").collect()
+    support = {r["term"]: r["n1"] for r in rows}
     # a beginning that one longer term accounts for gives way to it; a longer term that adds nothing goes
     spelt = {t[:k] for t, n in support.items() for k in range(4, len(t)) if n >= 0.9 * support.get(t[:k], 1 << 60)}
     found = {r["term"]: r["w"] for r in rows if r["term"] not in spelt}
-    weights = {t: round(w, 6) for t, w in found.items() if not any(t[:k] in found and found[t[:k]] >= w - 0.7 for k in range(4, len(t)) if t[:k] != t)}
+    weights = {t: round(w, 6) for t, w in sorted(found.items()) if not any(t[:k] in found and found[t[:k]] >= w - 0.7 for k in range(4, len(t)) if t[:k] != t)}
+    if not weights:  # nothing to fit: every score is low
+        distinct.unpersist()
+        return Lexicon({})
     lexicon = Lexicon(weights)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(lexicon)
+    harmless = counted(lambda text: shared.value.phrases(text)).where((F.col("texts1") == 0) & (F.col("texts0") >= EXCEPT_LEAST))
+    lexicon.exceptions = (*lexicon.exceptions, *sorted(r["term"] for r in harmless.select("term").collect()))
+    lexicon._automaton = None
+    shared = spark.sparkContext.broadcast(lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TE
 
     pairs = distinct.select("text", "toxic").mapInArrow(measure, "x double, toxic int").collect()  # at most `sample` numbers
     distinct.unpersist()
-    lexicon.slope, lexicon.offset = logistic(np.log1p([p[0] for p in pairs]), np.array([1.0 if p[1] == 1 else 0.0 for p in pairs]))
+    lexicon.slope, lexicon.offset = logistic(np.log1p([p[0] for p in pairs]), np.array([float(p[1]) for p in pairs]))
     return lexicon
 
 
@@ -258,7 +313,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a score under 0.5, all columns."""
+    """The rows of ``docs`` with a score under 0.5, all columns.
+
+    Null and empty texts stay; repeated rows are decided alike, whatever their ids; without labels
+    every row stays; an empty table gives an empty result; other columns are passed on.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
