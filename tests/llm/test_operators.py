@@ -269,7 +269,7 @@ def test_choices_lose_no_link():
         assert any(a & m == b & m for _, m in simhash.choices())
 
 
-def test_pipeline_near_dedup_by_force(spark, docs, none):
+def test_pipeline_near_dedup_by_force(spark, docs, none, monkeypatch):
     import corpus_pipeline
 
     rng = np.random.default_rng(5)
@@ -311,13 +311,71 @@ def test_pipeline_near_dedup_by_force(spark, docs, none):
     assert got.columns == df.columns
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == want
     assert corpus_pipeline.simhash_dedup(spark, none, "").count() == 0
+    # shards and clusters that are dealt out lose nothing
+    monkeypatch.setattr(similar, "SAMPLE", 1)
+    monkeypatch.setattr(similar, "OFTEN", 2)
+    dealt = similar.drop_similar(df, hot=2, block=100)
+    assert sorted((r["doc_id"] for r in dealt.collect()), key=str) == want
+
+
+@pytest.mark.parametrize("small", [48, 2])
+def test_sets_are_joined_like_by_force(small, monkeypatch):
+    monkeypatch.setattr(similar, "SMALL", small)
+    rng = np.random.default_rng(21)
+    sets, group, side = [], [], []
+    for g in range(12):
+        base = rng.integers(0, 1 << 62, int(rng.integers(1, 60))).astype(np.uint64)
+        for _ in range(int(rng.integers(1, 70))):
+            own = np.where(rng.random(len(base)) < 0.08, rng.integers(0, 1 << 62, len(base)).astype(np.uint64), base)
+            sets.append(np.unique(own))
+            group.append(g)
+            side.append(int(rng.integers(0, 1 + g % 2)))
+    per, group, side = np.array([len(x) for x in sets]), np.array(group), np.array(side)
+    got = similar.joined_sets(similar.Sets(np.concatenate(sets), per), group, side, 0.8)
+    two = {g for g in range(12) if len(set(side[group == g])) > 1}
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if group[i] == group[j] and not (group[i] in two and side[i] == side[j]):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both / (per[i] + per[j] - both) >= 0.8:
+                    root[max(find(i), find(j))] = min(find(i), find(j))
+    assert got.tolist() == [find(i) for i in range(len(sets))]
+
+
+def test_near_joins_like_by_force():
+    rng = np.random.default_rng(22)
+    bucket = np.sort(rng.integers(0, 30, 600))
+    base = rng.integers(0, 1 << 62, 8).astype(np.uint64)
+    fp = base[rng.integers(0, 8, 600)] ^ (rng.integers(0, 1 << 62, 600).astype(np.uint64) & rng.integers(0, 1 << 62, 600).astype(np.uint64) & rng.integers(0, 1 << 62, 600).astype(np.uint64))
+    n, of = rng.integers(20, 90, 600), rng.permutation(np.arange(600) % 400)
+    got = similar.joined_in_buckets(bucket, fp, n, of, np.arange(400), 0.8)
+    root = list(range(400))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(600):
+        for j in range(i):
+            if bucket[i] == bucket[j] and int(fp[i] ^ fp[j]).bit_count() <= similar.RADIUS and similar.sizes_allow(n[i : i + 1], n[j : j + 1], 0.8)[0]:
+                a, b = find(of[i]), find(of[j])
+                root[max(a, b)] = min(a, b)
+    assert got.tolist() == [find(i) for i in range(400)]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7])
 def test_groups_hold_whole_keys(n):
     key = np.sort(np.random.default_rng(n).integers(0, 6, 40))
     parts = [pa.record_batch([pa.array(key[a : a + n])], names=["key"]) for a in range(0, 40, n)]
-    got = [g["key"] for g in similar._groups(iter(parts))]
+    got = [g["key"] for g in simhash.whole_groups(iter(parts), ["key"], n)]
     assert np.concatenate(got).tolist() == key.tolist()
     assert all(x[-1] < y[0] for x, y in zip(got[:-1], got[1:], strict=True))
 
@@ -459,13 +517,54 @@ def test_leaks_by_force():
     assert {g[:2] for g in found.search(words, per, 0.8)} == want
 
 
-def test_multi_index_finds_all_within_radius():
+@pytest.mark.parametrize("n", [50, 4000])
+def test_multi_index_finds_all_within_radius(n):
     rng = np.random.default_rng(2)
-    fps = rng.integers(0, 1 << 63, 50).astype(np.uint64)
-    queries_ = fps[:20] ^ np.uint64(0b1011 << 30)
-    q, f = decontam.MultiIndex(fps, 24).search(queries_)
-    want = {(a, b) for a in range(20) for b in range(50) if int(queries_[a] ^ fps[b]).bit_count() <= 24}
-    assert set(zip(q.tolist(), f.tolist(), strict=True)) == want
+    fps = rng.integers(0, 1 << 63, (n, decontam.LANES)).astype(np.uint64)
+    queries_ = fps[:40].copy()
+    for k, row in enumerate(queries_):  # from 44 to 83 differences, at any places
+        for bit in rng.choice(256, 44 + k, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    index = decontam.MultiIndex(fps)
+    q, f = index.search(queries_)
+    want = {(a, b) for a in range(40) for b in range(n) if sum(int(x).bit_count() for x in queries_[a] ^ fps[b]) <= decontam.RADIUS}
+    assert set(zip(q.tolist(), f.tolist(), strict=True)) == want and len(want) >= 20
+    # the buckets leave most fingerprints out, whether flips or occupied buckets are gone through
+    met = sum(len(np.concatenate([[0], *(x[1] for x in [index.near_buckets(queries_[:1, 0].astype(np.uint16), b)])])) for b in range(decontam.BLOCKS))
+    assert met < 0.3 * n * decontam.BLOCKS / 2
+    assert decontam.MultiIndex(fps[:0]).search(queries_)[0].size == 0
+
+
+def test_leaks_among_thousands_of_equal_length():
+    rng = np.random.default_rng(3)
+    items = [[f"w{x}" for x in rng.integers(0, 300, 14)] for _ in range(3000)]
+    one = lambda w: decontam.word_hashes(pa.array([" ".join(w)]))[0]
+    found = decontam.Items([(f"item {i}", one(w)) for i, w in enumerate(items)])
+    texts = [["x"] * 5 + items[k] + ["y"] * 5 for k in range(0, 3000, 100)] + [items[7][:13] + ["z"], items[8][:7] + items[9][7:]]
+    words, per = decontam.word_hashes(pa.array([" ".join(t) for t in texts]))
+    got = {(g[0], g[1]) for g in found.search(words, per, 0.8)}
+    assert got == {(k, f"item {100 * k}") for k in range(30)} | {(30, "item 7")}
+
+
+def test_words_of_any_script():
+    words = "eins zwei drei vier fünf sechs sieben acht neun zehn elf naïve".split()
+    same = [" ".join(words), "“" + "” “".join(words) + "”", "—".join(words), "\u00a0".join(words), "…".join(w.upper() for w in words), "«" + "»、«".join(words) + "»", "\u3000".join(words) + "。"]
+    hashes = [decontam.word_hashes(pa.array([t]))[0].tolist() for t in same]
+    assert all(h == hashes[0] and len(h) == len(words) for h in hashes)
+    other = decontam.word_hashes(pa.array(["日本語 e\u0301a ١٢ 𝐀𝐁", None, "", "—“”"]))
+    assert other[1].tolist() == [4, 0, 0, 0]
+
+
+def test_leaks_with_quotes_and_long_texts(spark):
+    rng = np.random.default_rng(6)
+    item = [f"word{x}" for x in rng.integers(0, 900, 18)]
+    filler = [f"f{x}" for x in rng.integers(0, 5000, 60_000)]
+    rows = [("a", "say " + " ".join(f"“{w}”" for w in item)), ("b", " ".join(f"—{w}" for w in item)), ("c", " ".join(filler[:30_000] + item + filler[30_000:])), ("d", " ".join(filler)), (None, None), ("a", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("item_id", F.lit(0)).withColumn("similarity", F.lit("x"))
+    bench = spark.createDataFrame([("q1", " ".join(item)), (None, "—")], "item_id string, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["similarity"], r["start_word"], r["n_words"]) for r in decontam.leaks(docs, bench).collect())
+    assert got == [("a", "q1", 1.0, 1, 18), ("b", "q1", 1.0, 0, 18), ("c", "q1", 1.0, 30_000, 18)]
+    assert many(r["doc_id"] for r in decontam.drop_leaks(docs, bench).collect()) == many(["d", None, "a"])
 
 
 # chats
@@ -486,6 +585,21 @@ def test_chat(spark):
     assert chat.digests(chat.format_conversations(rows.limit(0))).count() == 0
 
 
+def test_chat_query_by_force(spark, tmp_path):
+    """The query itself, conversation -1 included, against a plain version; roles that look like others are kept apart."""
+    rows = [*CONVERSATIONS, (4, 0, "user\\n", "a"), (4, 1, "assistant\n", "not in the mask"), (4, 2, "assistant", "<\\\\|x|>")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in queries.op2_chat(spark, str(tmp_path)).collect()}
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows += [(-1, 0, "user", said), (-1, 1, "assistant", said)]
+    assert set(got) == {c for c, *_ in rows}
+    for conv, x in got.items():
+        turns = [(r or "", t or "") for c, _, r, t in sorted((y for y in rows if y[0] == conv), key=lambda y: y[1])]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert (x["n_turns"], x["loss_chars"], x["loss_sha256"], x["turns_sha256"]) == (len(turns), len(loss), sha(loss), sha("".join(f"{r}\n{t}\n" for r, t in turns)))
+        assert x["formatted_chars"] == len(chat.chatml(turns))
+
+
 @given(st.lists(st.tuples(st.text(max_size=6), st.text(alphabet="<|\\im_endstar>ab\n", max_size=30)), max_size=4))
 @settings(max_examples=150, deadline=None)
 def test_chat_escapes_can_be_undone(turns):
@@ -527,9 +641,109 @@ def test_secrets(spark, docs, none):
     assert secret_scan.scan(none).count() == 0
 
 
+def base_by_force(t):
+    """Kind, start and end of the base matches, by a plain scan."""
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
+        if len(m[2]) >= 12:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+    return [(("assign", "access", "hex")[k], a, b) for a, k, b in sorted(found)]
+
+
+def test_base_secrets_by_force(spark):
+    rng = np.random.default_rng(11)
+    bits = ["password", "API_KEY", "token", "Secret", "apikey", " ", "  ", ":", "=", '"', "'", "é", "日本", "\n", "AKIA", "QWERTYUIOP12", "deadbeef0123", "abcdef", "x.y/z", "0123456789", "-_", "𝐀", "."]
+    texts = ["".join(rng.choice(bits, int(rng.integers(0, 40)))) for _ in range(400)]
+    texts += [" ".join(f"token={x:013d}" for x in range(3000)), "f" * 50_000, "", None]
+    docs = spark.createDataFrame([(f"d{k}", t, "x", 1) for k, t in enumerate(texts)], "doc_id string, text string, match string, start int")
+    got = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        want, r = base_by_force(t or ""), got[f"d{k}"]
+        assert r["base_sha256"] == sha(",".join(f"{n}:{a}:{b}" for n, a, b in want)), t
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(n == kind for n, _, _ in want) for kind in ("assign", "access", "hex"))
+    assert got["d400"]["n_assign"] == 3000
+
+
+def test_best_part_by_force(spark):
+    rng = np.random.default_rng(12)
+    table = [round(float(x), 4) for x in rng.normal(0, 2, 128 * 128)]
+    tokens = ["".join(chr(x) for x in rng.integers(33, 127, int(n))) for n in rng.integers(12, 60, 200)]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.likelihood_ratio(F.col("t"), table).alias("x"))
+    for r in rows.collect():
+        x = [table[ord(a) * 128 + ord(b)] for a, b in zip(r["t"], r["t"][1:], strict=False)]
+        want = max(sum(x[i:j]) for i in range(len(x)) for j in range(i + 11, len(x) + 1))
+        assert abs(r["x"] - want) < 1e-6
+
+
+def test_secrets_held_out(spark):
+    """Keys of other random draws are found and identifiers of other modules are not; words joined to a key don't hide it."""
+    import random
+    import string
+
+    r = random.Random(5)
+    kinds = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits]
+    keys = ["".join(r.choice(kinds[k % 3]) for _ in range(12 + k % 20)) for k in range(600)]
+    import decimal
+    import inspect
+    import tarfile
+    import xml.dom.minidom
+    import zipfile
+
+    names = sorted({n for m in (decimal, inspect, tarfile, xml.dom.minidom, zipfile) for n in dir(m) if len(n) >= 12 and not n.startswith("__")} - set(secret_scan.library_names()))
+    ordinary = names + [f"{a}_{b}" for a, b in zip(names, names[1:], strict=False)] + [f"2024-{m:02d}-{d:02d}-10" for m in range(1, 13) for d in range(1, 29)]
+    rows = [(k, f"see {t} here") for k, t in enumerate(keys)] + [(1000 + k, f"see path/of/words-{t}_and_more here") for k, t in enumerate(keys)] + [(5000 + k, f"see {t} here") for k, t in enumerate(ordinary)]
+    found = {x["doc_id"]: x["n_random"] for x in secret_scan.scan(spark.createDataFrame(rows, SCHEMA)).where("n_random > 0").collect()}
+    recall = sum(k in found for k in range(600)) / 600
+    joined = sum(1000 + k in found for k in range(600)) / 600
+    wrong = sum(k >= 5000 for k in found)
+    print("recall", recall, "joined", joined, "false", wrong, "of", len(ordinary))
+    assert recall >= 0.95 and joined >= 0.95 and wrong <= 0.01 * len(ordinary)
+
+
 # toxicity
 
 
+def scored_by_force(lexicon, text):
+    """The measure by a plain scan over every place of the folded text."""
+    words = toxicity.fold(text).split()
+    line = f" {' '.join(words)} "
+    covered = [(m.start(), m.start() + len(p) + 2) for p in lexicon.exceptions for m in re.finditer(f"(?= {re.escape(p)} )", line)]
+    best = {}
+    for term, w in lexicon.weights.items():
+        for m in re.finditer(f"(?={re.escape(term)})", line):
+            a, b = m.start(), m.start() + len(term)
+            if not any(x <= a and b <= y for x, y in covered):
+                best[a] = max(best.get(a, 0.0), w)
+    return 100 * sum(best.values()) / max(toxicity.SHORT, len(words))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "Id10t", "idiotic", "proof", "trash", "can", "іdiot", "x", ",", "!", "tra\u00adsh", "clean", "idi", "  "]), max_size=25))
+def test_matches_are_those_of_a_plain_scan(parts):
+    lexicon = toxicity.Lexicon({" idiot ": 5.0, " idiot": 3.0, " trash": 4.0, " can ": 1.0}, ("trash can", "idiot proof"))
+    for text in (" ".join(parts), "".join(parts)):
+        assert abs(lexicon.measure(text) - scored_by_force(lexicon, text)) < 1e-9
+
+
+def test_exceptions_are_learnt(spark):
+    rng = np.random.default_rng(9)
+    rows, labels = [], []
+    for k in range(900):
+        words = [f"w{x}" + "abcdefgh"[x % 8] for x in rng.integers(0, 3000, 40)]
+        if k % 5 == 0:
+            words[3] = words[30] = "vilemuck"
+        elif k % 5 == 1 and k % 2:
+            words[3:5] = ["vilemuck", "filter"]
+        rows.append((f"id {k}", " ".join(words)))
+        labels.append((f"id {k}", int(k % 5 == 0)))
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(labels, "doc_id string, toxic int"))
+    assert "vilemuck filter" in lexicon.exceptions and " vilemuck " in lexicon.weights
+    assert lexicon.score("clean words and a vilemuck filter too " * 3) < 0.5 < lexicon.score("you are a vilemuck and a vilemuck again")
+
+
 def test_toxicity(spark, none):
     bad = ["vilemuck", "gruntoaf"]
     rng = np.random.default_rng(4)
