@@ -353,7 +353,8 @@ def test_near_joins_like_by_force():
     rng = np.random.default_rng(22)
     bucket = np.sort(rng.integers(0, 30, 600))
     base = rng.integers(0, 1 << 62, 8).astype(np.uint64)
-    fp = base[rng.integers(0, 8, 600)] ^ (rng.integers(0, 1 << 62, 600).astype(np.uint64) & rng.integers(0, 1 << 62, 600).astype(np.uint64) & rng.integers(0, 1 << 62, 600).astype(np.uint64))
+    some = lambda: rng.integers(0, 1 << 62, (600, similar.LANES)).astype(np.uint64)
+    fp = (base[rng.integers(0, 8, 600)][:, None] * np.arange(1, similar.LANES + 1, dtype=np.uint64)) ^ (some() & some() & some())
     n, of = rng.integers(20, 90, 600), rng.permutation(np.arange(600) % 400)
     got = similar.joined_in_buckets(bucket, fp, n, of, np.arange(400), 0.8)
     root = list(range(400))
@@ -365,7 +366,7 @@ def test_near_joins_like_by_force():
 
     for i in range(600):
         for j in range(i):
-            if bucket[i] == bucket[j] and int(fp[i] ^ fp[j]).bit_count() <= similar.RADIUS and similar.sizes_allow(n[i : i + 1], n[j : j + 1], 0.8)[0]:
+            if bucket[i] == bucket[j] and similar.within(fp[i : i + 1], fp[j : j + 1])[0] and similar.sizes_allow(n[i : i + 1], n[j : j + 1], 0.8)[0]:
                 a, b = find(of[i]), find(of[j])
                 root[max(a, b)] = min(a, b)
     assert got.tolist() == [find(i) for i in range(400)]
