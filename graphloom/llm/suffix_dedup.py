@@ -4,7 +4,9 @@ Routing. Every window of SPAN bytes chooses an anchor: the GRAM bytes in it with
 first of equals. Equal windows have equal anchors at equal places, so only windows with the same
 anchor can be equal. The windows of one place that chose the same anchor make a segment of text.
 Equal segments are counted by digest, first within each task and then over all: every window of a
-segment that occurs twice is repeated, whatever the number of copies. Of segments with a common
+segment that occurs twice is repeated, whatever the number of copies. Segments count as equal if two
+independent hashes of 64 bits agree: the polynomial one of the anchor's GRAM bytes, and the XXH64 of the
+whole segment, seeded with its length and the anchor's place. Of segments with a common
 anchor but different text, one copy of each goes to the anchor's shard, since parts of it may be
 equal. All other segments hold no repeated window.
 
@@ -13,6 +15,10 @@ induced sorting (``suffix_sort``). Two neighbours with a common prefix of SPAN b
 repeated windows; the segments' own windows never overlap, so each is another place.
 
 What was found goes back to all places of a segment, and each document's spans are joined and cut out.
+
+Passages of words are found the same way in a text of which every word is written as CODE bytes of its
+hash, one after the other: a string of CODE * n bytes that starts anywhere else holds n - 1 words or more
+that stand in that order elsewhere, whatever the white space between them.
 """
 
 from __future__ import annotations
@@ -22,18 +28,23 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ROW, dropped, ship, stored, with_row
+from graphloom.llm.common import ROW, dropped, ship, stored, swept, with_row
 from graphloom.llm.decontam import _MIX, _POWERS, mixed
 from graphloom.llm.suffix_sort import Scratch, sorted_suffixes
-from graphloom.llm.textbatch import flat, release, slices
+from graphloom.llm.textbatch import binary, flat, release, slices, words
 
 SPAN, GRAM = 400, 200
+#: Words of a passage, and bytes that stand for a word where passages are searched.
+PASSAGE, CODE = 51, 4
 #: Tuples that a sorting task holds in memory, and names that it sorts there.
 MEMORY, NAMES = 1 << 23, 1 << 22
 _PIECE = 1 << 23
+#: Files of a table whose names are broadcast at most.
+FILES = 50_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -70,7 +81,10 @@ def _segments(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tu
     place = (least[window] & _PLACE).astype(np.int64)
     head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)))
     start, end = window[head], window[np.append(head[1:], len(window)) - 1] + span
-    digest = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _MIX)
+    raw = data.tobytes()
+    xxh64 = xxhash.xxh64_intdigest
+    seed = (((place[head] - start) << _BITS) | (end - start)).tolist()
+    digest = np.fromiter((xxh64(raw[a:b], c) for a, b, c in zip(start.tolist(), end.tolist(), seed, strict=True)), np.uint64, len(start))
     text = np.searchsorted(offsets, start, side="right") - 1
     return text, start - offsets[text], place[head] - start, end - start, hashes[place[head]], digest
 
@@ -197,7 +211,9 @@ def numbered(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty) and row, a number for each row that is the same at every reading."""
     spark = docs.sparkSession
     named = with_row(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    files = sorted(r[0] for r in named.select(f"{ROW}.file").distinct().collect())  # a row for each file of the table
+    files = sorted(r[0] for r in named.select(f"{ROW}.file").distinct().limit(FILES + 1).collect())
+    if len(files) > FILES:  # too many names to broadcast: the rows are stored once, numbered
+        return stored(named.drop(ROW).withColumn("row", F.monotonically_increasing_id()), "numbered")
     table = spark.createDataFrame([(f, k) for k, f in enumerate(files)], "file string, k long")
     return named.join(F.broadcast(table), named[ROW]["file"] == table["file"]).select("doc_id", "text", (F.shiftleft("k", 38) + F.col(f"{ROW}.at")).alias("row"))
 
@@ -231,7 +247,42 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: i
     spark.sparkContext._jvm.System.gc()  # lets the driver's cleaner drop shuffle files that are done with
     start = F.shiftright("at", 2 * _BITS)
     hits = found.join(known, ["anchor", "digest"]).select("row", F.transform("spans", lambda s: F.struct((s["start"] + start).alias("start"), (s["end"] + start).alias("end"))).alias("spans"))
-    return hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = stored(hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    dropped(found)
+    dropped(known)
+    swept(spark)
+    return out
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every word as CODE digits (0 to 254) of its hash, and the offsets of the texts in them."""
+    starts, ends, per = words(data, offsets)
+    up, down = _POWERS.get(len(data))
+    sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up))
+    value = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX)
+    digits = np.empty((len(value), CODE), np.uint8)
+    for k in range(CODE):
+        digits[:, k] = value % np.uint64(255)
+        value = value // np.uint64(255)
+    return digits.ravel(), np.append(0, np.cumsum(per)) * CODE
+
+
+def coded(rows: DataFrame) -> DataFrame:
+    """row and text, which is the words' codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in slices(batches, "text"):
+            data, offsets = word_codes(*flat(batch.column("text")))
+            yield pa.record_batch([batch.column("row"), binary(data, offsets)], names=["row", "text"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, text binary")
+
+
+def passages(rows: DataFrame, least: int = PASSAGE) -> DataFrame:
+    """row and passages (array of start, end in codes) of each numbered row with ``least`` words in a row that stand elsewhere too."""
+    span = least * CODE
+    return repeated_spans(coded(rows), span, span // 2).withColumnRenamed("spans", "passages")
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -245,8 +296,12 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
 
 
 def removal_digests(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``remove_repeats``, taken in the same task."""
-    return _cut(docs, span, gram, _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``remove_repeats``, taken in the same task.
+
+    Besides, n_passages and passage_words: how many runs of PASSAGE words or more also stand elsewhere,
+    whether or not they have ``span`` bytes, and the words in them. Nothing is removed for these.
+    """
+    return _cut(docs, span, gram, _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long", True)
 
 
 def _cells(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]], bytes]]:
@@ -254,10 +309,7 @@ def _cells(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]]
     raw = memoryview(data.tobytes())
     for k, spans in enumerate(batch.column("spans")):
         text = raw[offsets[k] : offsets[k + 1]]
-        runs: list[tuple[int, int]] = []
-        if spans.is_valid and len(spans.values):
-            start, end = (spans.values.field(c).to_numpy() for c in ("start", "end"))
-            runs = joined(start, end)
+        runs = _runs(spans)
         at, parts = 0, []
         for a, b in runs:
             parts.append(text[at:a])
@@ -271,16 +323,27 @@ def _kept(batch: pa.RecordBatch) -> list[pa.Array]:
     return [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 
 
+def _runs(spans: pa.Scalar) -> list[tuple[int, int]]:
+    if not spans.is_valid or not len(spans.values):
+        return []
+    return joined(*(spans.values.field(c).to_numpy() for c in ("start", "end")))
+
+
 def _digest(batch: pa.RecordBatch) -> list[pa.Array]:
-    rows = [(len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest()) for t, runs, kept in _cells(batch)]
-    return [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+    rows = []
+    for (t, runs, kept), found in zip(_cells(batch), batch.column("passages"), strict=True):
+        in_words = [b // CODE + -a // CODE for a, b in _runs(found)]  # whole words only
+        rows.append((len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), len(in_words), sum(in_words)))
+    return [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))]
 
 
-def _cut(docs: DataFrame, span: int, gram: int, make, schema: str) -> DataFrame:
+def _cut(docs: DataFrame, span: int, gram: int, make, schema: str, with_passages: bool = False) -> DataFrame:
     if not gram < span < 1 << (_BITS - 1):
         raise ValueError("an anchor must be shorter than a span, and a span under 2048 bytes")
     rows = numbered(docs)
-    spans = repeated_spans(rows, span, gram)
+    found = rows.join(repeated_spans(rows, span, gram), "row", "left")
+    if with_passages:
+        found = found.join(passages(rows), "row", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
 
@@ -289,4 +352,4 @@ def _cut(docs: DataFrame, span: int, gram: int, make, schema: str) -> DataFrame:
         for batch in slices(batches, "text"):
             yield pa.record_batch([batch.column("doc_id"), *make(batch)], names=names)
 
-    return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, {schema}")
+    return found.drop("row").mapInArrow(run, f"doc_id {kind}, {schema}")
