@@ -455,7 +455,8 @@ def test_remove_repeats(spark, docs, none, crowd, monkeypatch):
     more = [(20 + k, word(int(rng.integers(0, 700))) + (shared[k:] if k % 3 else line) + word(300)) for k in range(30)]
     more += [(60, "-" * 2000), (61, shared + shared)]
     every = TEXTS + more
-    got = [tuple(r) for r in suffix_dedup.removal_digests(docs.select("doc_id", "text").union(spark.createDataFrame(more, SCHEMA))).collect()]
+    rows = suffix_dedup.removal_digests(docs.select("doc_id", "text").union(spark.createDataFrame(more, SCHEMA))).collect()
+    got = [tuple(r)[:5] for r in rows]
     raw = [(t or "").encode() for _, t in every]
     want = []
     for (d, _), t, runs in zip(every, raw, runs_by_force(raw, 400), strict=True):
@@ -465,6 +466,31 @@ def test_remove_repeats(spark, docs, none, crowd, monkeypatch):
         want.append((d, len(t), sum(b - a for a, b in runs), len(runs), sha(kept + t[at:])))
     assert many(got) == many(want)
     assert suffix_dedup.removal_digests(none).count() == 0
+    # words of passages: those in 51 words or more that stand elsewhere
+    tokens = [re.findall(rb"[^\x20\x09-\x0D]+", t) for t in raw]
+    seen = {}
+    for w in tokens:
+        for i in range(len(w) - 50):
+            seen[tuple(w[i : i + 51])] = seen.get(tuple(w[i : i + 51]), 0) + 1
+    covered = []
+    for (d, _), w in zip(every, tokens, strict=True):
+        own = np.zeros(len(w), bool)
+        for i in range(len(w) - 50):
+            if seen[tuple(w[i : i + 51])] > 1:
+                own[i : i + 51] = True
+        covered.append((d, int(own.sum())))
+    assert many((r["doc_id"], r["passage_words"]) for r in rows) == many(covered) and sum(n for _, n in covered) > 4000
+    assert all((r["n_passages"] > 0) == (r["passage_words"] > 0) for r in rows)
+
+
+def test_short_passages_of_many_words(spark):
+    """Over 50 words that stand in other texts are found, though they have fewer than 400 bytes; 50 words are not."""
+    rng = np.random.default_rng(30)
+    word = lambda n: ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n)]
+    long, short = word(55), word(49)
+    rows = [(1, " ".join(word(40) + long + word(30))), (2, "\n".join(word(7) + long + word(60))), (3, " ".join(word(9) + short + word(20))), (4, " ".join(short + word(50))), (5, " ".join(word(300)))]
+    got = {r["doc_id"]: (r["n_removed"], r["n_passages"], r["passage_words"]) for r in suffix_dedup.removal_digests(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (0, 1, 55), 2: (0, 1, 55), 3: (0, 0, 0), 4: (0, 0, 0), 5: (0, 0, 0)}
 
 
 # leaks
