@@ -121,6 +121,8 @@ TS_TYPE = r"(export\s+)?type\s+(\w+)\s*="
 TS_IMPORT = r"(?:import|require)\s*\(?['\"]([\w@/.\-]+)['\"]\)?"
 TS_CALL, TS_NOT_CALLS = r"\b([\w.]+)\s*\(", ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "instanceof")
 TS_ROUTE = r"(?i)(?:app|router)\s*\.\s*(get|post|put|patch|delete|all|use)\s*\("
+# How far from its head a block or an arrow belongs to a declaration, and how far behind an arrow a block does.
+BRACE_NEAR, ARROW_NEAR, ARROW_TO_BRACE = 500, 200, 100
 TS_METHOD = r"^([ \t]+)(?:(?:public|private|protected|static|async|readonly|override|abstract|declare)\s+)*(?:get\s+|set\s+)?([A-Za-z_$][\w$]*)\s*\("
 TS_METHOD_CLASS = r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"
 TS_NOT_METHODS = ("constructor", "if", "for", "while", "switch", "return", "catch", "function")
@@ -150,7 +152,7 @@ PY_HTTP_CALL = r"(?i)\b(?:requests|httpx|session|client)\.(get|post|put|delete|p
 # Limits.
 RAW_CALLS, IMPORTS, SYMBOLS, SCC_GROUPS, PIVOTAL, MODULE_EDGES, LAYER, DOC = 80, 60, 20_000, 40, 200, 400, 200, 400
 FLOWS, FLOW_DEPTH, FLOW_FAN, FLOW_CHAINS, FLOW_HUBS = 12, 4, 2, 2, 8
-CALLER_DETAILS, LEDGER_CAP = 25, 40
+CALLER_DETAILS, LEDGER_CAP, CONTEXT_FLOWS = 25, 40, 3
 FUNCTION_KINDS, CLASS_KINDS = ("function", "method"), ("class", "interface", "type", "struct")
 
 # Called names that hide calls, with how serious each is.

@@ -173,11 +173,12 @@ def _core_components(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "component"])
 
 
-def components(edges: DataFrame, core_limit: int = 200_000, rounds: int = 3) -> DataFrame:
+def components(edges: DataFrame, core_limit: int = 1_000_000, rounds: int = 3) -> DataFrame:
     """id and component (least member) of every node in a strong component of two or more.
 
     A few rounds of trimming leave the core, which is counted. A core of at most ``core_limit`` edges
-    is solved in one task; a larger one by colouring: colours spread forward (least id wins), the
+    is solved in one task (a bound on that task's memory, not on results: both ways give the same
+    rows); a larger one by colouring: colours spread forward (least id wins), the
     nodes that reach back to their colour's root within the colour are its component, and the rest
     goes on.
     """
@@ -245,10 +246,12 @@ def component_groups(members: DataFrame, edges: DataFrame, limit: int = fixed.SC
 # paths
 
 
-def ranked_callees(nodes: DataFrame, edges: DataFrame, fan_limit: int = fixed.FLOW_FAN) -> DataFrame:
-    """Each source's ``fan_limit`` targets with the most callers: src, dst, k."""
-    indegree = edges.groupBy("dst").agg(F.count("*").alias("callers"))
-    known = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").join(indegree, "dst")
+def ranked_callees(nodes: DataFrame, edges: DataFrame, fan_limit: int = fixed.FLOW_FAN, sources: DataFrame | None = None) -> DataFrame:
+    """Each source's ``fan_limit`` targets with the most callers: src, dst, k. With ``sources`` (src) only theirs are ranked."""
+    own = edges if sources is None else edges.join(sources, "src", "left_semi")
+    known = own.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    counted = edges if sources is None else edges.join(known.select("dst").distinct(), "dst", "left_semi")
+    known = known.join(counted.groupBy("dst").agg(F.count("*").alias("callers")), "dst")
     k = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("callers"), "dst"))
     return known.withColumn("k", k).where(F.col("k") <= fan_limit).select("src", "dst", "k")
 
@@ -257,16 +260,17 @@ def chains(entries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int =
     """All maximal simple paths of at most ``depth`` nodes from each entry (ord, id) along the ranked callees.
 
     Columns: ord, path (ids), turns (rank of each step). A path ends at the depth, or where every
-    ranked callee is on it already.
+    ranked callee is on it already. Only callees of nodes that a path has come to are ranked.
     """
-    step = ranked_callees(nodes, edges, fan_limit)
-    alive = entries.select("ord", F.array("id").alias("path"), F.array().cast("array<int>").alias("turns"))
+    ensure_checkpoint_dir(edges.sparkSession)
+    alive = entries.select("ord", F.array("id").alias("path"), F.array().cast("array<int>").alias("turns")).checkpoint()
     ended = []
     for _ in range(depth - 1):
         tip = F.element_at("path", -1)
+        step = ranked_callees(nodes, edges, fan_limit, alive.select(tip.alias("src")).distinct())
         grown = alive.join(step, tip == step.src, "left").withColumn("fresh", F.col("dst").isNotNull() & ~F.array_contains("path", F.col("dst")))
         ended.append(grown.groupBy("ord", "path", "turns").agg(F.bool_or("fresh").alias("any")).where("not any").select("ord", "path", "turns"))
-        alive = grown.where("fresh").select("ord", F.concat("path", F.array("dst")).alias("path"), F.concat("turns", F.array("k")).alias("turns"))
+        alive = grown.where("fresh").select("ord", F.concat("path", F.array("dst")).alias("path"), F.concat("turns", F.array("k")).alias("turns")).checkpoint()
     out = alive
     for e in ended:
         out = out.union(e)
@@ -279,13 +283,63 @@ def flows(entries: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = f
     Of each entry its two longest chains count (of equal length the one that turned to later-ranked
     callees first), chains of one node and repeated chains are left out, and the first ``limit`` in
     order of entry stay. ``entries`` are (ord, id); those that are no function or method are skipped.
+    Entries are walked from in order, a growing number at a time, until ``limit`` flows are found.
     """
-    own = entries.join(nodes.where(F.col("kind").isin(*fixed.FUNCTION_KINDS)).select("id"), "id", "left_semi")
+    ensure_checkpoint_dir(edges.sparkSession)
+    own = entries.join(nodes.where(F.col("kind").isin(*fixed.FUNCTION_KINDS)).select("id"), "id", "left_semi").select("ord", "id").checkpoint()
     later = F.transform("turns", lambda t: -t)
     rank = F.row_number().over(Window.partitionBy("ord").orderBy(F.desc(F.size("path")), later))
-    best = chains(own, nodes, edges, depth).withColumn("rank", rank).where((F.col("rank") <= fixed.FLOW_CHAINS) & (F.size("path") >= 2))
-    first = best.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("ord", "rank"))).where("k = 1")
-    return first.orderBy("ord", "rank").limit(limit).select("ord", F.get("path", F.lit(0)).alias("entry_id"), "path", F.size("path").cast("long").alias("length"))
+    one_each = F.row_number().over(Window.partitionBy("path").orderBy("ord", "rank"))
+    found, left, take = None, own, 4 * limit
+    while True:
+        some = left.orderBy("ord").limit(take).checkpoint()
+        best = chains(some, nodes, edges, depth).withColumn("rank", rank).where((F.col("rank") <= fixed.FLOW_CHAINS) & (F.size("path") >= 2)).select("ord", "path", "rank")
+        every = best if found is None else found.union(best)
+        found = every.withColumn("k", one_each).where("k = 1").drop("k").checkpoint()
+        if some.count() < take or found.limit(limit).count() >= limit:
+            break
+        left, take = left.join(some.select("ord"), "ord", "left_anti"), 4 * take
+    return found.orderBy("ord", "rank").limit(limit).select("ord", F.get("path", F.lit(0)).alias("entry_id"), "path", F.size("path").cast("long").alias("length"))
+
+
+def flow_membership(found: DataFrame, ids: DataFrame, most: int = fixed.CONTEXT_FLOWS) -> DataFrame:
+    """id and flows: the first ``most`` flows (ord, entry_id, path) that hold each id, in order."""
+    # of each flow its node and place only; flows are capped, their nodes are joined by equality
+    step = found.select("ord", "entry_id", "path", F.explode(F.array_distinct("path")).alias("id")).join(ids.select("id").distinct(), "id", "left_semi")
+    k = F.row_number().over(Window.partitionBy("id").orderBy("ord", F.col("path").cast("string")))
+    kept = step.withColumn("k", k).where(F.col("k") <= most)
+    return kept.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ord", "entry_id", "path"))), lambda x: F.struct(x["ord"].alias("ord"), x["entry_id"].alias("entry_id"), x["path"].alias("path"))).alias("flows"))
+
+
+def entry_flows(entries: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Entries (ord, symbol_id, name) with the path of their flow: the first that starts at the symbol, else at one of that name."""
+    at = lambda keys: found.groupBy(*keys).agg(F.min_by("path", F.struct("ord", F.col("path").cast("string"))).alias("path"))
+    by_id = at([F.col("entry_id").alias("symbol_id")]).withColumnRenamed("path", "own_path")
+    named = found.join(nodes.select(F.col("id").alias("entry_id"), F.col("name").alias("flow_name")), "entry_id")
+    by_name = named.groupBy(F.col("flow_name").alias("name")).agg(F.min_by("path", F.struct("ord", F.col("path").cast("string"))).alias("name_path"))
+    rows = entries.select("ord", "symbol_id", "name").join(by_id, "symbol_id", "left").join(by_name, "name", "left")
+    return rows.select("ord", "symbol_id", "name", F.coalesce("own_path", "name_path").alias("path"))
+
+
+def hub_files(dependents: DataFrame, path: str, least: int = 3) -> DataFrame:
+    """Files other than ``path`` with ``least`` dependents or more: dependents (path, dependents_count, ...)."""
+    return dependents.where((F.col("dependents_count") >= least) & (F.col("path") != path))
+
+
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """type, n: edges of each type, and of all under ``total``."""
+    by_type = edges.groupBy("type").agg(F.count("*").alias("n"))
+    return by_type.union(by_type.agg(F.lit("total").alias("type"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n")))
+
+
+def short_name_degree(links: DataFrame, limit: int = 40) -> DataFrame:
+    """name, out_degree: the ``limit`` short names (after the last dot or ``::``) that call the most different short names.
+
+    The limit is the feature; links (src, dst) are dotted names, a name's calls of itself don't count.
+    """
+    short = lambda c: F.regexp_extract(F.col(c).cast("string"), r"([^.:]*)$", 1)
+    distinct = links.select(short("src").alias("name"), short("dst").alias("other")).where("name <> other").distinct()
+    return distinct.groupBy("name").agg(F.count("*").alias("out_degree")).orderBy(F.desc("out_degree"), "name").limit(limit)
 
 
 def hubs(nodes: DataFrame, edges: DataFrame, limit: int = fixed.FLOW_HUBS) -> DataFrame:
@@ -366,23 +420,46 @@ def tree_rows(symbols: DataFrame) -> DataFrame:
     return modules.union(folder_rows).union(file_rows).union(symbol_rows)
 
 
+def sibling_order(rows: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
+    """Tree rows with ``position`` (from 1) among the children of their parent.
+
+    By kind (module, folder, file, symbol); modules with more children first; symbols by the rank of
+    ``ranked`` (id, rank) where they have one; then by label and node_id.
+    """
+    kinds = F.create_map(*[x for k, name in enumerate(("module", "folder", "file", "symbol")) for x in (F.lit(name), F.lit(k))])
+    size = rows.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("children"))
+    out = rows.join(size, "node_id", "left").withColumn("children", F.coalesce("children", F.lit(0)).cast("long"))
+    by_rank = F.lit(None).cast("long")
+    if ranked is not None:
+        out = out.join(ranked.select(F.concat(F.lit("symbol:"), F.col("id").cast("string")).alias("node_id"), F.col("rank").cast("long").alias("rank")), "node_id", "left")
+        by_rank = F.col("rank")
+    many = F.when(F.col("kind") == "module", -F.col("children"))
+    own = Window.partitionBy("parent_id").orderBy(kinds[F.col("kind")], F.asc_nulls_last(many), F.asc_nulls_last(by_rank), "label", "node_id")
+    return out.withColumn("position", F.row_number().over(own).cast("long")).select(*rows.columns, "children", "position")
+
+
 def tree_search(rows: DataFrame, needle: str) -> DataFrame:
-    """Rows whose label contains the needle in any case, with all their ancestors; a hit without hits below keeps its subtree."""
+    """Rows whose label contains the needle in any case, with all their ancestors; a hit without hits below keeps its subtree.
+
+    A level a round, until no row is left, however deep the tree is.
+    """
     hit = rows.where(F.contains(F.lower("label"), F.lit(needle.lower())))
     ensure_checkpoint_dir(rows.sparkSession)
     keep, up = hit.select("node_id"), hit
-    for _ in range(64):  # as deep as paths go
-        up = rows.join(up.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct(), "node_id", "left_semi").checkpoint()
-        keep = keep.union(up.select("node_id"))
+    while True:
+        # only rows that are new go on: shared ancestors once, and a parent that is its own descendant ends
+        parents = up.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct().join(keep, "node_id", "left_anti")
+        up = rows.join(parents, "node_id", "left_semi").checkpoint()
         if not up.limit(1).count():
             break
+        keep = keep.union(up.select("node_id")).checkpoint()
     kept = keep.distinct()
     # hits with no hit among their descendants: everything below them stays
     inner = kept.join(rows.select("node_id", "parent_id"), "node_id").select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
     down = hit.select("node_id").join(inner, "node_id", "left_anti")
-    for _ in range(64):
-        down = rows.join(down.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").select("node_id").checkpoint()
+    while True:
+        down = rows.join(down.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").select("node_id").join(kept, "node_id", "left_anti").checkpoint()
         if not down.limit(1).count():
             break
-        kept = kept.union(down)
+        kept = kept.union(down).checkpoint()
     return rows.join(kept.distinct(), "node_id", "left_semi")

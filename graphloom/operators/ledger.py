@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import fixed
 from graphloom.functions.text import policy_hit
+from graphloom.sources.files import ship
 
 
 def policy(requests: DataFrame) -> DataFrame:
@@ -24,21 +28,31 @@ def settle(txns: DataFrame, key: str, order: str, cap: int = fixed.LEDGER_CAP, a
     """key, order, coins, accepted, total_spent, coins_remaining, tx_id.
 
     In order, a transaction that would pass the cap is refused and spends nothing, so a smaller one
-    may follow. That is a fold over each ledger's transactions; a ledger is one array.
+    may follow. Transactions are sorted within their ledger's partition (which spills) and read in
+    order with two running numbers, so no ledger is held whole. Transactions at equal places go by
+    amount; a null amount is refused.
     """
-    step = F.struct(F.col(order).alias("at"), F.col(amount).cast("long").alias("coins"))
-    listed = txns.groupBy(key).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<accepted:boolean,spent:bigint,n:bigint>>").alias("out"))
-
-    def fold(acc, s):
-        ok = acc["spent"] + s["coins"] <= cap
-        spent = F.when(ok, acc["spent"] + s["coins"]).otherwise(acc["spent"])
-        n = F.when(ok, acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(spent.alias("spent"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(ok.alias("accepted"), spent.alias("spent"), n.alias("n")))).alias("out"))
-
-    folded = listed.withColumn("out", F.aggregate("steps", start, fold, lambda acc: acc["out"]))
-    rows = folded.select(key, F.explode(F.arrays_zip("steps", "out")).alias("x"))
-    return rows.select(key, F.col("x.steps.at").alias(order), F.col("x.steps.coins").alias("coins"), F.col("x.out.accepted").alias("accepted"), F.col("x.out.spent").alias("total_spent"), F.greatest(F.lit(0), F.lit(cap) - F.col("x.out.spent")).alias("coins_remaining"), F.when(F.col("x.out.accepted"), F.format_string("tx_%04d", F.col("x.out.n"))).alias("tx_id"))
+    ship(txns.sparkSession)
+    rows = txns.select(key, F.col(order), F.col(amount).cast("long").alias("coins"))
+    parts = int(txns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartition(parts, key).sortWithinPartitions(key, order, "coins")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, spent, n = object(), 0, 0
+        for batch in batches:
+            out: list[tuple[bool, int, str | None]] = []
+            for own, coins in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if own != now:
+                    now, spent, n = own, 0, 0
+                ok = coins is not None and spent + coins <= cap
+                if ok:
+                    spent, n = spent + coins, n + 1
+                out.append((ok, spent, f"tx_{n:04d}" if ok else None))
+            more = [pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.int64()), pa.array([max(0, cap - o[1]) for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string())]
+            yield pa.record_batch([*batch.columns, *more], names=[*batch.schema.names, "accepted", "total_spent", "coins_remaining", "tx_id"])
+
+    return placed.mapInArrow(run, ", ".join([*kinds, "accepted boolean, total_spent long, coins_remaining long, tx_id string"]))
 
 
 def totals(txns: DataFrame, cap: int = fixed.LEDGER_CAP) -> DataFrame:
@@ -51,10 +65,15 @@ def lock_conflicts(requests: DataFrame, held: DataFrame) -> DataFrame:
 
     Readers share; any other pair conflicts. An agent gets all its symbols or none.
     """
-    other = held.select("symbol", F.col("agent").alias("holder"), F.col("intent").alias("held_intent"))
-    rows = requests.join(other, "symbol", "left")
-    clash = F.col("holder").isNotNull() & (F.col("holder") != F.col("agent")) & ~((F.col("intent") == "READ") & (F.col("held_intent") == "READ"))
-    per = rows.groupBy("agent", "symbol", "intent").agg(F.count_if(clash).alias("conflicts"))
+    # counts instead of pairs: all locks on the symbol less the agent's own, of writers or of any
+    counts = lambda d, *by: d.groupBy(*by).agg(F.count("*").alias("locks"), F.count_if(F.col("intent") != "READ").alias("writes"))
+    known = held.where("agent is not null and symbol is not null")
+    every = counts(known, "symbol")
+    own = counts(known, "symbol", "agent").withColumnsRenamed({"locks": "own_locks", "writes": "own_writes"})
+    rows = requests.select("agent", "symbol", "intent").distinct().join(every, "symbol", "left").join(own, ["symbol", "agent"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    conflicts = F.when(F.col("intent") == "READ", zero("writes") - zero("own_writes")).otherwise(zero("locks") - zero("own_locks"))
+    per = rows.select("agent", "symbol", "intent", conflicts.alias("conflicts"))
     return per.withColumn("granted", F.max("conflicts").over(Window.partitionBy("agent")) == 0)
 
 

@@ -13,11 +13,12 @@ from graphloom.operators import crawl, delta, extract, graph, insights, lines, r
 from graphloom.sources import files as sources
 
 
-def symbols_of(files: DataFrame, records: DataFrame | None = None, cap: int | None = fixed.SYMBOLS) -> DataFrame:
+def symbols_of(files: DataFrame, records: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Enriched symbols of files (path, content): one row an id, the first in order of file and position.
 
     Bodies come from the file's lines; complexity from the parser for Python and from tokens for
-    other languages. Above ``cap`` tests go first, then symbols with the fewest calls.
+    other languages. All symbols are kept unless the caller asks for ``cap``, as a small display may
+    (``fixed.SYMBOLS``): then tests go first, then symbols with the fewest calls.
     """
     rows = extract.extract(extract.wanted_files(files)) if records is None else records
     s = rows.where(F.col("record").isin("symbol", "method")).withColumn("late", F.col("record") == "method")
@@ -53,7 +54,7 @@ class Model:
     include: list[str] | None = None
     exclude: list[str] | None = None
     history: DataFrame | None = None
-    cap: int = fixed.SYMBOLS
+    cap: int | None = None
     _: None = field(default=None, repr=False)
 
     @cached_property
@@ -153,10 +154,16 @@ class Model:
         return resolve.find_symbol(self.symbols, self.files.sparkSession.createDataFrame([(needle,)], "needle string"))
 
     def context(self, needle: str, most: int = 120) -> DataFrame:
-        """The symbol with callers, callees and its source."""
+        """The symbol with callers, callees, the first flows that it is on, and its source."""
         hit = self.find(needle).where("status = 'found'").select("id")
         s = self.enriched.join(hit, "id", "left_semi").join(self.files.select(F.col("path").alias("file_path"), "content"), "file_path")
-        return s.withColumn("source_text", lines.source_slice("content", "line_start", "line_end", 0, most)).drop("content")
+        s = s.withColumn("source_text", lines.source_slice("content", "line_start", "line_end", 0, most)).drop("content")
+        on = graph.flow_membership(self.flows, hit)
+        return s.join(on, "id", "left").withColumn("flows", F.coalesce("flows", F.array().cast(on.schema["flows"].dataType)))
+
+    def entry_flows(self) -> DataFrame:
+        """Entry points with the flow that starts at them."""
+        return graph.entry_flows(self.entries, self.flows, self.symbols)
 
     def usages(self, needle: str) -> DataFrame:
         calls = self.symbols.select(F.col("id").alias("src"), F.posexplode("raw_calls").alias("pos", "raw"))

@@ -78,22 +78,22 @@ RADIUS = """radius AS (SELECT path, d AS dependents_count, c AS total_inbound_ca
 def _radius(spark, sf):
     n = st.nodes(spark, sf)
     files = n.groupBy(F.col("file_path").alias("path")).agg((~F.bool_and("is_test")).alias("is_production"))
-    return graph.blast_radius(files, n, st.edges(spark, sf, 40))
+    return graph.blast_radius(files, n, st.edges(spark, sf))
 
 
-@query(with_("nodes", "sparse", body=f", {RADIUS} SELECT path, dependents_count, total_inbound_calls, tier FROM radius").replace(") , radius", "), radius"))
+@query(with_("nodes", "edges", body=f", {RADIUS} SELECT path, dependents_count, total_inbound_calls, tier FROM radius").replace(") , radius", "), radius"))
 def blast_radius(spark, sf):
     return _radius(spark, sf).select("path", "dependents_count", "total_inbound_calls", "tier")
 
 
-@query(with_("nodes", "sparse", body=f", {RADIUS} SELECT count(*) AS total_files, count(*) FILTER (tier = 'green') AS green_count, count(*) FILTER (tier = 'yellow') AS yellow_count, count(*) FILTER (tier = 'red') AS red_count FROM radius"))
+@query(with_("nodes", "edges", body=f", {RADIUS} SELECT count(*) AS total_files, count(*) FILTER (tier = 'green') AS green_count, count(*) FILTER (tier = 'yellow') AS yellow_count, count(*) FILTER (tier = 'red') AS red_count FROM radius"))
 def tier_summary(spark, sf):
     return graph.tier_summary(_radius(spark, sf))
 
 
-@query(with_("nodes", "sparse", body="SELECT b.file_path AS path, string_agg(DISTINCT a.file_path, ',' ORDER BY a.file_path) AS dependent_files, least(count(*), 25) AS callers FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.file_path <> b.file_path GROUP BY 1"))
+@query(with_("nodes", "edges", body="SELECT b.file_path AS path, string_agg(DISTINCT a.file_path, ',' ORDER BY a.file_path) AS dependent_files, least(count(*), 25) AS callers FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.file_path <> b.file_path GROUP BY 1"))
 def file_dependents(spark, sf):
-    return graph.dependents(st.nodes(spark, sf), st.edges(spark, sf, 40)).select("path", joined("dependent_files").alias("dependent_files"), F.size("callers").cast("long").alias("callers"))
+    return graph.dependents(st.nodes(spark, sf), st.edges(spark, sf)).select("path", joined("dependent_files").alias("dependent_files"), F.size("callers").cast("long").alias("callers"))
 
 
 @query(with_("nodes", "edges", "reach", body="SELECT id, component FROM members"))
@@ -133,13 +133,13 @@ def top2_callees(spark, sf):
     return graph.ranked_callees(st.nodes(spark, sf), st.edges(spark, sf)).withColumn("k", F.col("k").cast("long"))
 
 
-FLOW_SQL = with_("nodes", "edges", "fan", body=""", entries AS (SELECT id, row_number() OVER (ORDER BY fan_out DESC, fan_in DESC, id) AS ord FROM fan JOIN nodes USING (id) WHERE kind IN ('function', 'method') AND fan_out > 0 QUALIFY ord <= 8),
+FLOWS_WITH = with_("nodes", "edges", "fan", body=""", entries AS (SELECT id, row_number() OVER (ORDER BY fan_out DESC, fan_in DESC, id) AS ord FROM fan JOIN nodes USING (id) WHERE kind IN ('function', 'method') AND fan_out > 0 QUALIFY ord <= 8),
  step AS (SELECT src, dst, k FROM (SELECT e.src, e.dst, row_number() OVER (PARTITION BY e.src ORDER BY i.n DESC, e.dst) AS k FROM edges e JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) i USING (dst)) WHERE k <= 2),
  walk AS (SELECT ord, [id] AS path, CAST([] AS BIGINT[]) AS turns FROM entries UNION ALL SELECT w.ord, list_append(w.path, s.dst), list_append(w.turns, s.k) FROM walk w JOIN step s ON s.src = w.path[-1] WHERE len(w.path) < 4 AND NOT list_contains(w.path, s.dst)),
  leaf AS (SELECT w.* FROM walk w WHERE len(path) = 4 OR NOT EXISTS (SELECT 1 FROM step s WHERE s.src = w.path[-1] AND NOT list_contains(w.path, s.dst))),
  best AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY len(path) DESC, list_transform(turns, lambda t: -t)) AS rank FROM leaf),
- firsts AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ord, rank) AS k FROM best WHERE rank <= 2 AND len(path) >= 2)
- SELECT ord, path[1] AS entry_id, array_to_string(path, ',') AS path, len(path) AS length FROM firsts WHERE k = 1 ORDER BY ord, rank LIMIT 12""")
+ firsts AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ord, rank) AS k FROM best WHERE rank <= 2 AND len(path) >= 2)""")
+FLOW_SQL = FLOWS_WITH + " SELECT ord, path[1] AS entry_id, array_to_string(path, ',') AS path, len(path) AS length FROM firsts WHERE k = 1 ORDER BY ord, rank LIMIT 12"
 
 
 @query(FLOW_SQL)
@@ -176,6 +176,50 @@ def tree_search(spark, sf):
     return graph.tree_search(graph.tree_rows(st.nodes(spark, sf)), "RING").select("node_id", "kind")
 
 
+@query("""WITH f AS (SELECT DISTINCT p_type AS module, p_brand || '/' || p_type AS file_path FROM part), best AS (SELECT p_partkey AS id, p_size AS rank FROM part WHERE p_size < 10),
+ t AS (SELECT 'module:' || module AS node_id, NULL AS parent_id, 0 AS k, module AS label, CAST(NULL AS BIGINT) AS rank, (SELECT count(*) FROM f g WHERE g.module = f.module) AS children FROM f GROUP BY module
+ UNION ALL SELECT 'file:' || file_path, 'module:' || module, 2, module, NULL, (SELECT count(*) FROM part p WHERE p.p_brand || '/' || p.p_type = f.file_path) FROM f
+ UNION ALL SELECT 'symbol:' || p_partkey, 'file:' || p_brand || '/' || p_type, 3, p_name, rank, 0 FROM part LEFT JOIN best ON id = p_partkey)
+ SELECT node_id, children, row_number() OVER (PARTITION BY parent_id ORDER BY k, CASE WHEN k = 0 THEN -children END, rank NULLS LAST, label, node_id) AS position FROM t""")
+def sibling_order(spark, sf):
+    n = st.nodes(spark, sf)
+    ranked = n.where("complexity < 10").select("id", F.col("complexity").alias("rank"))
+    return graph.sibling_order(graph.tree_rows(n), ranked).select("node_id", "children", "position")
+
+
+@query("SELECT l_returnflag AS type, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM lineitem")
+def edge_type_counts(spark, sf):
+    return graph.edge_counts(table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("type")))
+
+
+@query("SELECT p_type AS name, count(DISTINCT o_orderpriority || s_nationkey) AS out_degree FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40")
+def short_name_degree(spark, sf):
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey")).join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    return graph.short_name_degree(li.select(F.concat_ws(".", "p_brand", "p_type").alias("src"), F.concat(F.lit("a::b."), "o_orderpriority", "s_nationkey").alias("dst")))
+
+
+@query(FLOWS_WITH + ", flows AS (SELECT ord, rank, path[1] AS entry_id, path FROM firsts WHERE k = 1 ORDER BY ord, rank LIMIT 12), on_ AS (SELECT unnest(list_distinct(path)) AS id, ord, array_to_string(path, ',') AS path FROM flows) SELECT id, string_agg(path, ';' ORDER BY ord, path) AS flows FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord, path) AS m FROM on_) WHERE m <= 3 GROUP BY id")
+def flow_membership(spark, sf):
+    n, e = st.nodes(spark, sf), st.edges(spark, sf)
+    found = graph.flows(graph.hubs(n, e), n, e).withColumn("path", F.transform("path", lambda x: x.cast("string")))
+    on = graph.flow_membership(found, n.select(F.col("id").cast("string").alias("id")))
+    return on.select(F.col("id").cast("long").alias("id"), F.array_join(F.transform("flows", lambda f: F.array_join(f["path"], ",")), ";").alias("flows"))
+
+
+@query(FLOWS_WITH + ", flows AS (SELECT ord, rank, path[1] AS entry_id, array_to_string(path, ',') AS path FROM firsts WHERE k = 1 ORDER BY ord, rank LIMIT 12), own AS (SELECT entry_id, arg_min(path, (ord, path)) AS path FROM flows GROUP BY 1), named AS (SELECT name, arg_min(path, (ord, path)) AS path FROM flows JOIN nodes ON id = entry_id GROUP BY 1) SELECT n.id AS ord, coalesce(own.path, named.path) AS path FROM nodes n LEFT JOIN own ON own.entry_id = n.id LEFT JOIN named ON named.name = n.name")
+def entry_flows(spark, sf):
+    n, e = st.nodes(spark, sf), st.edges(spark, sf)
+    found = graph.flows(graph.hubs(n, e), n, e).withColumn("path", F.transform("path", lambda x: x.cast("string")))
+    entries = n.select(F.col("id").alias("ord"), F.col("id").alias("symbol_id"), "name")
+    return graph.entry_flows(entries, found, n).select("ord", joined("path").alias("path"))
+
+
+@query(with_("nodes", "edges", body=f", {RADIUS} SELECT path, dependents_count FROM radius WHERE dependents_count >= 3 AND path <> (SELECT min(path) FROM radius)").replace(") , radius", "), radius"))
+def hub_files(spark, sf):
+    r = _radius(spark, sf)
+    return graph.hub_files(r, r.agg(F.min("path")).first()[0]).select("path", "dependents_count")
+
+
 @query("SELECT o_orderkey AS id, 'dynamic' AS part, CASE o_orderstatus WHEN 'F' THEN 'HIGH' ELSE 'MED' END AS severity FROM orders WHERE o_orderstatus IN ('F', 'O') UNION ALL SELECT c_custkey + 100000000, 'leaf', NULL FROM customer")
 def raw_coupling(spark, sf):
     o = table(spark, sf, "orders")
@@ -189,12 +233,12 @@ def raw_coupling(spark, sf):
 
 @query(with_("symbols", "calls", body=""", who AS (SELECT c.*, a.parent AS own_parent, a.file_path AS own_file FROM calls c JOIN symbols a ON a.id = c.src),
  stems AS (SELECT DISTINCT stem, file_path FROM symbols), classes AS (SELECT DISTINCT name, file_path FROM symbols WHERE kind = 'class'),
- cand AS (SELECT w.src, w.pos, s.id,
+ cand AS (SELECT w.src, w.pos, w.tail, w.receiver, s.id,
    w.receiver = 'self' AND s.parent = w.own_parent AS r1, w.receiver = 'self' AND s.file_path = w.own_file AS r2,
    w.receiver NOT IN ('', 'self') AND CASE WHEN w.receiver IN (SELECT stem FROM stems) THEN s.stem = w.receiver ELSE EXISTS (SELECT 1 FROM classes k WHERE k.name = w.receiver AND k.file_path = s.file_path) END AS r3,
    w.receiver = '' AND s.kind <> 'method' AND s.file_path = w.own_file AS r4, w.receiver = '' AND s.kind <> 'method' AS r5
    FROM who w JOIN symbols s ON s.name = w.tail),
- picks AS (SELECT src, pos, CASE WHEN count(*) FILTER (r1) = 1 THEN max(id) FILTER (r1) WHEN count(*) FILTER (r2) = 1 THEN max(id) FILTER (r2) WHEN count(*) FILTER (r3) = 1 THEN max(id) FILTER (r3) WHEN count(*) FILTER (r4) = 1 THEN max(id) FILTER (r4) WHEN count(*) FILTER (r5) = 1 THEN max(id) FILTER (r5) END AS dst FROM cand GROUP BY 1, 2)
+ picks AS (SELECT src, pos, CASE WHEN count(*) FILTER (r1) = 1 THEN max(id) FILTER (r1) WHEN count(*) FILTER (r2) = 1 THEN max(id) FILTER (r2) WHEN count(*) FILTER (r3) = 1 THEN max(id) FILTER (r3) WHEN count(*) FILTER (r4) = 1 THEN max(id) FILTER (r4) WHEN count(*) FILTER (r5) = 1 THEN max(id) FILTER (r5) END AS dst FROM cand GROUP BY src, pos, tail, receiver)
  SELECT src, dst, min(pos) AS pos FROM picks WHERE dst IS NOT NULL AND dst <> src GROUP BY 1, 2"""))
 def call_resolution_cascade(spark, sf):
     return resolve.resolve_calls(st.call_symbols(spark, sf), st.calls(spark, sf))
@@ -250,7 +294,7 @@ def usages(spark, sf):
     return out.select("id", "name", "call_site_count", joined("callers").alias("callers"), F.coalesce(F.size("raw_calls"), F.lit(0)).cast("long").alias("raw_calls"))
 
 
-DOWNSTREAM = with_("symbols", "calls", "edges", body=""", t AS (SELECT id AS target_id, name AS target, file_path AS target_file FROM symbols WHERE name LIKE 'small%'), meta AS (SELECT p_partkey AS id, p_partkey % 7 = 0 AS is_test FROM part),
+DOWNSTREAM = with_("symbols", "calls", "edges", body=""", t AS (SELECT id AS target_id, name AS target, file_path AS target_file FROM symbols), meta AS (SELECT p_partkey AS id, p_partkey % 7 = 0 AS is_test FROM part),
  direct AS (SELECT t.target_id, 1 AS branch, s.file_path AS file, s.name AS symbol FROM edges e JOIN t ON t.target_id = e.dst JOIN symbols s ON s.id = e.src),
  implicit AS (SELECT DISTINCT t.target_id, 3 AS branch, s.file_path AS file, s.name AS symbol FROM calls c JOIN t ON t.target = c.tail JOIN symbols s ON s.id = c.src WHERE s.file_path <> t.target_file)
  SELECT * FROM direct UNION ALL SELECT i.* FROM implicit i ANTI JOIN direct d ON d.target_id = i.target_id AND d.file = i.file AND d.symbol = i.symbol""")
@@ -264,7 +308,7 @@ def downstream_scan(spark, sf):
     # names of two words: the last word is what a call is joined by
     raw = st.calls(spark, sf).withColumn("raw", F.replace("raw", F.lit(" "), F.lit("_")))
     s = s.withColumn("name", F.replace("name", F.lit(" "), F.lit("_")))
-    out = ripple.downstream(s.where("name like 'small%'"), s, st.edges(spark, sf), none, raw)
+    out = ripple.downstream(s, s, st.edges(spark, sf), none, raw)
     return out.select("target_id", "branch", "file", F.regexp_replace("symbol", "^([^_]*)_", "$1 ").alias("symbol"))
 
 
@@ -310,11 +354,11 @@ def ledger_totals(spark, sf):
     return ledger.totals(st.ledger(spark, sf))
 
 
-@query("""WITH r AS (SELECT o_custkey AS agent, o_orderkey % 50 AS symbol, CASE WHEN o_orderstatus = 'F' THEN 'WRITE' ELSE 'READ' END AS intent FROM orders), q AS (SELECT DISTINCT * FROM r WHERE agent % 2 = 0), h AS (SELECT DISTINCT * FROM r WHERE agent % 5 = 0),
+@query("""WITH r AS (SELECT o_custkey AS agent, o_orderkey % 50 AS symbol, CASE WHEN o_orderstatus = 'F' THEN 'WRITE' ELSE 'READ' END AS intent FROM orders), q AS (SELECT DISTINCT * FROM r), h AS (SELECT DISTINCT * FROM r),
  p AS (SELECT q.agent, q.symbol, q.intent, count(*) FILTER (h.agent IS NOT NULL AND h.agent <> q.agent AND NOT (q.intent = 'READ' AND h.intent = 'READ')) AS conflicts FROM q LEFT JOIN h ON h.symbol = q.symbol GROUP BY 1, 2, 3) SELECT *, max(conflicts) OVER (PARTITION BY agent) = 0 AS granted FROM p""")
 def lock_conflicts(spark, sf):
     r = table(spark, sf, "orders").select(F.col("o_custkey").alias("agent"), (F.col("o_orderkey") % 50).alias("symbol"), F.when(F.col("o_orderstatus") == "F", "WRITE").otherwise("READ").alias("intent")).distinct()
-    return ledger.lock_conflicts(r.where("agent % 2 = 0"), r.where("agent % 5 = 0"))
+    return ledger.lock_conflicts(r, r)
 
 
 @query(with_("edges", "reach", body="SELECT id AS agent FROM members"))
@@ -537,10 +581,10 @@ def dynamic_scan(spark, sf):
     return out.select("pattern_type", "file_path", F.col("line_number").cast("long").alias("line_number"), "confidence")
 
 
-@query("SELECT 'handle_' || o_custkey AS name, 'api/f' || o_orderkey || '.py' AS path, CAST(2 AS BIGINT) AS line_no, 'a,b' AS arguments, 'start' AS enclosing_symbol FROM orders WHERE o_custkey % 3 = 0")
+@query(r"WITH t AS (SELECT 'api/f' || o_orderkey || '.py' AS path, string_split('def start():' || chr(10) || '    handle_' || o_custkey || '(a, b)', chr(10)) AS lines FROM orders) SELECT regexp_extract(lines[2], '(\w+)\(', 1) AS name, path, CAST(len(lines) AS BIGINT) AS line_no, replace(regexp_extract(lines[2], '\(([^)]*)\)', 1), ' ', '') AS arguments, regexp_extract(lines[1], 'def (\w+)', 1) AS enclosing_symbol FROM t")
 def call_site_scan(spark, sf):
     o = table(spark, sf, "orders").select(F.concat(F.lit("api/f"), "o_orderkey", F.lit(".py")).alias("path"), F.posexplode(F.array(F.lit("def start():"), F.concat(F.lit("    handle_"), "o_custkey", F.lit("(a, b)")))).alias("n", "line"))
-    names = table(spark, sf, "orders").where("o_custkey % 3 = 0").select(F.concat(F.lit("handle_"), "o_custkey").alias("name"), F.lit("lib.py").alias("definition_file")).distinct()
+    names = table(spark, sf, "orders").select(F.concat(F.lit("handle_"), "o_custkey").alias("name"), F.lit("lib.py").alias("definition_file")).distinct()
     out = lines.call_sites(o.select("path", (F.col("n") + 1).alias("line_no"), "line"), names)
     return out.select("name", "path", F.col("line_no").cast("long").alias("line_no"), joined("arguments").alias("arguments"), "enclosing_symbol")
 
@@ -579,11 +623,11 @@ def band_join(spark, sf):
 # reports
 
 
-@query(with_("nodes", "edges", body="SELECT count(*) AS symbols, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'method') AS methods, count(*) FILTER (kind = 'class') AS classes, count(*) FILTER (kind IN ('function', 'method') AND is_test) AS test_functions, count(*) FILTER (kind IN ('function', 'method') AND NOT is_test) AS production_functions, count(DISTINCT module) AS modules, string_agg(DISTINCT language, ',' ORDER BY language) AS languages, count(DISTINCT file_path) AS files, (SELECT count(*) FROM edges) AS resolved_call_edges, greatest(0, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') - (SELECT count(*) FROM edges)) AS unresolved_call_names FROM nodes"))
+@query(with_("nodes", "edges", body="SELECT count(*) AS symbols, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'method') AS methods, count(*) FILTER (kind = 'class') AS classes, count(*) FILTER (kind IN ('function', 'method') AND is_test) AS test_functions, count(*) FILTER (kind IN ('function', 'method') AND NOT is_test) AS production_functions, count(DISTINCT module) AS modules, string_agg(DISTINCT language, ',' ORDER BY language) AS languages, count(DISTINCT file_path) AS files, (SELECT count(*) FROM edges) AS resolved_call_edges, greatest(0, (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM edges)) AS unresolved_call_names FROM nodes"))
 def repo_stats(spark, sf):
     n = st.nodes(spark, sf)
     files = n.select("file_path").distinct().select(F.col("file_path").alias("path"), F.lit(True).alias("is_production"))
-    return report.repo_stats(files, n, st.edges(spark, sf), table(spark, sf, "lineitem").where("l_returnflag = 'R'")).drop("production_files")
+    return report.repo_stats(files, n, st.edges(spark, sf), table(spark, sf, "lineitem")).drop("production_files")
 
 
 @query(with_("nodes", "edges", "reach", body=""", g AS (SELECT component, count(*) AS n FROM members GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8), d AS (SELECT count(*) AS n FROM nodes WHERE kind IN ('function', 'method') AND flag LIKE 'dynamic:%'), h AS (SELECT least(6, count(*)) AS n FROM nodes WHERE kind IN ('function', 'method') AND complexity >= 12), t AS (SELECT count(*) FILTER (is_test) AS t, count(*) FILTER (NOT is_test) AS p FROM nodes WHERE kind IN ('function', 'method'))
@@ -657,34 +701,47 @@ def storyboard_links(spark, sf):
 
 # extraction and the whole model, over source text written from the tables
 
-_SYMBOLS_SQL = """SELECT p || '::load_' || k AS id, 'function' AS kind, 'python' AS language FROM f WHERE k % 3 = 0 UNION ALL SELECT p || '::save_' || k, 'function', 'python' FROM f WHERE k % 3 = 0 UNION ALL SELECT p || '::Box' || k, 'class', 'python' FROM f WHERE k % 3 = 0 UNION ALL SELECT p || '::Box' || k || '.open', 'method', 'python' FROM f WHERE k % 3 = 0 UNION ALL SELECT p || '::Box' || k || '.shut', 'method', 'python' FROM f WHERE k % 3 = 0
- UNION ALL SELECT p || '::Start' || k, 'function', 'go' FROM f WHERE k % 3 = 1 UNION ALL SELECT p || '::stop' || k, 'function', 'go' FROM f WHERE k % 3 = 1
- UNION ALL SELECT p || '::Card' || k, 'class', 'typescript' FROM f WHERE k % 3 = 2 UNION ALL SELECT p || '::draw' || k, 'function', 'typescript' FROM f WHERE k % 3 = 2 UNION ALL SELECT p || '::Card' || k || '.render', 'method', 'typescript' FROM f WHERE k % 3 = 2"""
-_FILES_SQL = "WITH f AS (SELECT 'apps/n' || c_nationkey || '/f' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.go' ELSE '.ts' END AS p, c_custkey AS k FROM customer)"
+# The oracle writes the same text in SQL and reads it by lines.
+_TEXT_SQL = r"""f AS (SELECT c_custkey AS k, 'apps/n' || c_nationkey || '/f' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.go' ELSE '.ts' END AS path, CASE c_custkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'go' ELSE 'typescript' END AS language,
+ replace(CASE c_custkey % 3 WHEN 0 THEN E'import os\n\n\ndef load_@(key: int) -> str:\n    \"\"\"Loads one row of the table.\"\"\"\n    if key > 1 and key < 9:\n        return os.getenv(''K'')\n    return save_@(key)\n\n\ndef save_@(key):\n    return eval(''key'')  # save\n\n\nclass Box@:\n    def open(self):\n        return self.shut()\n\n    def shut(self):\n        return load_@(1)\n'
+ WHEN 1 THEN E'package main\n\nimport \"fmt\"\n\nfunc Start@(n int) error {\n\tfmt.Println(n)\n\treturn stop@(n)\n}\n\nfunc stop@(n int) error {\n\treturn nil\n}\n'
+ ELSE E'import ''./base''\n\nexport class Card@ extends Base {\n  render(x) {\n    return draw@(x);\n  }\n}\n\nexport function draw@(x) {\n  return fetch(''/api/@'');\n}\n' END, '@', CAST(c_custkey AS VARCHAR)) AS content FROM customer),
+ l AS (SELECT path, language, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM f),
+ heads AS (SELECT *, regexp_extract(line, CASE language WHEN 'go' THEN '^func (\w+)' WHEN 'python' THEN '^def (\w+)' ELSE '^(?:export )?function (\w+)' END, 1) AS function, regexp_extract(line, '^(?:export )?class (\w+)', 1) AS class, CASE language WHEN 'python' THEN regexp_extract(line, '^    def (\w+)', 1) WHEN 'typescript' THEN regexp_extract(line, '^  (\w+)\(.*\{$', 1) ELSE '' END AS method FROM l),
+ owned AS (SELECT *, last_value(nullif(class, '') IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no) AS owner FROM heads),
+ named AS (SELECT *, CASE WHEN function <> '' THEN path || '::' || function WHEN class <> '' THEN path || '::' || class WHEN method <> '' THEN path || '::' || owner || '.' || method END AS id, CASE WHEN function <> '' THEN 'function' WHEN class <> '' THEN 'class' WHEN method <> '' THEN 'method' END AS kind, coalesce(nullif(function, ''), nullif(class, ''), nullif(method, '')) AS name FROM owned)"""
 
 
-@query(f"{_FILES_SQL} {_SYMBOLS_SQL}")
+@query(f"WITH {_TEXT_SQL} SELECT id, kind, language FROM named WHERE id IS NOT NULL")
 def model_symbols(spark, sf):
     return model_plan.symbols_of(st.files(spark, sf).select("path", "content")).select("id", "kind", "language")
 
 
-@query(f"""{_FILES_SQL} SELECT p || '::load_' || k AS src, p || '::save_' || k AS dst FROM f WHERE k % 3 = 0 UNION ALL SELECT p || '::Box' || k || '.open', p || '::Box' || k || '.shut' FROM f WHERE k % 3 = 0 UNION ALL SELECT p || '::Box' || k || '.shut', p || '::load_' || k FROM f WHERE k % 3 = 0
- UNION ALL SELECT p || '::Start' || k, p || '::stop' || k FROM f WHERE k % 3 = 1""")
+@query(rf"""WITH {_TEXT_SQL}, inside AS (SELECT *, last_value(id IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no) AS src, last_value(kind IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no) AS own FROM named),
+ calls AS (SELECT src, path, language, own, unnest(regexp_extract_all(line, '([\w.]+)\(', 1)) AS called FROM inside WHERE id IS NULL AND src IS NOT NULL AND own <> 'class' AND NOT (language = 'typescript' AND own = 'method'))
+ SELECT DISTINCT c.src, n.id AS dst FROM calls c JOIN named n ON n.path = c.path AND n.name = regexp_replace(c.called, '^self\.', '') AND (n.kind <> 'method' OR c.called LIKE 'self.%') WHERE n.id <> c.src""")
 def model_edges(spark, sf):
     s = model_plan.symbols_of(st.files(spark, sf).select("path", "content"))
     return model_plan.edges_of(s).select("src", "dst")
 
 
-@query("SELECT pattern_type, 'apps/n' || c_nationkey || '/f' || c_custkey || '.py' AS file_path, CAST(line_number AS BIGINT) AS line_number FROM customer, (VALUES ('env_conditional', 7), ('eval', 12)) t(pattern_type, line_number) WHERE c_custkey % 3 = 0")
+@query(rf"""WITH {_TEXT_SQL} SELECT id, exported, complexity FROM (SELECT id, NOT starts_with(name, '_') AND (language = 'python' OR line LIKE 'export %' OR (language = 'go' AND upper(substr(name, 1, 1)) = substr(name, 1, 1))) AS exported, CAST(1 + (SELECT coalesce(sum(len(regexp_extract_all(regexp_replace(b.line, '"[^"]*"|#.*', '', 'g'), '\b(if|for|while|and|or)\b'))), 0) FROM named b WHERE b.path = n.path AND b.line_no > n.line_no AND b.line_no < coalesce((SELECT min(e.line_no) FROM named e WHERE e.path = n.path AND e.id IS NOT NULL AND e.line_no > n.line_no), 1000)) AS BIGINT) AS complexity FROM named n WHERE id IS NOT NULL AND kind <> 'class')""")
+def model_complexity(spark, sf):
+    s = model_plan.symbols_of(st.files(spark, sf).select("path", "content"))
+    return s.where("kind <> 'class'").select("id", (F.col("exported")).alias("exported"), F.col("complexity").cast("long").alias("complexity"))
+
+
+@query(rf"WITH {_TEXT_SQL}, bare AS (SELECT path, CAST(line_no AS BIGINT) AS line_number, regexp_replace(line, '#.*', '') AS line FROM l WHERE language = 'python') SELECT 'env_conditional' AS pattern_type, path AS file_path, line_number FROM bare WHERE regexp_matches(line, '\bos\.getenv\s*\(') UNION ALL SELECT 'eval', path, line_number FROM bare WHERE regexp_matches(line, '\b(eval|exec)\s*\(')")
 def dynamic_detect(spark, sf):
     f = st.files(spark, sf).select("path", "content").where("path like '%.py'")
     return dynamic.detect(f, lines.explode_lines(f)).select("pattern_type", "file_path", F.col("line_number").cast("long").alias("line_number"))
 
 
-@query("SELECT 'apps/n' || c_nationkey || '/f' || c_custkey || '.py' AS path, true AS same_length, true AS blanked FROM customer WHERE c_custkey % 3 = 0")
+@query(rf"""WITH {_TEXT_SQL} SELECT path, length(content) AS n_chars, replace(regexp_replace(regexp_replace(content, '"{{3}}.*?"{{3}}', '', 'g'), '#[^
+]*', '', 'g'), ' ', '') AS code FROM f WHERE language = 'python'""")
 def comments_blanked(spark, sf):
     f = st.files(spark, sf).where("path like '%.py'").withColumn("blank", extract.blank_comments("content", F.lit("python")))
-    return f.select("path", (F.char_length("blank") == F.char_length("content")).alias("same_length"), (~F.contains("blank", F.lit("# save")) & ~F.contains("blank", F.lit("Loads one row"))).alias("blanked"))
+    return f.select("path", F.char_length("blank").cast("long").alias("n_chars"), F.replace("blank", F.lit(" "), F.lit("")).alias("code"))
 
 
 @query("""SELECT 'f' || o_orderkey || '.py' AS definition_file, 'job_' || o_orderkey AS name, CAST(5 AS BIGINT) AS complexity, CAST(1 AS BIGINT) AS occurrences, CAST(1 AS BIGINT) AS fan_in_files, CAST(10 AS BIGINT) AS score, 'job_' || o_orderkey || ',load,save' AS outbound FROM orders""")

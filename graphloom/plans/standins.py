@@ -31,9 +31,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str, least: int = 30) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that follow each other in an order: a window within the order, whose lines are few."""
-    rows = table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= least))
+    rows = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     return rows.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null and src <> dst").distinct()
 
@@ -47,7 +47,7 @@ def call_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw calls: bare, on self and on the file stem, by line number."""
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    li = table(spark, sf_dir, "lineitem")
     s = call_symbols(spark, sf_dir).select(F.col("id").alias("callee"), F.col("name").alias("callee_name"), F.substring_index("file_path", "/", -1).alias("stem"))
     pair = li.select(F.col("l_partkey").alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_partkey") * 3)).alias("pick"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_linenumber").alias("n"))
     pair = pair.withColumn("callee", F.col("pick") % F.lit(table(spark, sf_dir, "part").count()))
@@ -89,8 +89,7 @@ SQL = {
  CASE WHEN p_partkey % 10 = 0 THEN 'class' WHEN p_partkey % 3 = 0 THEN 'method' ELSE 'function' END AS kind, p_partkey % 7 = 0 AS is_test,
  CASE WHEN p_partkey % 13 = 0 THEN 'dynamic:eval' WHEN p_partkey % 5 = 0 THEN 'cache' END AS flag,
  CASE WHEN p_partkey % 4 = 0 THEN 'go' WHEN p_partkey % 4 = 1 THEN 'typescript' ELSE 'python' END AS language, CAST(p_partkey % 500 + 1 AS BIGINT) AS line_start FROM part)""",
-    "edges": """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 30) WHERE dst IS NOT NULL AND src <> dst)""",
-    "sparse": """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40) WHERE dst IS NOT NULL AND src <> dst)""",
+    "edges": """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)""",
     "fan": """fan AS (SELECT n.id, coalesce(i.fan_in, 0) AS fan_in, coalesce(o.fan_out, 0) AS fan_out, coalesce(i.cross_file_callers, 0) AS cross_file_callers FROM nodes n
  LEFT JOIN (SELECT e.dst AS id, count(*) AS fan_in, count(DISTINCT CASE WHEN a.file_path <> b.file_path THEN a.file_path END) AS cross_file_callers FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst GROUP BY 1) i ON i.id = n.id
  LEFT JOIN (SELECT src AS id, count(*) AS fan_out FROM edges GROUP BY 1) o ON o.id = n.id)""",
@@ -100,7 +99,7 @@ SQL = {
  newest AS (SELECT k, user_id AS id, substr(sha256(arg_max(event_type || '|' || CAST(value AS VARCHAR) || '|' || props, ts)), 1, 20) AS hash FROM events JOIN cuts ON ts < cut GROUP BY 1, 2),
  changes AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.hash = b.hash THEN 'unchanged' ELSE 'changed' END AS status FROM (SELECT * FROM newest WHERE k = 1) a FULL JOIN (SELECT * FROM newest WHERE k = 2) b ON a.id = b.id)""",
     "symbols": """symbols AS (SELECT p_partkey AS id, p_name || '_' || p_size AS name, CASE WHEN p_partkey % 10 = 0 THEN 'class' WHEN p_partkey % 3 = 0 THEN 'method' ELSE 'function' END AS kind, p_brand || '/' || p_type AS file_path, p_type AS stem, p_type || 'K' || (p_size % 5) AS parent FROM part)""",
-    "calls": """calls AS (SELECT src, pos, s.name AS tail, CASE WHEN n % 3 = 0 THEN '' WHEN n % 3 = 1 THEN 'self' ELSE s.stem END AS receiver FROM (SELECT l_partkey AS src, (l_suppkey * 7 + l_partkey * 3) % (SELECT count(*) FROM part) AS callee, l_orderkey * 10 + l_linenumber AS pos, l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R') l JOIN symbols s ON s.id = l.callee)""",
+    "calls": """calls AS (SELECT src, pos, s.name AS tail, CASE WHEN n % 3 = 0 THEN '' WHEN n % 3 = 1 THEN 'self' ELSE s.stem END AS receiver FROM (SELECT l_partkey AS src, (l_suppkey * 7 + l_partkey * 3) % (SELECT count(*) FROM part) AS callee, l_orderkey * 10 + l_linenumber AS pos, l_linenumber AS n FROM lineitem) l JOIN symbols s ON s.id = l.callee)""",
 }
 
 
