@@ -43,6 +43,8 @@ PASSAGE, CODE = 51, 4
 #: Tuples that a sorting task holds in memory, and names that it sorts there.
 MEMORY, NAMES = 1 << 23, 1 << 22
 _PIECE = 1 << 23
+#: Bytes of text whose segments are found at once.
+PLACE_BYTES = 1 << 21
 #: Files of a table whose names are broadcast at most.
 FILES = 50_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -101,7 +103,7 @@ def places(docs: DataFrame, span: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PLACE_BYTES):
             text, start, place, length, anchor, digest = segments(*flat(batch.column("text")), span, gram)
             row = batch.column("row").take(pa.array(text))
             yield pa.record_batch([row, pa.array((start << 2 * _BITS) | (place << _BITS) | length), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))], names=["row", "at", "anchor", "digest"])
@@ -272,7 +274,7 @@ def coded(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PLACE_BYTES):
             data, offsets = word_codes(*flat(batch.column("text")))
             yield pa.record_batch([batch.column("row"), binary(data, offsets)], names=["row", "text"])
 

@@ -6,6 +6,7 @@ memory follows the slice budget (or the longest single text), not the table.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,6 +150,9 @@ def release() -> None:
     for d in _LIVE:
         d.clear()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what is freed unless asked
+    if trim is not None:
+        trim(0)
 
 
 class Dictionary:
