@@ -22,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from graphloom.llm.common import ship, texts
-from graphloom.llm.textbatch import Dictionary, chunks, expand, flat, slices, sums
+from graphloom.llm.textbatch import _LIVE, Dictionary, chunks, expand, flat, slices, sums
 
+#: Pairs of tokens that a worker remembers at most.
+PAIRS = 4_000_000
 #: The split of byte-level BPE (fixed by the tokenizer format); white space is Unicode's White_Space.
 WHITE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -66,10 +68,15 @@ class ByteBPE:
         self.token_len, self.token_at = lens, np.cumsum(lens) - lens
         self.token_bytes = np.frombuffer(b"".join(spelled.get(i, b"") for i in range(size)), np.uint8)
         self.spelled, self.size = spelled, size
-        self.good, self.bad = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.clear()
+        _LIVE.append(self)
         self._library = None
         self._path = path
 
+    def clear(self) -> None:
+        """Forget which pairs hold."""
+        self.good, self.bad = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE: the best-ranked pair merges first, the leftmost of equals."""
         ids = [self.byte_id[b] for b in word]
@@ -117,6 +124,9 @@ class ByteBPE:
         distinct, back = np.unique(pairs, return_inverse=True)
         new = distinct[~np.isin(distinct, self.good) & ~np.isin(distinct, self.bad)]
         if len(new):
+            if len(self.good) + len(self.bad) > PAIRS:  # bounds memory only: pairs are decided anew
+                self.clear()
+                new = distinct
             held = []
             for code in new.tolist():
                 a, b = divmod(code, self.size + 1)
