@@ -10,7 +10,9 @@ model joins words over spaces, so its texts go to the library whole.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -40,9 +42,14 @@ def tokenizer(path: str):
 def cuts_at_space(tok) -> bool:
     """Whether white space always separates tokens and never becomes part of one.
 
-    Checked on the tokenizer itself: white space alone gives no token, special strings take none,
-    case is dropped, and a full stop or comma ends a word.
+    Read from the specification: the normaliser has only steps that never look past ASCII white space,
+    the splitter keeps the matches of a pattern that can't match any, and special strings have none.
+    Probes of the tokenizer itself confirm it: white space alone gives no token, case is dropped, and
+    a full stop or comma ends a word.
     """
+    spec = json.loads(tok.to_str())
+    if not (_steps(spec.get("normalizer"), "normalizers", _normalises_words) and _splits_at_space(spec.get("pre_tokenizer"))):
+        return False
     lone = not tok.encode(" \t\n\r\x0b\x0c", add_special_tokens=False).ids
     kept = any(x.lstrip or x.rstrip or " " in x.content for x in tok.get_added_tokens_decoder().values())
     ids = lambda x: tok.encode(x, add_special_tokens=False).ids
@@ -50,6 +57,29 @@ def cuts_at_space(tok) -> bool:
     return lone and not kept and apart and bool(tok.get_added_tokens_decoder())
 
 
+def _steps(spec: dict | None, inner: str, allowed) -> bool:
+    if spec is None:
+        return True
+    return all(_steps(x, inner, allowed) for x in spec[inner]) if spec["type"] == "Sequence" else allowed(spec)
+
+
+def _normalises_words(step: dict) -> bool:
+    """Unicode forms, lower case, and runs of white space made one space."""
+    return step["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents") or (step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"} and step["content"] == " ")
+
+
+def _splits_at_space(spec: dict | None) -> bool:
+    """Whether the first step keeps just the matches of a pattern in which nothing matches white space."""
+    steps = (spec or {}).get("pretokenizers", [spec] if spec else [])
+    if not steps or steps[0]["type"] != "Split" or steps[0]["behavior"] != "Removed" or not steps[0]["invert"]:
+        return False
+    pattern = steps[0]["pattern"].get("Regex", " ")
+    negated = re.findall(r"\[\^([^\]]*)\]", pattern)
+    rest = re.sub(r"\[\^[^\]]*\]", "", pattern)
+    later = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x.get("use_regex") for x in steps[1:])
+    return later and all(r"\s" in x for x in negated) and not re.search(r"\\[sWDP]|[ .\t\n]", rest)
+
+
 def plain_only(path: str):
     """The tokenizer for words that normalising and splitting leave as they are, without those steps.
 
