@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.llm.common import dropped, shared_dir, ship, stored, texts
 from graphloom.llm.textbatch import DISTINCT_BYTES, flat, release, slices
@@ -214,7 +215,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1) -> None:
         if held:
             yield flush()
 
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64() if kind == "bigint" else pa.int32())), ("sizes", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("bits", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(to_arrow_type(docs.schema["doc_id"].dataType))), ("sizes", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("bits", pa.binary())])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids").select("doc_id", "ids", "width")
     blocks = ordered.mapInArrow(pack, f"part int, block int, first long, doc_ids array<{kind}>, sizes array<long>, marks array<long>, bits binary")
