@@ -182,6 +182,34 @@ def test_token_files(docs, none):
     assert huffman.token_files(none, queries.WORD_BPE).count() == 0
 
 
+def test_token_files_with_string_ids(spark):
+    rows = [("b", "two words"), (None, "x"), ("a", "one"), ("a", None)]
+    got = [tuple(r)[:3] for r in huffman.token_files(spark.createDataFrame(rows, "doc_id string, text string"), queries.WORD_BPE).collect()]
+    assert {(d, n) for d, _, n in got} == {("b", 3), (None, 2), ("a", 2), ("a", 1)} and max(s + n for _, s, n in got) == 8
+
+
+def test_specifications_that_let_tokens_span_space():
+    import json
+
+    tok = plain(queries.WORD_BPE)
+    spec = json.loads(tok.to_str())
+    assert token_counts.cuts_at_space(tok) and not token_counts.cuts_at_space(plain(queries.BYTE_BPE))
+    for change in (lambda s: s["pre_tokenizer"]["pretokenizers"][0].update(invert=False), lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r" ?[\p{L}]+|[^\p{N}]+"), lambda s: s["normalizer"]["normalizers"].append({"type": "Prepend", "prepend": "_"})):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        assert not token_counts.cuts_at_space(Tokenizer.from_str(json.dumps(other)))
+
+
+def test_pairs_are_forgotten_within_a_bound(monkeypatch):
+    model, _ = bpe.made(queries.BYTE_BPE)
+    model.clear()
+    monkeypatch.setattr(bpe, "PAIRS", 3)
+    words = [b" " + bytes(w) for w in (b"thonereding", b"xqzvbrtl", b"the", b"internationalisation", b"qqqq")]
+    for _ in range(3):
+        assert model.words(words) == [model.merge(w) for w in words]
+    assert len(model.good) + len(model.bad) < 60
+
+
 # duplicates
 
 
