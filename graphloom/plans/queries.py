@@ -123,7 +123,7 @@ def cluster_classes(spark, sf):
     return _classes(spark, sf)
 
 
-@query(with_("nodes", "edges", body=f", {CLASSES} SELECT 'cyclic' AS class, count(*) AS n FROM cyc HAVING count(*) > 0 UNION ALL SELECT 'dynamic', count(*) FROM dyn UNION ALL SELECT 'independent', count(*) FROM ind"))
+@query(with_("nodes", "edges", body=f", {CLASSES} SELECT 'cyclic' AS class, count(*) AS n FROM cyc HAVING count(*) > 0 UNION ALL SELECT 'dynamic', count(*) FROM dyn HAVING count(*) > 0 UNION ALL SELECT 'independent', count(*) FROM ind HAVING count(*) > 0"))
 def cluster_counts(spark, sf):
     return delta.source_histogram(_classes(spark, sf), "class")
 
