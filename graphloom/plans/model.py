@@ -186,6 +186,27 @@ class Model:
     def tree(self) -> DataFrame:
         return graph.tree_rows(self.symbols)
 
+    def refresh(self, files: DataFrame | None = None) -> None:
+        """Forget every relation that was kept, and go on with ``files`` if given: what is asked for next is planned anew."""
+        for name in ("records", "symbols", "edges"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
+        for name in [n for n in self.__dict__ if isinstance(getattr(type(self), n, None), cached_property)]:
+            del self.__dict__[name]
+        if files is not None:
+            self.files = files
+
+    def payload(self, route: str, needle: str = "", detail: int = 2) -> DataFrame:
+        """What a route of the service answers, as one relation; the routes are those of ``ROUTES``."""
+        if route not in ROUTES:
+            raise ValueError(f"no such route: {route}")
+        return ROUTES[route](self, needle, detail)
+
+    def write_json(self, at: str) -> None:
+        """Symbols with all that is known of them, edges, entry points, flows, modules and files, each as JSON lines in a folder below ``at``."""
+        for name, df in (("symbols", self.enriched), ("edges", self.edges), ("entry_points", self.entries), ("flows", self.flows), ("modules", self.modules), ("module_edges", self.module_edges), ("files", self.file_meta)):
+            df.write.mode("overwrite").json(f"{at}/{name}")
+
     def dossier(self, detail: int = 2, title: str = "Repository") -> str:
         """The report as one document; levels hold more the higher they are."""
         caps = report.level(detail)
@@ -196,3 +217,30 @@ class Model:
         if caps["deep"]:
             sections.append(("Symbol evidence", report.deep_candidates(self.pivotal, self.symbols, self.classes.where("class in ('cyclic', 'dynamic')"), caps["deep"])))
         return report.html(sections, title)
+
+
+def _health(m: Model, needle: str, detail: int) -> DataFrame:
+    stats = m.stats()
+    return stats.select(F.lit("ok").alias("status"), "files", "symbols")
+
+
+def _documented(m: Model, needle: str, detail: int) -> DataFrame:
+    hit = m.find(needle).where("status = 'found'").select("id")
+    return ripple.documentation(m.symbols.join(hit, "id", "left_semi"))
+
+
+#: Routes by name: functions of the model, a symbol's name and the level of detail.
+ROUTES = {
+    "health": _health,
+    "stats": lambda m, needle, detail: m.stats(),
+    "model": lambda m, needle, detail: m.enriched,
+    "tree": lambda m, needle, detail: graph.sibling_order(m.tree(), m.pivotal),
+    "context": lambda m, needle, detail: m.context(needle),
+    "usages": lambda m, needle, detail: m.usages(needle),
+    "dependencies": lambda m, needle, detail: m.dependencies(),
+    "ripple": lambda m, needle, detail: m.ripple(needle),
+    "doc": _documented,
+    "delta": lambda m, needle, detail: m.manifest(),
+    "index": lambda m, needle, detail: m.insights(),
+    "dossier": lambda m, needle, detail: report.metric_cards(m.stats(), detail),
+}

@@ -1,8 +1,11 @@
 """Extraction from sources with decorators, nesting, receivers, generics and broken text, against what they hold."""
 
+import hashlib
+
 import pytest
 from graphloom.operators import extract, graph, ledger, matching, resolve
-from graphloom.plans.model import Model, symbols_of
+from graphloom.plans.model import ROUTES, Model, symbols_of
+from graphloom.sources import files as sources
 from pyspark.sql import functions as F
 
 PYTHON = '''"""Doc of the module."""
@@ -232,6 +235,32 @@ def test_context_has_flows(spark):
     assert {(r["symbol_id"], tuple(r["path"])) for r in model.entry_flows().collect()} == {("a.go::main", ("a.go::main", "a.go::run", "a.go::stop"))}
 
 
+def test_every_route_answers(spark, tmp_path):
+    tree = {"a.py": "def load(k):\n    return save(k)\n\n\ndef save(k):\n    return k\n", "b.py": "class Box:\n    pass\n"}
+    model = Model(spark.createDataFrame(sorted(tree.items()), "path string, content string"))
+    answers = {route: model.payload(route, "save").count() for route in ROUTES}
+    assert len(answers) == 12 and all(answers.values())
+    assert model.payload("health").first()["symbols"] == 3 and model.payload("doc", "save").first()["documentation"].startswith('"""')
+    assert model.payload("usages", "save").first()["call_site_count"] == 1 and model.payload("usages", "nobody").count() == 0
+    with pytest.raises(ValueError):
+        model.payload("nowhere")
+    model.write_json(str(tmp_path / "model"))
+    assert spark.read.json(str(tmp_path / "model" / "symbols")).count() == 3
+    model.refresh(spark.createDataFrame([("c.py", "def only():\n    pass\n")], "path string, content string"))
+    assert [r["id"] for r in model.symbols.collect()] == ["c.py::only"]
+
+
+def test_revisions_and_ledgers(spark, tmp_path):
+    rows = spark.createDataFrame([("abc", "main", False), ("abc", "main", True), (None, None, None), ("", "", False)], "head string, branch string, dirty boolean")
+    got = [r["fingerprint"] for r in sources.revision_fingerprint(rows).collect()]
+    assert got[0] != got[1] and got[2] == got[3] and got[0] == hashlib.sha256(b"abc|main|False").hexdigest()[:20]
+    assert sources.read_revision(spark, str(tmp_path)).first()["head"] == ""
+    (tmp_path / "a.json").write_text('{"max_coins": 40,\n "coins_spent": 7, "transactions": [{"id": "tx_0001", "coins": 7}]}')
+    (tmp_path / "b.json").write_text("{broken")
+    found = {r["ledger"]: (r["coins_spent"], len(r["transactions"])) for r in sources.read_ledgers(spark, str(tmp_path / "*.json")).collect()}
+    assert found == {"a.json": (7, 1), "b.json": (0, 0)}
+
+
 def test_flows_of_many_entries(spark):
     """Entries without a flow are passed over until enough are found."""
     nodes = spark.range(300).select("id", F.concat(F.lit("f"), "id").alias("name"), F.lit("function").alias("kind"))
