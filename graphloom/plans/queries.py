@@ -107,6 +107,17 @@ def scc_groups(spark, sf):
     return graph.component_groups(graph.components(e), e).withColumn("members", joined("members"))
 
 
+@query(with_("best_edges", "reach", body="SELECT id, component FROM members"))
+def scc_of_best_links(spark, sf):
+    return graph.components(st.best_edges(spark, sf))
+
+
+@query(with_("best_edges", "reach", body="SELECT component, count(*) AS size, string_agg(CAST(m.id AS VARCHAR), ',' ORDER BY m.id) AS members FROM members m GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40"))
+def scc_groups_of_best_links(spark, sf):
+    e = st.best_edges(spark, sf)
+    return graph.component_groups(graph.components(e), e).withColumn("members", joined("members"))
+
+
 CLASSES = """inner_edges AS (SELECT e.* FROM edges e JOIN nodes a ON a.id = e.src AND a.kind IN ('function', 'method') JOIN nodes b ON b.id = e.dst AND b.kind IN ('function', 'method')),
  hops AS (SELECT src, dst FROM inner_edges UNION SELECT r.src, e.dst FROM hops r JOIN inner_edges e ON e.src = r.dst), cyc AS (SELECT DISTINCT src AS id FROM hops WHERE src = dst),
  dyn AS (SELECT id FROM nodes WHERE kind IN ('function', 'method') AND flag LIKE 'dynamic:%'),
