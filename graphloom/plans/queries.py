@@ -788,6 +788,168 @@ def lookup_guard(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.worth_looking_up("p_type").alias("worth"))
 
 
+# expressions, reports and sources over whole tables
+
+
+_IDS_SQL = "ids AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'p/f.py::Box' || o_custkey || '.Inner.run' WHEN 1 THEN 'p/f.py::go' || o_custkey ELSE 'plain' || o_custkey END AS id, 'name' || o_custkey AS name FROM orders)"
+
+
+@query(f"WITH {_IDS_SQL}, q AS (SELECT k, CASE WHEN contains(id, '::') THEN substr(id, strpos(id, '::') + 2) ELSE name END AS qualified FROM ids) SELECT k AS id, qualified, CASE WHEN contains(qualified, '.') THEN left(qualified, length(qualified) - strpos(reverse(qualified), '.')) END AS parent FROM q")
+def qualified_parent(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    sid = F.when(k % 3 == 0, F.concat(F.lit("p/f.py::Box"), "o_custkey", F.lit(".Inner.run"))).when(k % 3 == 1, F.concat(F.lit("p/f.py::go"), "o_custkey")).otherwise(F.concat(F.lit("plain"), "o_custkey"))
+    q = o.select(k.alias("id"), text.qualified(sid, F.concat(F.lit("name"), "o_custkey")).alias("qualified"))
+    return q.withColumn("parent", text.parent_of("qualified"))
+
+
+@query(r"WITH t AS (SELECT p_partkey AS id, chr(128512) || '`' || p_name || '`  *' || p_brand || '* _' || chr(10) || p_type || '_ ' AS x FROM part) SELECT id, trim(regexp_replace(translate(replace(x, chr(128512), ''), '_`*', '   '), '\s+', ' ', 'g')) AS cleaned, trim(regexp_replace(replace(replace(replace(x, chr(128512), ''), '`', ''), '*', ''), '\s+', ' ', 'g')) AS prose FROM t")
+def cleaned_text(spark, sf):
+    x = F.concat(F.lit("\U0001f600`"), "p_name", F.lit("`  *"), "p_brand", F.lit("* _\n"), "p_type", F.lit("_ "))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.clean(x).alias("cleaned"), text.clean_prose(x).alias("prose"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '// ' || p_name || ' ' || what WHEN 1 THEN '/**' || chr(10) || ' * ' || what || chr(10) || ' * @param a int' || chr(10) || ' * @param b ' || p_type || chr(10) || ' * @returns ' || p_brand || chr(10) || ' */'
+ ELSE repeat('"', 3) || what || chr(10) || ':param a: int' || chr(10) || ':param b: ' || p_type || chr(10) || ':returns: ' || p_brand || chr(10) || repeat('"', 3) END AS documentation FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN 'About ' || p_type ELSE CASE WHEN p_partkey % 10 = 0 THEN 'Class' WHEN p_partkey % 3 = 0 THEN 'Method' ELSE 'Function' END || ' `' || p_name || '`.' END AS what FROM part)""")
+def documentation_block(spark, sf):
+    n = st.nodes(spark, sf)
+    param = lambda a, b: F.struct(F.lit(a).alias("name"), b.alias("type"))
+    rows = n.select("id", "name", "kind", "language", F.array(param("a", F.lit("int")), param("b", F.col("module"))).alias("parameters"), F.substring_index("qualified", ".", 1).alias("returns"), F.when(F.col("complexity") % 2 == 0, F.concat(F.lit("About "), "module")).otherwise("").alias("doc"))
+    return ripple.documentation(rows).select("id", "documentation")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS k, 'f' || o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.sql' END AS file, CASE o_orderkey % 3 WHEN 0 THEN '#' WHEN 1 THEN '//' ELSE '--' END AS sign, greatest(1, least(o_custkey % 5, 3)) AS place, 'def f' || o_custkey || '():' || chr(10) AS a, chr(9) || 'g()' || chr(10) AS b FROM orders),
+ g AS (SELECT *, sign || ' TODO: verify `g` contract update (DELETION)' || chr(10) AS guard FROM c) SELECT file, CASE place WHEN 1 THEN guard || a || b WHEN 2 THEN a || ' ' || guard || b ELSE a || b || guard END AS patched_content FROM g""")
+def patch_lines(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    file = F.concat(F.lit("f"), k, F.when(k % 3 == 0, ".py").when(k % 3 == 1, ".ts").otherwise(".sql"))
+    rows = o.select(file.alias("file"), F.lit("f").alias("symbol"), (F.col("o_custkey") % 5).cast("int").alias("line"), F.concat(F.lit("def f"), "o_custkey", F.lit("():\n\tg()\n")).alias("content"))
+    return ripple.patches(rows, "g", "DELETION").select("file", "patched_content")
+
+
+@query(r"""SELECT p_partkey AS id, substr(trim(regexp_replace(translate(' $(`' || p_name || '`)' || chr(10) || chr(9) || '"' || p_brand || '"' || chr(39) || chr(92), '`$\"' || chr(39), ''), '[\x00-\x1f\x7f]+', ' ', 'g')), 1, 18) AS word FROM part""")
+def shell_words(spark, sf):
+    x = F.concat(F.lit(" $(`"), "p_name", F.lit("`)\n\t\""), "p_brand", F.lit("\"'\\"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.shell_safe(x, 18).alias("word"))
+
+
+_PATHS_SQL = "paths AS (SELECT c_custkey AS k, 'apps/' || CASE c_nationkey % 4 WHEN 0 THEN 'n' || c_nationkey WHEN 1 THEN 'node_modules' WHEN 2 THEN 'tests' ELSE 'lib' END || '/f' || c_custkey || CASE c_custkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.TSX' WHEN 3 THEN '.txt' ELSE '.js' END AS path FROM customer)"
+
+
+def _paths(spark, sf):
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    folder = F.when(n % 4 == 0, F.concat(F.lit("n"), n)).when(n % 4 == 1, "node_modules").when(n % 4 == 2, "tests").otherwise("lib")
+    ext = F.when(k % 5 == 0, ".py").when(k % 5 == 1, ".go").when(k % 5 == 2, ".TSX").when(k % 5 == 3, ".txt").otherwise(".js")
+    return table(spark, sf, "customer").select(k.alias("k"), F.concat(F.lit("apps/"), folder, F.lit("/f"), k, ext).alias("path"), F.concat_ws("\n", F.lit("a"), "c_name", F.lit("")).alias("content"))
+
+
+@query(f"WITH {_PATHS_SQL} SELECT path, CASE regexp_extract(lower(path), '\\.(\\w+)$', 1) WHEN 'py' THEN 'Python' WHEN 'go' THEN 'Go' WHEN 'tsx' THEN 'TypeScript' WHEN 'js' THEN 'JavaScript' ELSE '-' END AS language FROM paths")
+def language_names(spark, sf):
+    return _paths(spark, sf).select("path", text.language_display("path").alias("language"))
+
+
+@query(f"WITH {_PATHS_SQL} SELECT path, CASE regexp_extract(lower(path), '\\.(\\w+)$', 1) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'tsx' THEN 'typescript' ELSE 'javascript' END AS language FROM paths WHERE path NOT LIKE '%.txt' AND path NOT LIKE '%/node_modules/%' AND (path LIKE '%.py' OR path LIKE 'apps/n%' OR regexp_matches(path, '/f[^/]*1[.]go$')) AND path NOT LIKE '%7%'")
+def wanted_files(spark, sf):
+    return extract.wanted_files(_paths(spark, sf), include=["*.py", "apps/n*", "f*1.go"], exclude=["*7*"]).select("path", "language")
+
+
+@query(f"WITH {_PATHS_SQL} SELECT path FROM paths WHERE lower(path) SIMILAR TO '.*\\.(py|tsx)' AND path NOT LIKE '%/node_modules/%' AND path NOT LIKE '%/tests/%'")
+def text_files(spark, sf):
+    return sources.source_files(_paths(spark, sf), (".py", ".TSX")).select("path")
+
+
+@query(f"WITH {_PATHS_SQL} SELECT path, 'apps/' || split_part(path, '/', 2) AS module, CAST(3 AS BIGINT) AS loc, path LIKE '%/tests/%' AS is_test, path NOT LIKE '%/tests/%' AS is_production FROM paths")
+def file_metadata(spark, sf):
+    return sources.file_meta(_paths(spark, sf)).select("path", "module", "loc", "is_test", "is_production")
+
+
+@query(rf"WITH {_TEXT_SQL} SELECT path, array_to_string(list_slice(string_split(content, chr(10)), greatest(1, 2 + k % 4 - 1), greatest(1, 2 + k % 4 - 1) + least(4, greatest(0, (4 + k % 7) + 1 - greatest(1, 2 + k % 4 - 1) + 1)) - 1), chr(10)) AS source FROM f")
+def source_window(spark, sf):
+    rows = st.files(spark, sf).withColumns({"a": (F.lit(2) + F.col("k") % 4).cast("int"), "b": (F.lit(4) + F.col("k") % 7).cast("int")})
+    return rows.select("path", lines.source_slice("content", "a", "b", 1, 4).alias("source"))
+
+
+@query("SELECT p_type AS module, CAST(round(sum(p_size) / greatest(1, count(*) FILTER (p_size > 45)), 3) AS DOUBLE) AS score FROM part GROUP BY 1")
+def coupling_scores(spark, sf):
+    per = table(spark, sf, "part").groupBy(F.col("p_type").alias("module")).agg(F.sum("p_size").alias("out"), F.count_if(F.col("p_size") > 45).alias("cyclic"))
+    return per.select("module", graph.coupling_score(F.col("out"), F.col("cyclic")).cast("double").alias("score"))
+
+
+@query("SELECT CASE WHEN a + b > 0 THEN printf('%.0f%%', 100.0 * a / (a + b)) ELSE 'n/a' END AS rate, count(*) AS n FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY 1) WHERE a + b IN (0, 1, 2, 4, 5, 10) GROUP BY 1")
+def resolution_rates(spark, sf):
+    per = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("resolved_call_edges"), F.count_if(F.col("o_orderstatus") == "O").alias("unresolved_call_names"))
+    even = per.where((F.col("resolved_call_edges") + F.col("unresolved_call_names")).isin(0, 1, 2, 4, 5, 10))  # no halves, which the two round differently
+    return report.resolution_rate(even).groupBy("rate").agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT DISTINCT c_custkey AS id, 'f' || (o_orderkey % 4) || '.py' AS file FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NOT NULL), l AS (SELECT id, list(file ORDER BY file) AS files FROM f GROUP BY 1)
+ SELECT c_custkey AS target_id, coalesce(array_to_string(files, ','), '') AS files, CASE coalesce(len(files), 0) WHEN 0 THEN 'Notice: Modifying `' || c_name || '` in `' || c_mktsegment || '` has no detected downstream dependents in this workspace. Safe to edit in isolation.' WHEN 1 THEN 'Warning: Modifying `' || c_name || '` in `' || c_mktsegment || '` directly impacts `' || files[1] || '`. Update this dependent to preserve contract integrity.'
+ ELSE 'Warning: Amending `' || c_name || '` in `' || c_mktsegment || '` will silently disturb downstream assumptions in ' || array_to_string(list_transform(files[1:3], lambda x: '`' || x || '`'), ', ') || '. Here are the ' || len(files) || ' files you need to update simultaneously.' END AS semantic_warning FROM customer LEFT JOIN l ON id = c_custkey""")
+def impact_warnings(spark, sf):
+    targets = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("file_path"))
+    findings = table(spark, sf, "orders").select(F.col("o_custkey").alias("target_id"), F.concat(F.lit("f"), F.col("o_orderkey") % 4, F.lit(".py")).alias("file"))
+    return ripple.warning(findings, targets).withColumn("files", joined("files"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS c, '- f' || o_orderkey || ' (`' || o_orderpriority || '` at line ' || o_orderkey % 90 || ')' AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders), l AS (SELECT c, string_agg(t, chr(10) ORDER BY k) AS places FROM r WHERE k <= 5 GROUP BY 1)
+ SELECT c_custkey AS target_id, 'Review the change to `' || c_name || '` in `a.py`.' || chr(10) || 'Type: DELETION' || chr(10) || 'Details: ' || c_mktsegment || chr(10) || 'Files to examine:' || chr(10) || coalesce(places, 'none') AS prompt FROM customer LEFT JOIN l ON c = c_custkey""")
+def prompt_texts(spark, sf):
+    changes_ = table(spark, sf, "customer").select(F.col("c_custkey").alias("target_id"), F.col("c_name").alias("name"), F.lit("a.py").alias("file_path"), F.lit("DELETION").alias("change_type"), F.col("c_mktsegment").alias("description"))
+    contexts = table(spark, sf, "orders").select(F.col("o_custkey").alias("target_id"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("f"), "o_orderkey").alias("file"), F.col("o_orderpriority").alias("symbol"), (F.col("o_orderkey") % 90).alias("line"))
+    return ripple.prompts(changes_, contexts)
+
+
+@query("SELECT p_partkey AS id, CASE WHEN regexp_matches(lower(p_name), 'cold|hot') THEN 'heat' WHEN lower(p_name) LIKE '%ring%' THEN 'round' ELSE 'none' END AS answer FROM part")
+def canned_answers(spark, sf):
+    ladder = ((("COLD", "hot"), "heat"), (("ring",), "round"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.answer(F.upper("p_name"), ladder, "none").alias("answer"))
+
+
+@query("SELECT o_orderkey AS id, substr(sha256(o_custkey || '|' || coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END, '') || '|' || CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'False' END), 1, 20) AS fingerprint FROM orders")
+def revision_fingerprints(spark, sf):
+    o = table(spark, sf, "orders")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("head"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("branch"), F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False).alias("dirty"))
+    return sources.revision_fingerprint(rows).select("id", "fingerprint")
+
+
+@query("""WITH a AS (SELECT c_name AS n, 'pr' || c_nationkey AS t FROM customer WHERE c_acctbal > 5000), b AS (SELECT c_name AS n, 'log' AS t FROM customer) SELECT b.n AS symbol_name, coalesce(a.t, b.t) AS title FROM b LEFT JOIN a USING (n)""")
+def history_tiers(spark, sf):
+    c = table(spark, sf, "customer")
+    first = c.where("c_acctbal > 5000").select(F.col("c_name").alias("symbol_name"), F.concat(F.lit("pr"), "c_nationkey").alias("title"))
+    return sources.best_history(first, c.select(F.col("c_name").alias("symbol_name"), F.lit("log").alias("title"))).select("symbol_name", "title")
+
+
+@query("""SELECT p_partkey AS id, array_to_string(list_transform(range(1, least(40, p_size + 20) + 1), lambda i: 'c' || i), ',') AS calls, left(repeat(p_name, 30), 200) AS doc, CAST(least(6, p_size % 9) AS BIGINT) AS flags FROM part""")
+def tree_payload(spark, sf):
+    n = st.nodes(spark, sf)
+    many = lambda size: F.transform(F.sequence(F.lit(1), size.cast("int")), lambda i: F.concat(F.lit("c"), i))
+    rows = n.withColumns({"calls": many(F.col("complexity") + 20), "callers": many(F.lit(2)), "line_end": F.col("line_start"), "doc": F.repeat("name", 30), "flags": F.slice(many(F.lit(9)), 1, (F.col("complexity") % 9).cast("int"))})
+    return report.compact_tree(rows).select("id", joined("calls").alias("calls"), "doc", F.size("flags").cast("long").alias("flags"))
+
+
+@query("""SELECT label, CAST(n AS BIGINT) AS n FROM (SELECT 0 AS k, 'files' AS label, (SELECT count(*) FROM customer) AS n UNION ALL SELECT 1, 'symbols', (SELECT count(*) FROM part) UNION ALL SELECT 2, 'resolved_call_edges', 0 UNION ALL SELECT 3, 'modules', 0 UNION ALL SELECT 4, 'test_functions', 0 UNION ALL SELECT 5, 'production_functions', (SELECT count(*) FROM supplier) UNION ALL SELECT 6, 'classes', (SELECT count(*) FROM nation)) WHERE k < 4 OR n > 0""")
+def headline_cards(spark, sf):
+    count = lambda name, c: table(spark, sf, name).agg(F.count("*").alias(c))
+    rows = count("customer", "files").unionByName(count("part", "symbols"), True).unionByName(count("supplier", "production_functions"), True).unionByName(count("nation", "classes"), True)
+    zero = [F.lit(0).alias(c) for c in ("resolved_call_edges", "modules", "test_functions")]
+    return report.metric_cards(rows.agg(*[F.max(c).alias(c) for c in rows.columns], *zero), 2).select("label", "n")
+
+
+@query("""SELECT 8 - least(8, greatest(0, 8)) + row_number() OVER (ORDER BY o_orderkey) AS n, trim(o_orderpriority) AS title, substr(regexp_replace(repeat(o_orderpriority || ' ', 300), ' +$', ''), 1, 2000) AS content FROM orders ORDER BY o_orderkey LIMIT 8""")
+def narrative_chapters(spark, sf):
+    o = table(spark, sf, "orders")
+    rows = o.select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("`"), "o_orderpriority", F.lit("`  ")).alias("title"), F.repeat(F.concat("o_orderpriority", F.lit("  ")), 300).alias("content"))
+    return insights.clamped(rows).select(F.row_number().over(Window.orderBy("ord")).cast("long").alias("n"), "title", "content")
+
+
+@query("""WITH d AS (SELECT count(*) AS n FROM part WHERE p_partkey % 13 = 0 AND p_partkey % 10 <> 0), h AS (SELECT least(6, count(*)) AS n FROM part WHERE p_size >= 12 AND p_partkey % 10 <> 0), e AS (SELECT count(*) AS n FROM supplier)
+ SELECT row_number() OVER (ORDER BY o) AS step, kind, CAST(n AS BIGINT) AS n FROM (SELECT 2 AS o, 'dynamic' AS kind, n FROM d UNION ALL SELECT 3, 'hotspots', n FROM h UNION ALL SELECT 4, 'tests', 1 UNION ALL SELECT 5, 'entries', n FROM e UNION ALL SELECT 6, 'unresolved', 7) WHERE n > 0""")
+def road_map(spark, sf):
+    n = st.nodes(spark, sf)
+    stats = spark.range(1).select(F.lit(100).alias("production_functions"), F.lit(1).alias("test_functions"), F.lit(7).alias("unresolved_call_names"))
+    own = n.where(F.col("kind").isin(*fixed.FUNCTION_KINDS))
+    return report.roadmap(stats, report.hotspots(n), n.limit(0), own.where(text.is_dynamic("flags")), table(spark, sf, "supplier"))
+
+
 # streams, run to their end over the table as files
 
 
