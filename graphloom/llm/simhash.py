@@ -305,7 +305,11 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, radius: int = RADIUS) -> Da
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row of each component stays, that with the smallest doc_id (one of equals), all columns."""
+    """One row of each component stays, that with the smallest doc_id (one of equals), all columns.
+
+    Null, empty and white texts have fingerprint zero and link like others; null doc_ids come last; of
+    repeated rows one stays; an empty table gives an empty result; other columns are passed on.
+    """
     numbered = with_row(docs)
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(f"{ROW}.file").alias("file"), F.col(f"{ROW}.at").alias("at"))
     rows = stored(fingerprints(numbered.select(who.alias("doc_id"), "text"), k).groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
