@@ -17,8 +17,9 @@ repeated windows; the segments' own windows never overlap, so each is another pl
 What was found goes back to all places of a segment, and each document's spans are joined and cut out.
 
 Passages of words are found the same way in a text of which every word is written as CODE bytes of its
-hash, one after the other: a string of CODE * n bytes that starts anywhere else holds n - 1 words or more
-that stand in that order elsewhere, whatever the white space between them.
+hash, one after the other: a string of CODE * n bytes that starts anywhere else stands for n words that
+stand in that order elsewhere, whatever the white space between them (a word beside a passage counts as
+shared with a chance of one in 255 ** CODE).
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from graphloom.llm.textbatch import binary, flat, release, slices, words
 
 SPAN, GRAM = 400, 200
 #: Words of a passage, and bytes that stand for a word where passages are searched.
-PASSAGE, CODE = 51, 4
+PASSAGE, CODE = 51, 2
 #: Tuples that a sorting task holds in memory, and names that it sorts there.
 MEMORY, NAMES = 1 << 23, 1 << 22
 _PIECE = 1 << 23
