@@ -53,6 +53,17 @@ class Scratch:
             self._dir = None
 
 
+def paired(pos: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    out = np.empty(len(pos), PAIR)
+    out["pos"], out["lcp"] = pos, lcp
+    return out
+
+
+def one(blocks: list[np.ndarray]) -> np.ndarray:
+    """Blocks of tuples as one; as bytes, since joining arrays of tuples compares their types again and again."""
+    return blocks[0] if len(blocks) == 1 else np.concatenate([b.view(np.uint8) for b in blocks]).view(PAIR)
+
+
 class Queue:
     """A priority queue of (position, common prefix) by character and arrival, in memory and on disk.
 
@@ -67,8 +78,9 @@ class Queue:
         self.held = 0
 
     def push(self, c: int, pos: np.ndarray, lcp: np.ndarray) -> None:
-        block = np.empty(len(pos), PAIR)
-        block["pos"], block["lcp"] = pos, lcp
+        self.add(c, paired(pos, lcp))
+
+    def add(self, c: int, block: np.ndarray) -> None:
         self.blocks[c].append(block)
         self.held += len(block)
         if self.held > self.scratch.memory:
@@ -81,7 +93,7 @@ class Queue:
             if not size or self.held <= self.scratch.memory // 2:
                 break
             name = self.scratch.path()
-            np.concatenate(self.blocks[c]).tofile(name)
+            one(self.blocks[c]).tofile(name)
             self.files[c].append((name, size))
             self.blocks[c] = []
             self.held -= size
@@ -100,7 +112,7 @@ class Queue:
                 continue
             # join small blocks; what is pushed while they are worked on comes after them
             taken, self.blocks[c] = self.blocks[c], []
-            block = taken[0] if len(taken) == 1 else np.concatenate(taken)
+            block = one(taken)
             self.held -= len(block)
             for at in range(0, len(block), BLOCK):
                 yield block[at : at + BLOCK]
@@ -129,10 +141,11 @@ class Inducer:
     def feed(self, pos: np.ndarray, lcp: np.ndarray, chosen: np.ndarray, into: np.ndarray) -> None:
         """``lcp`` is that of each suffix with the one before it; ``chosen`` are those whose predecessor, of character ``into``, follows."""
         n = len(pos)
-        table = [lcp]
-        while (1 << len(table)) <= n:
-            half, top = 1 << (len(table) - 1), table[-1]
-            table.append(np.minimum(top[:-half], top[half:]))
+        table = np.empty((n.bit_length(), n), np.uint16)  # least of 1, 2, 4, ... in a row from each on
+        table[0] = lcp
+        for k in range(1, len(table)):
+            half, width = 1 << (k - 1), n - (1 << k) + 1
+            np.minimum(table[k - 1, :width], table[k - 1, half : half + width], out=table[k, :width])
         order = np.argsort(into, kind="stable")
         at, into = chosen[order], into[order]
         whole = np.uint16(lcp.min())
@@ -154,21 +167,15 @@ class Inducer:
         more = last + 1 < n
         rest[more] = self._range(table, last[more] + 1, np.full(int(more.sum()), n - 1))
         self.least[first], self.begun[first] = rest, True
-        before = pos[at] - 1
+        pairs = paired(pos[at] - 1, new)
         for c, a, b in zip(first.tolist(), np.flatnonzero(head).tolist(), ends.tolist(), strict=True):
-            self.queue.push(c, before[a:b], new[a:b])
+            self.queue.add(c, pairs[a:b].copy())
 
     @staticmethod
-    def _range(table: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def _range(table: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Least of lcp[left..right]."""
-        size = right - left + 1
-        level = np.frexp(size.astype(np.float64))[1] - 1
-        out = np.empty(len(left), np.uint16)
-        for k in np.flatnonzero(np.bincount(level)).tolist():
-            own = np.flatnonzero(level == k)
-            row = table[k]
-            out[own] = np.minimum(row[left[own]], row[right[own] - (1 << k) + 1])
-        return out
+        level = np.frexp((right - left + 1).astype(np.float64))[1] - 1
+        return np.minimum(table[level, left], table[level, right - np.left_shift(1, level) + 1])
 
 
 def runs_at(text: np.ndarray, pos: int, most: int) -> int:
