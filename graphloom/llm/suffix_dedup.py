@@ -45,7 +45,7 @@ PASSAGE, CODE = 51, 2
 MEMORY, NAMES = 1 << 23, 1 << 22
 _PIECE = 1 << 23
 #: Bytes of text whose segments are found at once.
-PLACE_BYTES = 1 << 21
+PLACE_BYTES = 1 << 20
 #: Files of a table whose names are broadcast at most.
 FILES = 50_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -132,7 +132,7 @@ def counted(found: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= 400_000:
+            if size >= 200_000:
                 yield flush()
                 held, size = [], 0
         if size:
@@ -352,7 +352,7 @@ def _cut(docs: DataFrame, span: int, gram: int, make, schema: str, with_passages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PLACE_BYTES):
             yield pa.record_batch([batch.column("doc_id"), *make(batch)], names=names)
 
     return found.drop("row").mapInArrow(run, f"doc_id {kind}, {schema}")
