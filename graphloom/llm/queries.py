@@ -13,6 +13,7 @@ from graphloom.llm.common import documents
 from graphloom.llm.decontam import leaks
 from graphloom.llm.exact_dedup import exact_duplicates
 from graphloom.llm.huffman import token_files
+from graphloom.llm.merkle import tampering_found
 from graphloom.llm.secret_scan import scan
 from graphloom.llm.simhash import near_duplicates
 from graphloom.llm.suffix_dedup import removal_digests
@@ -65,8 +66,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampering_found(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat, op3_secrets, op4_suffix_dedup, op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat, op3_secrets, op4_suffix_dedup, op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity, op11_merkle)}
 
 
 OP7_SQL = r"""
@@ -84,5 +89,49 @@ SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM r
 """
 
 
+#: Nodes level by level; CRC-32 bit by bit, with the polynomial of zlib.
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail,
+         list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+           lambda crc, b: list_reduce([xor(crc, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295::BIGINT) AS crc
+  FROM documents
+), e AS (
+  SELECT r, doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS forged
+  FROM d
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM e
+), t(lang, lvl, idx, h, n) AS (
+  SELECT lang, 0, pos, leaf, n FROM leaves
+  UNION ALL
+  SELECT lang, lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, lvl, idx // 2
+), subs AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1
+), u(lvl, idx, h, n) AS (
+  SELECT 0, pos, subroot, n FROM subs
+  UNION ALL
+  SELECT lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, idx // 2
+), steps AS (
+  SELECT l.r, 0 AS part, p.lvl, coalesce(CASE WHEN s.idx < p.idx THEN 'l' ELSE 'r' END || s.h, '') AS step
+  FROM leaves l JOIN t p ON p.lang IS NOT DISTINCT FROM l.lang AND p.idx = l.pos >> p.lvl AND p.n > 1
+  LEFT JOIN t s ON s.lang IS NOT DISTINCT FROM p.lang AND s.lvl = p.lvl AND s.idx = xor(p.idx, 1)
+  UNION ALL
+  SELECT l.r, 1, p.lvl, coalesce(CASE WHEN s.idx < p.idx THEN 'l' ELSE 'r' END || s.h, '')
+  FROM leaves l JOIN subs b ON b.lang IS NOT DISTINCT FROM l.lang JOIN u p ON p.idx = b.pos >> p.lvl AND p.n > 1
+  LEFT JOIN u s ON s.lvl = p.lvl AND s.idx = xor(p.idx, 1)
+), proofs AS (
+  SELECT r, list(step ORDER BY part, lvl) AS proof, coalesce(string_agg(step[2:], '' ORDER BY part, lvl), '') AS siblings FROM steps GROUP BY r
+), f AS (
+  SELECT l.doc_id, l.leaf, b.subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256,
+         list_reduce(coalesce(p.proof, []::VARCHAR[]), lambda x, s: sha256(CASE WHEN s = '' THEN x WHEN s[1] = 'l' THEN s[2:] || x ELSE x || s[2:] END), coalesce(l.forged, l.leaf)) AS folded_root
+  FROM leaves l JOIN subs b ON b.lang IS NOT DISTINCT FROM l.lang LEFT JOIN proofs p ON p.r = l.r
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op11_merkle": OP11_SQL}
