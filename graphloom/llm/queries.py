@@ -13,6 +13,7 @@ from graphloom.llm.common import documents
 from graphloom.llm.decontam import leaks
 from graphloom.llm.exact_dedup import exact_duplicates
 from graphloom.llm.huffman import token_files
+from graphloom.llm.lexical import search
 from graphloom.llm.merkle import tampering_found
 from graphloom.llm.secret_scan import scan
 from graphloom.llm.simhash import near_duplicates
@@ -70,8 +71,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampering_found(documents(spark, sf_dir))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat, op3_secrets, op4_suffix_dedup, op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity, op11_merkle)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat, op3_secrets, op4_suffix_dedup, op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity, op11_merkle, op12_lexical_search)}
 
 
 OP7_SQL = r"""
@@ -133,5 +138,29 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 """
 
 
+OP12_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), total AS (
+  SELECT count(*) FILTER (len(terms) > 0) AS n, sum(len(terms))::BIGINT AS l FROM words
+), held AS (
+  SELECT r, any_value(doc_id) AS doc_id, any_value(len(terms)) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, terms, unnest(terms) AS term FROM words) GROUP BY r, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * t.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, total t GROUP BY term, t.n
+), asked AS (
+  SELECT q, any_value(item_id) AS item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY q, term
+), scores AS (
+  SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * h.n * t.n) // t.l))))::BIGINT AS score
+  FROM asked JOIN held h USING (term) JOIN weights USING (term), total t GROUP BY q, r
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r) AS k FROM scores WHERE score > 0
+)
+SELECT item_id, k::INTEGER AS rank, doc_id, score FROM ranked WHERE k <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op11_merkle": OP11_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op11_merkle": OP11_SQL, "op12_lexical_search": OP12_SQL}
