@@ -17,6 +17,7 @@ from graphloom.llm.lexical import search
 from graphloom.llm.merkle import tampering_found
 from graphloom.llm.secret_scan import scan
 from graphloom.llm.simhash import near_duplicates
+from graphloom.llm.substring_dedup import removal_digests as repeated_words
 from graphloom.llm.suffix_dedup import removal_digests
 from graphloom.llm.token_counts import token_counts
 from graphloom.llm.toxicity import toxicity
@@ -75,8 +76,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat, op3_secrets, op4_suffix_dedup, op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity, op11_merkle, op12_lexical_search)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat, op3_secrets, op4_suffix_dedup, op5_token_files, op6_bpe, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity, op11_merkle, op12_lexical_search, op13_substring_dedup)}
 
 
 OP7_SQL = r"""
@@ -162,5 +167,24 @@ SELECT item_id, k::INTEGER AS rank, doc_id, score FROM ranked WHERE k <= 10
 """
 
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS said FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+), later AS (
+  SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY said ORDER BY doc_id NULLS LAST, r, i) AS k FROM windows) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 20)) AS p FROM later
+), each AS (
+  SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT e.r, count(g.p) AS n_removed, coalesce(string_agg(e.w[e.p], ' ' ORDER BY e.p) FILTER (g.p IS NULL), '') AS kept
+  FROM each e LEFT JOIN gone g ON g.r = e.r AND g.p = e.p GROUP BY e.r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op11_merkle": OP11_SQL, "op12_lexical_search": OP12_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op11_merkle": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_substring_dedup": OP13_SQL}
