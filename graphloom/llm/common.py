@@ -49,6 +49,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` dealt out by ``key`` to a table in the shared folder with a bucket for each shuffle partition.
+
+    Joins and aggregations by the key read the buckets as they are: only what they are joined with moves.
+    """
+    spark = df.sparkSession
+    unique, buckets = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/{unique}").option("compression", "zstd").saveAsTable(unique)
+    swept(spark)  # the shuffle's files are not needed any more
+    return spark.table(unique)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` once nothing reads it any more."""
     spark = df.sparkSession

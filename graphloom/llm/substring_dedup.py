@@ -19,6 +19,9 @@ a hash of their words (128 bits; equal hashes count as equal words). Each task r
 the earliest before they are shuffled, so a window in a third of all documents is one row a task. What
 comes back to a document are the places of its windows that are the earliest of their kind; all its
 other grouped windows start earlier elsewhere, whatever their number, and are cut out.
+
+Texts travel once: they are dealt out by row number, compressed, together with what the first pass made
+of them, to a bucketed table in the shared folder. Later joins by row number move only the other side.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ROW, ship, stored, with_row
+from graphloom.llm.common import ROW, bucketed, ship, stored, with_row
 from graphloom.llm.decontam import mixed
 from graphloom.llm.textbatch import SPACE, binary, expand, flat, release, slices, sums, words
 
@@ -117,23 +121,38 @@ def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return raw.view(kind), np.diff(ends) // np.dtype(kind).itemsize
 
 
-def described(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """num (of the row), its ROW, doc_id, n_words, digest (of the words) and anchors of each row, stored."""
+def compressed(texts: list[bytes]) -> pa.Array:
+    press = zstandard.ZstdCompressor(level=1)
+    return pa.array([press.compress(x) for x in texts], pa.binary())
+
 
+def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Compressed texts as flat bytes with their offsets."""
+    press = zstandard.ZstdDecompressor()
+    texts = [press.decompress(x) for x in column.to_pylist()]
+    whole = b"".join(texts)
+    return np.frombuffer(whole, np.uint8) if whole else np.zeros(0, np.uint8), np.append(0, np.cumsum([len(x) for x in texts], dtype=np.int64))
+
+
+def described(docs: DataFrame, span: int, gram: int) -> DataFrame:
+    """num (of the row), its ROW, doc_id, n_words, digest (of the words), anchors and packed (the text) of each row, dealt out by num."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in slices(batches, "text", TEXT_BYTES):
-            own = Words(*flat(batch.column("text")))
+            data, offsets = flat(batch.column("text"))
+            own = Words(data, offsets)
             _, place, value, many = anchors(own, span, gram)
             new = np.append(True, place[1:] != place[:-1]) if len(place) else np.zeros(0, bool)
             per = sums(new.astype(np.int64), many)
             digests = [own.digest(k) for k in range(len(own.per))]
-            yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(own.per.astype(np.int64)), pa.array(digests), packed(value[new], per)], names=[ROW, "doc_id", "n_words", "digest", "anchors"])
+            raw, ends = data.tobytes(), offsets.tolist()
+            texts = compressed([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(own.per.astype(np.int64)), pa.array(digests), packed(value[new], per), texts], names=[ROW, "doc_id", "n_words", "digest", "anchors", "packed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(ROW, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInArrow(run, f"{ROW} struct<file:string,at:long>, doc_id {kind}, n_words long, digest string, anchors binary")
-    return stored(out.withColumn("num", F.monotonically_increasing_id()), "words")
+    out = rows.mapInArrow(run, f"{ROW} struct<file:string,at:long>, doc_id {kind}, n_words long, digest string, anchors binary, packed binary")
+    return bucketed(out.withColumn("num", F.monotonically_increasing_id()), "num", "words")
 
 
 def first_copies(rows: DataFrame, span: int) -> DataFrame:
@@ -218,26 +237,22 @@ def estimated(rows: DataFrame) -> DataFrame:
     return out.where(F.octet_length("repeated") > 0)
 
 
-def grouped(docs: DataFrame, chosen: DataFrame, span: int, gram: int) -> DataFrame:
-    """num, ROW, base, starts (of the windows with a repeated anchor) and their hashes, of the ``chosen`` rows, stored."""
+def grouped(chosen: DataFrame, span: int, gram: int) -> DataFrame:
+    """num, base, starts (of the windows with a repeated anchor) and their hashes, of the ``chosen`` rows (num, base, packed, repeated), stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in slices(batches, "text", TEXT_BYTES):
-            own = Words(*flat(batch.column("text")))
+        for batch in slices(batches, "packed", TEXT_BYTES // 3):
+            own = Words(*texts_of(batch.column("packed")))
             start, _, value, many = anchors(own, span, gram)
             hit = np.isin(value, np.unique(unpacked(batch.column("repeated"), np.uint64)[0]))
             per = sums(hit.astype(np.int64), many)
             at = start[hit]
             lanes = np.stack([own.strings(j, span)[at] for j in range(2)], axis=1) if len(at) else np.zeros((0, 2), np.uint64)
             place = (at - np.repeat(own.first, per)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("num"), batch.column(ROW), batch.column("base"), packed(place, per), packed(lanes.ravel(), 2 * per)], names=["num", ROW, "base", "starts", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("num"), batch.column("base"), packed(place, per), packed(lanes.ravel(), 2 * per)], names=["num", "base", "starts", "hashes"])
 
-    # the row's names are taken apart, so that the join is by plain columns
-    named = docs.select(F.col(ROW)["file"].alias("file"), F.col(ROW)["at"].alias("at"), ROW, F.coalesce("text", F.lit("")).alias("text"))
-    keys = chosen.select(F.col(ROW)["file"].alias("file"), F.col(ROW)["at"].alias("at"), "num", "base", "repeated")
-    joined = named.join(keys, ["file", "at"]).select("num", ROW, "base", "repeated", "text")
-    return stored(joined.mapInArrow(run, f"num long, {ROW} struct<file:string,at:long>, base long, starts binary, hashes binary"), "windows")
+    return stored(chosen.select("num", "base", "packed", "repeated").mapInArrow(run, "num long, base long, starts binary, hashes binary"), "windows")
 
 
 def earliest(found: DataFrame) -> DataFrame:
@@ -256,7 +271,7 @@ def earliest(found: DataFrame) -> DataFrame:
 
 
 def cut(found: DataFrame, first: DataFrame, span: int) -> DataFrame:
-    """num, ROW, spans (first and last word + 1 of each run to be removed, one after the other) of rows that lose words."""
+    """num, spans (first and last word + 1 of each run to be removed, one after the other) of rows that lose words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,29 +289,22 @@ def cut(found: DataFrame, first: DataFrame, span: int) -> DataFrame:
                 split = np.flatnonzero(gone[1:] > gone[:-1] + span) + 1
                 head, tail = gone[np.append(0, split)], gone[np.append(split, len(gone)) - 1] + span
                 out.append(np.stack([head, tail], axis=1).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("num"), batch.column(ROW), pa.array(out, pa.list_(pa.int32()))], names=["num", ROW, "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("num"), pa.array(out, pa.list_(pa.int32()))], names=["num", "spans"])
 
-    rows = found.select("num", ROW, "base", "starts").where(F.octet_length("starts") > 0).join(first, "num", "left")
-    return rows.mapInArrow(run, f"num long, {ROW} struct<file:string,at:long>, spans array<int>").where(F.size("spans") > 0)
+    rows = found.select("num", "base", "starts").where(F.octet_length("starts") > 0).join(first, "num", "left")
+    return rows.mapInArrow(run, "num long, spans array<int>").where(F.size("spans") > 0)
 
 
 def removals(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """What goes of ``docs`` (made by ``with_row``): the rows as ``described``, with ``copy`` (all its words go), and the spans of other rows."""
+    """What goes of ``docs`` (made by ``with_row``): the rows as ``described``, with ``copy`` (all its words go), and num and spans of others that lose words."""
     ship(docs.sparkSession)
     rows = described(docs, span, gram)
     first = first_copies(rows, span)
-    one = rows.select("num", ROW, "anchors").join(first, "num")
-    chosen = stored(estimated(one.select("num", "anchors")).join(one.drop("anchors"), "num"), "repeated")
-    found = grouped(docs, chosen, span, gram)
+    one = rows.join(first, "num")
+    found = grouped(one.join(estimated(one.select("num", "anchors")), "num"), span, gram)
     spans = stored(cut(found, earliest(found), span), "spans")
     kept = first.select("num", F.lit(True).alias("first"))
-    return rows.join(kept, "num", "left").withColumn("copy", (F.col("n_words") >= span) & F.col("first").isNull()).drop("first", "anchors"), spans
-
-
-def with_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """num, spans and text of the rows that lose words."""
-    named = docs.select(F.col(ROW)["file"].alias("file"), F.col(ROW)["at"].alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    return named.join(spans.select(F.col(ROW)["file"].alias("file"), F.col(ROW)["at"].alias("at"), "num", "spans"), ["file", "at"]).select("num", "spans", "text")
+    return rows.join(kept, "num", "left").withColumn("copy", (F.col("n_words") >= span) & F.col("first").isNull()), spans
 
 
 def kept_words(own: Words, text: int, spans: list[int]) -> np.ndarray:
@@ -315,19 +323,18 @@ def removal_digests(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
     Windows are judged on the input, texts are read whole. Null and empty texts have no words, shorter
     ones than a window lose none; an empty table gives an empty result; other columns are not read.
     """
-    docs = with_row(docs, "doc_id", "text")
-    rows, spans = removals(docs, span, gram)
+    rows, spans = removals(with_row(docs, "doc_id", "text"), span, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in slices(batches, "text", TEXT_BYTES):
-            own = Words(*flat(batch.column("text")))
+        for batch in slices(batches, "packed", TEXT_BYTES // 3):
+            own = Words(*texts_of(batch.column("packed")))
             kept = [kept_words(own, k, s) for k, s in enumerate(batch.column("spans").to_pylist())]
             removed = [int((~x).sum()) for x in kept]
             yield pa.RecordBatch.from_arrays([batch.column("num"), pa.array(removed, pa.int64()), pa.array([own.digest(k, x) for k, x in enumerate(kept)])], names=["num", "removed", "kept"])
 
-    less = with_text(docs, spans).mapInArrow(run, "num long, removed long, kept string")
-    out = rows.join(less, "num", "left")
+    less = rows.select("num", "packed").join(spans, "num").mapInArrow(run, "num long, removed long, kept string")
+    out = rows.select("num", "doc_id", "n_words", "digest", "copy").join(less, "num", "left")
     removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0)))
     kept = F.when(F.col("copy"), F.lit(EMPTY)).otherwise(F.coalesce("kept", "digest"))
     return out.select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256"))
@@ -342,16 +349,16 @@ def drop_repeated_passages(docs: DataFrame, span: int = SPAN, gram: int = GRAM)
     rows, spans = removals(docs, span, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", TEXT_BYTES):
-            own = Words(*flat(batch.column("text")))
+        for batch in slices(batches, "packed", TEXT_BYTES // 3):
+            own = Words(*texts_of(batch.column("packed")))
             out = []
             for k, s in enumerate(batch.column("spans").to_pylist()):
                 at = own.first[k] + np.flatnonzero(kept_words(own, k, s))
                 out.append(b" ".join(own.data[a:b].tobytes() for a, b in zip(own.starts[at], own.ends[at], strict=True)).decode())
             yield pa.RecordBatch.from_arrays([batch.column("num"), pa.array(out, pa.string())], names=["num", "kept"])
 
-    less = with_text(docs, spans).mapInArrow(run, "num long, kept string")
-    new = rows.join(less, "num", "left").where(F.col("copy") | F.col("kept").isNotNull())
+    less = rows.select("num", "packed").join(spans, "num").mapInArrow(run, "num long, kept string")
+    new = rows.select("num", ROW, "copy").join(less, "num", "left").where(F.col("copy") | F.col("kept").isNotNull())
     changed = new.select(F.col(ROW)["file"].alias(f"{ROW}file"), F.col(ROW)["at"].alias(f"{ROW}at"), F.when(F.col("copy"), "").otherwise(F.col("kept")).alias(f"{ROW}text"))
     by = [docs[ROW]["file"] == changed[f"{ROW}file"], docs[ROW]["at"] == changed[f"{ROW}at"]]
     return docs.join(changed, by, "left").withColumn("text", F.coalesce(f"{ROW}text", "text")).drop(ROW, *changed.columns)
