@@ -7,22 +7,15 @@ collect one number a round.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import fixed
 from graphloom.functions.text import is_dynamic
+from graphloom.operators.components import components  # noqa: F401  (an operator of graphs, asked for here)
 from graphloom.sources.shared import ensure_checkpoint_dir
 
 
-def clean_edges(edges: DataFrame) -> DataFrame:
-    """Distinct edges between different nodes, nulls left out."""
-    return edges.select("src", "dst").where("src <> dst").distinct()
-
-
 def callers(edges: DataFrame) -> DataFrame:
     """id and callers: for each target the sorted distinct sources."""
     return edges.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("src")).alias("callers"))
@@ -117,107 +110,6 @@ def tier_summary(radius: DataFrame) -> DataFrame:
     return radius.agg(F.count("*").alias("total_files"), count("green"), count("yellow"), count("red"))
 
 
-# strongly connected components
-
-
-def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """Edges whose ends may lie on a cycle: ends without an edge in or out are removed, ``rounds`` times.
-
-    Each round is stored, since the next one reads it three times.
-    """
-    ensure_checkpoint_dir(edges.sparkSession)
-    live = edges.select("src", "dst").checkpoint()
-    for _ in range(rounds):
-        heads, tails = live.select(F.col("dst").alias("src")).distinct(), live.select(F.col("src").alias("dst")).distinct()
-        live = live.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst").checkpoint()
-    return live
-
-
-def _core_components(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Strong components of a small graph: finishing order forward, then sets backward."""
-    forward: dict = {}
-    back: dict = {}
-    for s, d in zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
-        forward.setdefault(s, []).append(d)
-        back.setdefault(d, []).append(s)
-    done, order = set(), []
-    for root in sorted(set(forward) | set(back)):
-        if root in done:
-            continue
-        done.add(root)
-        path: list[tuple[object, Iterator]] = [(root, iter(forward.get(root, ())))]
-        while path:
-            node, follow = path[-1]
-            step = next((x for x in follow if x not in done), None)
-            if step is None:
-                order.append(node)
-                path.pop()
-            else:
-                done.add(step)
-                path.append((step, iter(forward.get(step, ()))))
-    rows, placed = [], set()
-    for root in reversed(order):
-        if root in placed:
-            continue
-        placed.add(root)
-        members, waiting = [root], [root]
-        while waiting:
-            for x in back.get(waiting.pop(), ()):
-                if x not in placed:
-                    placed.add(x)
-                    members.append(x)
-                    waiting.append(x)
-        if len(members) > 1:
-            least = min(members)
-            rows += [(m, least) for m in members]
-    return pd.DataFrame(rows, columns=["id", "component"])
-
-
-def components(edges: DataFrame, core_limit: int = 1_000_000, rounds: int = 3) -> DataFrame:
-    """id and component (least member) of every node in a strong component of two or more.
-
-    A few rounds of trimming leave the core, which is counted. A core of at most ``core_limit`` edges
-    is solved in one task (a bound on that task's memory, not on results: both ways give the same
-    rows); a larger one by colouring: colours spread forward (least id wins), the
-    nodes that reach back to their colour's root within the colour are its component, and the rest
-    goes on.
-    """
-    spark = edges.sparkSession
-    kind = edges.schema["src"].dataType.simpleString()
-    live = trimmed(clean_edges(edges), rounds)
-    size = live.count()
-    if size <= core_limit:
-        schema = f"id {kind}, component {kind}"
-        return live.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_core_components, schema) if size else spark.createDataFrame([], schema)
-    found = []
-    while live.count():
-        nodes = live.select(F.col("src").alias("id")).union(live.select(F.col("dst").alias("id"))).distinct()
-        colour = nodes.withColumn("colour", F.col("id")).checkpoint()
-        while True:
-            pushed = live.join(colour, live.src == colour.id).groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
-            step = colour.join(pushed, "id", "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")).checkpoint()
-            colour = step.select("id", "colour")
-            if not step.where("moved").limit(1).count():
-                break
-        inner = live.join(colour.withColumnsRenamed({"id": "src", "colour": "a"}), "src").join(colour.withColumnsRenamed({"id": "dst", "colour": "b"}), "dst").where("a = b").select("src", "dst", F.col("a").alias("colour")).checkpoint()
-        reached = colour.where("id = colour").select("id", "colour")
-        frontier = reached
-        while True:
-            back = inner.join(frontier.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "colour").distinct()
-            frontier = back.join(reached.select("id"), "id", "left_anti").checkpoint()
-            if not frontier.limit(1).count():
-                break
-            reached = reached.union(frontier).checkpoint()
-        found.append(reached.select("id", F.col("colour").alias("component")))
-        gone = reached.select("id")
-        live = live.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        live = trimmed(live.select("src", "dst"), 1)
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.join(out.groupBy("component").count().where("count > 1").select("component"), "component").select("id", "component")
-
-
 def cluster_classes(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
     """id and class (independent, cyclic, dynamic; a node may be both of the last two) of functions and methods."""
     own = nodes.where(F.col("kind").isin(*fixed.FUNCTION_KINDS)).select("id", "flags")
@@ -246,31 +138,27 @@ def component_groups(members: DataFrame, edges: DataFrame, limit: int = fixed.SC
 # paths
 
 
-def ranked_callees(nodes: DataFrame, edges: DataFrame, fan_limit: int = fixed.FLOW_FAN, sources: DataFrame | None = None) -> DataFrame:
-    """Each source's ``fan_limit`` targets with the most callers: src, dst, k. With ``sources`` (src) only theirs are ranked."""
-    own = edges if sources is None else edges.join(sources, "src", "left_semi")
-    known = own.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    counted = edges if sources is None else edges.join(known.select("dst").distinct(), "dst", "left_semi")
-    known = known.join(counted.groupBy("dst").agg(F.count("*").alias("callers")), "dst")
+def ranked_callees(nodes: DataFrame, edges: DataFrame, fan_limit: int = fixed.FLOW_FAN) -> DataFrame:
+    """Each source's ``fan_limit`` targets with the most callers: src, dst, k."""
+    counted = edges.groupBy("dst").agg(F.count("*").alias("callers")).join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
     k = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("callers"), "dst"))
-    return known.withColumn("k", k).where(F.col("k") <= fan_limit).select("src", "dst", "k")
+    return edges.join(counted, "dst").withColumn("k", k).where(F.col("k") <= fan_limit).select("src", "dst", "k")
 
 
-def chains(entries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = fixed.FLOW_DEPTH, fan_limit: int = fixed.FLOW_FAN) -> DataFrame:
-    """All maximal simple paths of at most ``depth`` nodes from each entry (ord, id) along the ranked callees.
+def chains(entries: DataFrame, ranked: DataFrame, depth: int = fixed.FLOW_DEPTH) -> DataFrame:
+    """All maximal simple paths of at most ``depth`` nodes from each entry (ord, id) along the ranked callees (src, dst, k).
 
     Columns: ord, path (ids), turns (rank of each step). A path ends at the depth, or where every
-    ranked callee is on it already. Only callees of nodes that a path has come to are ranked.
+    ranked callee is on it already.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    alive = entries.select("ord", F.array("id").alias("path"), F.array().cast("array<int>").alias("turns")).checkpoint()
+    ensure_checkpoint_dir(ranked.sparkSession)
+    alive = entries.select("ord", F.array("id").alias("path"), F.array().cast("array<int>").alias("turns"))
     ended = []
     for _ in range(depth - 1):
         tip = F.element_at("path", -1)
-        step = ranked_callees(nodes, edges, fan_limit, alive.select(tip.alias("src")).distinct())
-        grown = alive.join(step, tip == step.src, "left").withColumn("fresh", F.col("dst").isNotNull() & ~F.array_contains("path", F.col("dst")))
+        grown = alive.join(ranked, tip == ranked.src, "left").withColumn("fresh", F.col("dst").isNotNull() & ~F.array_contains("path", F.col("dst"))).checkpoint()
         ended.append(grown.groupBy("ord", "path", "turns").agg(F.bool_or("fresh").alias("any")).where("not any").select("ord", "path", "turns"))
-        alive = grown.where("fresh").select("ord", F.concat("path", F.array("dst")).alias("path"), F.concat("turns", F.array("k")).alias("turns")).checkpoint()
+        alive = grown.where("fresh").select("ord", F.concat("path", F.array("dst")).alias("path"), F.concat("turns", F.array("k")).alias("turns"))
     out = alive
     for e in ended:
         out = out.union(e)
@@ -283,17 +171,19 @@ def flows(entries: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = f
     Of each entry its two longest chains count (of equal length the one that turned to later-ranked
     callees first), chains of one node and repeated chains are left out, and the first ``limit`` in
     order of entry stay. ``entries`` are (ord, id); those that are no function or method are skipped.
-    Entries are walked from in order, a growing number at a time, until ``limit`` flows are found.
+    Callees are ranked once and stored; entries are walked from in order, a growing number at a time,
+    until ``limit`` flows are found.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     own = entries.join(nodes.where(F.col("kind").isin(*fixed.FUNCTION_KINDS)).select("id"), "id", "left_semi").select("ord", "id").checkpoint()
+    ranked = ranked_callees(nodes, edges).checkpoint()
     later = F.transform("turns", lambda t: -t)
     rank = F.row_number().over(Window.partitionBy("ord").orderBy(F.desc(F.size("path")), later))
     one_each = F.row_number().over(Window.partitionBy("path").orderBy("ord", "rank"))
     found, left, take = None, own, 4 * limit
     while True:
         some = left.orderBy("ord").limit(take).checkpoint()
-        best = chains(some, nodes, edges, depth).withColumn("rank", rank).where((F.col("rank") <= fixed.FLOW_CHAINS) & (F.size("path") >= 2)).select("ord", "path", "rank")
+        best = chains(some, ranked, depth).withColumn("rank", rank).where((F.col("rank") <= fixed.FLOW_CHAINS) & (F.size("path") >= 2)).select("ord", "path", "rank")
         every = best if found is None else found.union(best)
         found = every.withColumn("k", one_each).where("k = 1").drop("k").checkpoint()
         if some.count() < take or found.limit(limit).count() >= limit:

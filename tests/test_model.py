@@ -149,10 +149,3 @@ def test_patches(spark):
     got = {r["file"]: r for r in ripple.patches(rows, "g", "DELETION").collect()}
     assert got["a.py"]["patched_content"].splitlines()[1].startswith("    # TODO: verify")
     assert got["b.ts"]["patched_content"].startswith("// TODO") and "+" in got["a.py"]["diff"]
-
-
-def test_large_graph_colouring_agrees(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1), (5, 7), (8, 8)], "src long, dst long")
-    small = {tuple(r) for r in graph.components(edges).collect()}
-    large = {tuple(r) for r in graph.components(edges, core_limit=0).collect()}
-    assert small == large == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
