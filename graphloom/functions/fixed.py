@@ -72,6 +72,20 @@ VERBS = {
 PREFIXES = (("is_", "Checks"), ("has_", "Checks"), ("can_", "Checks"), ("should_", "Checks"), ("to_", "Converts"), ("from_", "Converts"), ("on_", "Handles"), ("test_", "Tests"))
 MICRO_WORDS = 5
 
+# Called names that Python's syntax tree shows, with family, confidence and description.
+DYNAMIC_CALLS = {
+    "getattr": ("reflection", 0.95, "Python built-in 'getattr()' dynamic attribute reflection"),
+    "setattr": ("reflection", 0.95, "Python built-in 'setattr()' dynamic attribute reflection"),
+    "hasattr": ("reflection", 0.95, "Python built-in 'hasattr()' dynamic attribute reflection"),
+    "delattr": ("reflection", 0.95, "Python built-in 'delattr()' dynamic attribute reflection"),
+    "import_module": ("dynamic_import", 0.95, "Dynamic module loader 'import_module()'"),
+    "__import__": ("dynamic_import", 0.95, "Dynamic module loader '__import__()'"),
+    "eval": ("eval", 0.95, "Arbitrary runtime code execution via 'eval()'"),
+    "exec": ("eval", 0.95, "Arbitrary runtime code execution via 'exec()'"),
+    "getenv": ("env_conditional", 0.9, "Environment variable retrieval via os.getenv()"),
+}
+DYNAMIC_ENVIRON = ("env_conditional", 0.95, "Environment variable lookup via os.environ index")
+
 # Dynamic invocation patterns by family, in order: pattern, description, confidence.
 DYNAMIC_PATTERNS = (
     ("reflection", r"\bgetattr\s*\(", "Python dynamic getattr lookup", 0.9),

@@ -243,7 +243,8 @@ def slug(text: Column | str) -> Column:
 
 
 def percent(part: Column | str, whole: Column | str) -> Column:
-    return F.when(col(whole) > 0, F.format_string("%.0f%%", 100.0 * col(part) / col(whole))).otherwise("0%")
+    """A whole number of hundredths, halves to the even one; ``0%`` of nothing."""
+    return F.when(col(whole) > 0, F.concat(F.bround(100.0 * col(part) / col(whole), 0).cast("long").cast("string"), F.lit("%"))).otherwise("0%")
 
 
 def plural(n: Column | str, one: str, many: str | None = None) -> Column:

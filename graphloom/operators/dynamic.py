@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import fixed
 from graphloom.functions.text import python_regex
+from graphloom.operators.extract import parsed
 from graphloom.sources.files import ship
 
 FINDING = "pattern_type string, file_path string, line_number int, symbol_id string, confidence double, description string"
@@ -39,39 +40,27 @@ def line_findings(lines: DataFrame, families: tuple[str, ...] = fixed.FAMILIES,
     return rows.select("x.pattern_type", F.col("path").alias("file_path"), F.col("line_no").cast("int").alias("line_number"), F.col("path").alias("symbol_id"), "x.hit.confidence", "x.hit.description")
 
 
-#: Called names, with family, confidence and description.
-_CALLS = {n: ("reflection", 0.95, f"Python built-in '{n}()' dynamic attribute reflection") for n in ("getattr", "setattr", "hasattr", "delattr")}
-_CALLS |= {n: ("dynamic_import", 0.95, f"Dynamic module loader '{n}()'") for n in ("import_module", "__import__")}
-_CALLS |= {n: ("eval", 0.95, f"Arbitrary runtime code execution via '{n}()'") for n in ("eval", "exec")}
-_CALLS |= {"getenv": ("env_conditional", 0.9, "Environment variable retrieval via os.getenv()")}
-
-
 def parsed_findings(path: str, source: str, wanted: str | None = None) -> list[dict]:
-    """Findings in Python's syntax tree, each with the dotted name of where it stands."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    """Findings in Python's syntax tree, each with the dotted name of where it stands, outer ones first; however deep the tree is."""
+    tree = parsed(source)
+    if tree is None:
         return []
-    module, out = path.replace("/", ".").rstrip(".py"), []
-
-    def add(node: ast.AST, own: str, family: str, confidence: float, text: str) -> None:
-        if wanted is None or own == wanted or wanted.startswith(own):
-            out.append({"pattern_type": family, "file_path": path, "line_number": node.lineno, "symbol_id": own, "confidence": confidence, "description": text})
-
-    def walk(node: ast.AST, scope: tuple[str, ...]) -> None:
+    out: list[dict] = []
+    waiting: list[tuple[ast.AST, str]] = [(tree, path.replace("/", ".").removesuffix(".py"))]
+    while waiting:
+        node, own = waiting.pop()
         if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
-            scope = (*scope, node.name)
-        own = ".".join((module, *scope))
+            own = f"{own}.{node.name}"
+        hit = None
         if isinstance(node, ast.Call):
             name = node.func.id if isinstance(node.func, ast.Name) else node.func.attr if isinstance(node.func, ast.Attribute) else None
-            if name in _CALLS:
-                add(node, own, *_CALLS[name])
+            hit = fixed.DYNAMIC_CALLS.get(name)
         elif isinstance(node, ast.Subscript) and isinstance(node.value, ast.Attribute) and node.value.attr == "environ":
-            add(node, own, "env_conditional", 0.95, "Environment variable lookup via os.environ index")
-        for child in ast.iter_child_nodes(node):
-            walk(child, scope)
-
-    walk(tree, ())
+            hit = fixed.DYNAMIC_ENVIRON
+        if hit and (wanted is None or wanted.startswith(own)):
+            family, confidence, text = hit
+            out.append({"pattern_type": family, "file_path": path, "line_number": node.lineno, "symbol_id": own, "confidence": confidence, "description": text})
+        waiting += [(child, own) for child in reversed(list(ast.iter_child_nodes(node)))]
     return out
 
 

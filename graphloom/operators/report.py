@@ -32,9 +32,10 @@ def repo_stats(files: DataFrame, symbols: DataFrame, edges: DataFrame, raw_calls
     return one.withColumn("unresolved_call_names", F.greatest(F.lit(0), F.col("raw") - F.col("resolved_call_edges"))).drop("raw")
 
 
-def resolution_rate(stats: DataFrame) -> DataFrame:
+def resolution_rate(stats: DataFrame, *keys: str) -> DataFrame:
+    """Resolved call edges of all calls as a percentage, halves to the even one; ``n/a`` without calls. ``keys`` are passed on."""
     total = F.col("resolved_call_edges") + F.col("unresolved_call_names")
-    return stats.select(F.when(total > 0, percent("resolved_call_edges", total)).otherwise("n/a").alias("rate"))
+    return stats.select(*keys, F.when(total > 0, percent("resolved_call_edges", total)).otherwise("n/a").alias("rate"))
 
 
 def hotspots(symbols: DataFrame, n: int = 6, least: int = HOT) -> DataFrame:

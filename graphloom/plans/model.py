@@ -16,24 +16,24 @@ from graphloom.sources import files as sources
 def symbols_of(files: DataFrame, records: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Enriched symbols of files (path, content): one row an id, the first in order of file and position.
 
-    Bodies come from the file's lines; complexity from the parser for Python and from tokens for
+    Bodies come with the records; complexity from the parser for Python and from tokens for
     other languages. All symbols are kept unless the caller asks for ``cap``, as a small display may
     (``fixed.SYMBOLS``): then tests go first, then symbols with the fewest calls.
     """
     rows = extract.extract(extract.wanted_files(files)) if records is None else records
     s = rows.where(F.col("record").isin("symbol", "method")).withColumn("late", F.col("record") == "method")
-    first = F.row_number().over(Window.partitionBy("id").orderBy("late", "ord"))
-    s = s.withColumn("k", first).where("k = 1").join(files.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
-    body = F.coalesce(lines.source_slice("content", "line_start", "line_end", 0, 1 << 20), F.lit(""))
     kind = F.when(F.col("type") == "struct", "class").otherwise(F.col("type"))
     qualified = text.qualified("id", "name")
-    s = s.withColumn("body", body).withColumn("plain", text.strip_comments("body", "language")).select(
+    # all that a body is needed for, so that bodies are not shuffled
+    s = s.withColumn("plain", text.strip_comments("body", "language")).select(
         "id", "name", qualified.alias("qualified"), kind.alias("kind"), "file_path", text.module_key("file_path").alias("module"), "line_start", "line_end", "language",
         text.parent_of(qualified).alias("parent"), "exported", F.col("name").startswith("_").alias("private"), text.is_test_path("file_path").alias("is_test"),
         F.coalesce("doc", F.lit("")).alias("doc"), F.coalesce("complexity", text.lexical_complexity("plain")).alias("complexity"), text.capability_flags("plain").alias("flags"),
         "parameters", F.coalesce("return_type", F.lit("")).alias("returns"), F.slice("calls", 1, fixed.RAW_CALLS).alias("raw_calls"), F.slice("imports", 1, fixed.IMPORTS).alias("imports"),
-        text.sha20("body").alias("hash"), F.when(F.col("late"), "regex").otherwise("ast").alias("source"), "ord",
+        text.sha20("body").alias("hash"), F.when(F.col("late"), "regex").otherwise("ast").alias("source"), "ord", "late",
     )
+    first = F.row_number().over(Window.partitionBy("id").orderBy("late", "ord"))
+    s = s.withColumn("k", first).where("k = 1").drop("k", "late")
     if cap is None:
         return s
     return s.orderBy("is_test", F.desc(F.size("raw_calls")), "id").limit(cap)

@@ -874,11 +874,13 @@ def coupling_scores(spark, sf):
     return per.select("module", graph.coupling_score(F.col("out"), F.col("cyclic")).cast("double").alias("score"))
 
 
-@query("SELECT CASE WHEN a + b > 0 THEN printf('%.0f%%', 100.0 * a / (a + b)) ELSE 'n/a' END AS rate, count(*) AS n FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY 1) WHERE a + b IN (0, 1, 2, 4, 5, 10) GROUP BY 1")
+# a share in whole numbers: the quotient, and one more past a half or at a half after an odd one
+@query("""WITH c AS (SELECT c_custkey, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+ q AS (SELECT *, (100 * a) // greatest(a + b, 1) AS d, 2 * ((100 * a) % greatest(a + b, 1)) AS r FROM c)
+ SELECT c_custkey, CASE WHEN a + b = 0 THEN 'n/a' ELSE (d + CASE WHEN r > a + b OR (r = a + b AND d % 2 = 1) THEN 1 ELSE 0 END) || '%' END AS rate FROM q""")
 def resolution_rates(spark, sf):
-    per = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("resolved_call_edges"), F.count_if(F.col("o_orderstatus") == "O").alias("unresolved_call_names"))
-    even = per.where((F.col("resolved_call_edges") + F.col("unresolved_call_names")).isin(0, 1, 2, 4, 5, 10))  # no halves, which the two round differently
-    return report.resolution_rate(even).groupBy("rate").agg(F.count("*").alias("n"))
+    per = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("resolved_call_edges"), F.count_if(F.col("o_orderstatus") == "O").alias("unresolved_call_names"))
+    return report.resolution_rate(per, "c_custkey")
 
 
 @query("""WITH f AS (SELECT DISTINCT c_custkey AS id, 'f' || (o_orderkey % 4) || '.py' AS file FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NOT NULL), l AS (SELECT id, list(file ORDER BY file) AS files FROM f GROUP BY 1)
