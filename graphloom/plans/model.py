@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import fixed, text
 from graphloom.operators import crawl, delta, extract, graph, insights, lines, report, resolve, ripple
 from graphloom.sources import files as sources
+from graphloom.sources.shared import ensure_checkpoint_dir
 
 
 def symbols_of(files: DataFrame, records: DataFrame | None = None, cap: int | None = None) -> DataFrame:
@@ -187,14 +188,32 @@ class Model:
         return graph.tree_rows(self.symbols)
 
     def refresh(self, files: DataFrame | None = None) -> None:
-        """Forget every relation that was kept, and go on with ``files`` if given: what is asked for next is planned anew."""
-        for name in ("records", "symbols", "edges"):
-            if name in self.__dict__:
-                self.__dict__[name].unpersist()
+        """Go on with ``files``: only what changed is extracted and resolved again, if symbols and edges were known.
+
+        Files are compared by path and content. Records, symbols and edges of other files stay, but for
+        calls that the edit may have given another meaning; the rest is planned anew when asked for.
+        Without files, or with a cap on symbols, everything is.
+        """
+        known = {n: self.__dict__[n] for n in ("records", "symbols", "edges") if n in self.__dict__}
+        fresh: dict[str, DataFrame] = {}
+        if files is not None and len(known) == 3 and self.cap is None:
+            ensure_checkpoint_dir(files.sparkSession)
+            both = self.files.select("path", F.col("content").alias("was"), F.lit(True).alias("old")).join(files.select("path", F.col("content").alias("now"), F.lit(True).alias("new")), "path", "full_outer")
+            paths = both.where(F.col("old").isNull() | F.col("new").isNull() | ~F.col("was").eqNullSafe(F.col("now"))).select("path").checkpoint()
+            gone = paths.select(F.col("path").alias("file_path"))
+            changed = files.join(paths, "path", "left_semi")
+            records = extract.extract(extract.wanted_files(changed, self.languages, self.include, self.exclude)).checkpoint()
+            symbols = known["symbols"].join(gone, "file_path", "left_anti").unionByName(symbols_of(changed, records)).checkpoint()
+            calls = symbols.select(F.col("id").alias("src"), F.posexplode("raw_calls").alias("pos", "raw"))
+            edges = resolve.resolved_again(known["symbols"], symbols, known["edges"], calls, paths).checkpoint()
+            fresh = {"records": known["records"].join(gone, "file_path", "left_anti").unionByName(records).checkpoint(), "symbols": symbols, "edges": edges}
+        for df in known.values():
+            df.unpersist()
         for name in [n for n in self.__dict__ if isinstance(getattr(type(self), n, None), cached_property)]:
             del self.__dict__[name]
         if files is not None:
             self.files = files
+        self.__dict__.update(fresh)
 
     def payload(self, route: str, needle: str = "", detail: int = 2) -> DataFrame:
         """What a route of the service answers, as one relation; the routes are those of ``ROUTES``."""

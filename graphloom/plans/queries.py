@@ -91,9 +91,9 @@ def tier_summary(spark, sf):
     return graph.tier_summary(_radius(spark, sf))
 
 
-@query(with_("nodes", "edges", body="SELECT b.file_path AS path, string_agg(DISTINCT a.file_path, ',' ORDER BY a.file_path) AS dependent_files, least(count(*), 25) AS callers FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.file_path <> b.file_path GROUP BY 1"))
+@query(with_("nodes", "edges", body="SELECT file_path AS path, any_value(files) AS dependent_files, string_agg(src || '>' || dst, ',' ORDER BY dst, src) AS callers FROM (SELECT b.file_path, e.src, e.dst, row_number() OVER (PARTITION BY b.file_path ORDER BY e.dst, e.src) AS k, array_to_string(list_sort(list_distinct(list(a.file_path) OVER (PARTITION BY b.file_path))), ',') AS files FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.file_path <> b.file_path) WHERE k <= 25 GROUP BY 1"))
 def file_dependents(spark, sf):
-    return graph.dependents(st.nodes(spark, sf), st.edges(spark, sf)).select("path", joined("dependent_files").alias("dependent_files"), F.size("callers").cast("long").alias("callers"))
+    return graph.dependents(st.nodes(spark, sf), st.edges(spark, sf)).select("path", joined("dependent_files").alias("dependent_files"), F.array_join(F.transform("callers", lambda c: F.concat_ws(">", c["caller_id"].cast("string"), c["target_id"].cast("string"))), ",").alias("callers"))
 
 
 @query(with_("nodes", "edges", "reach", body="SELECT id, component FROM members"))
@@ -297,12 +297,12 @@ def find_symbol(spark, sf):
     return resolve.find_symbol(n, needles).select("needle", "id", "status")
 
 
-@query(with_("symbols", "calls", "edges", body=""", named AS (SELECT s.id, c.src, c.pos FROM symbols s JOIN calls c ON c.tail = s.name), rows5 AS (SELECT id, least(count(*), 5) AS n FROM named GROUP BY 1), into_ AS (SELECT dst AS id, count(*) AS n, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS callers FROM edges GROUP BY 1)
- SELECT s.id, s.name, coalesce(i.n, 0) AS call_site_count, i.callers, coalesce(r.n, 0) AS raw_calls FROM symbols s LEFT JOIN into_ i USING (id) LEFT JOIN rows5 r USING (id)"""))
+@query(with_("symbols", "calls", "edges", body=""", said AS (SELECT tail, src, pos, CASE WHEN receiver = '' THEN '' ELSE receiver || '.' END || tail || '(x)' AS raw FROM calls), first5 AS (SELECT tail, src, pos, raw, row_number() OVER (PARTITION BY tail ORDER BY src, pos, raw) AS k FROM said), rows5 AS (SELECT tail, string_agg(raw, ',' ORDER BY k) AS raws FROM first5 WHERE k <= 5 GROUP BY 1), into_ AS (SELECT dst AS id, count(*) AS n, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS callers FROM edges GROUP BY 1)
+ SELECT s.id, s.name, coalesce(i.n, 0) AS call_site_count, i.callers, r.raws AS raw_calls FROM symbols s LEFT JOIN into_ i USING (id) LEFT JOIN rows5 r ON r.tail = s.name"""))
 def usages(spark, sf):
     s = st.call_symbols(spark, sf)
     out = resolve.usages(s, st.edges(spark, sf), st.calls(spark, sf), s.select("id"))
-    return out.select("id", "name", "call_site_count", joined("callers").alias("callers"), F.coalesce(F.size("raw_calls"), F.lit(0)).cast("long").alias("raw_calls"))
+    return out.select("id", "name", "call_site_count", joined("callers").alias("callers"), joined("raw_calls").alias("raw_calls"))
 
 
 DOWNSTREAM = with_("symbols", "calls", "edges", body=""", t AS (SELECT id AS target_id, name AS target, file_path AS target_file FROM symbols), meta AS (SELECT p_partkey AS id, p_partkey % 7 = 0 AS is_test FROM part),
@@ -955,24 +955,24 @@ def road_map(spark, sf):
 # streams, run to their end over the table as files
 
 
+def _event_stream(spark, sf):
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table(spark, sf, "events").schema)
+    return changes.file_stream(spark, f"{sf}/events.parquet*", schema)
+
+
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf):
-    e = table(spark, sf, "events")
-    stream = changes.file_stream(spark, f"{sf}/events.parquet*", e.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
-    out = changes.run_to_end(changes.windowed(stream, "ts", "1 day", None, "10 minutes", ["event_type"], "value"), "event_windows", "complete")
+    out = changes.run_to_end(changes.windowed(_event_stream(spark, sf), "ts", "1 day", None, "10 minutes", ["event_type"], "value"), "event_windows", "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def event_sessions(spark, sf):
-    e = table(spark, sf, "events")
-    out = changes.sessions(e, "ts", "2 hours", "10 minutes", ["user_id"])
+    out = changes.run_to_end(changes.sessions(_event_stream(spark, sf), "ts", "2 hours", "10 minutes", ["user_id"]), "event_sessions", "complete")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("SELECT ledger, \"at\", coins, accepted, total_spent FROM (" + SETTLE_SQL + ")")
 def ledger_stream(spark, sf):
-    e = table(spark, sf, "events")
-    stream = changes.file_stream(spark, f"{sf}/events.parquet*", e.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
-    txns = stream.select(F.col("user_id").alias("ledger"), F.col("event_id").alias("at"), (F.col("event_id") % 9 + 1).cast("long").alias("coins"))
+    txns = _event_stream(spark, sf).select(F.col("user_id").alias("ledger"), F.col("event_id").alias("at"), (F.col("event_id") % 9 + 1).cast("long").alias("coins"))
     return changes.run_to_end(changes.ledger_stream(txns), "ledger_stream", "append")

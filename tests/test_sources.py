@@ -1,5 +1,6 @@
 """Trees, histories, caches and streams on the local disk."""
 
+import datetime
 import time
 
 import pytest
@@ -45,21 +46,66 @@ def test_history_tiers(spark):
     assert got == {"a": "pr", "b": "log"}
 
 
-def test_index_stream_keeps_the_newest(spark, tmp_path):
-    schema = "path string, hash string, mtime long"
-    source, cache, seen = str(tmp_path / "in"), str(tmp_path / "cache"), []
-
-    def note(d, _):
-        seen.append(sorted((r["id"], r["status"]) for r in d.collect()))
-
-    for rows in ([("a", "1", 1), ("b", "1", 1)], [("a", "2", 2), ("b", "0", 0), ("c", "1", 2)]):
+def index_batches(spark, tmp_path, batches, buckets, seen=None):
+    schema, source, at = "path string, hash string, mtime long", str(tmp_path / "in"), str(tmp_path / "index")
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         time.sleep(0.01)
-        stream = changes.file_stream(spark, source, schema)
-        changes.index_stream(stream, cache, str(tmp_path / "ck"), schema, seen=note).awaitTermination()
+        changes.index_stream(changes.file_stream(spark, source, schema), at, str(tmp_path / "ck"), schema, seen=seen, buckets=buckets).awaitTermination()
+    return at, schema
+
+
+def test_index_stream_keeps_the_newest(spark, tmp_path):
+    seen = []
+    batches = ([("a", "1", 1), ("b", "1", 1)], [("a", "2", 2), ("b", "0", 0), ("c", "1", 2), (None, "n", 1)])
+    at, schema = index_batches(spark, tmp_path, batches, 1, lambda d, _: seen.append(sorted((r["id"] or "", r["status"]) for r in d.collect())))
     assert seen[0] == [("a", "added"), ("b", "added")]
-    assert seen[1] == [("a", "changed"), ("b", "unchanged"), ("c", "added")]
-    assert {(r["path"], r["hash"]) for r in sources.read_cache(spark, cache, schema, 1).collect()} == {("a", "2"), ("b", "1"), ("c", "1")}
+    assert seen[1] == [("", "added"), ("a", "changed"), ("b", "unchanged"), ("c", "added")]
+    assert {(r["path"], r["hash"]) for r in changes.read_index(spark, at, schema).collect()} == {("a", "2"), ("b", "1"), ("c", "1"), (None, "n")}
+
+
+def test_a_batch_rewrites_the_buckets_that_it_touches(spark, tmp_path):
+    whole = [(f"p{k}", "1", 1) for k in range(400)]
+    at, schema = index_batches(spark, tmp_path, [whole], 8)
+    before = changes.index_places(spark, at)
+    index_batches(spark, tmp_path, [[("p7", "2", 2)]], 8)
+    after = changes.index_places(spark, at)
+    assert len(before) == 8 and sum(before[b] != after[b] for b in after) == 1
+    want = {(p, "2" if p == "p7" else "1") for p, _, _ in whole}
+    assert {(r["path"], r["hash"]) for r in changes.read_index(spark, at, schema).collect()} == want
+    # the same rows again, as after a failure, give the same index
+    index_batches(spark, tmp_path, [[("p7", "2", 2)]], 8)
+    assert {(r["path"], r["hash"]) for r in changes.read_index(spark, at, schema).collect()} == want
+
+
+def test_index_without_batches(spark, tmp_path):
+    assert changes.read_index(spark, str(tmp_path / "none"), "path string, hash string, mtime long").collect() == []
+
+
+def event_files(spark, at, batches, schema):
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at)
+        time.sleep(0.05 if k + 1 < len(batches) else 0)
+    return changes.file_stream(spark, at, schema, per_batch=1)
+
+
+def test_sessions_in_a_running_query_drop_late_rows(spark, tmp_path):
+    schema = "user_id long, ts timestamp_ntz"
+    at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+    batches = [[(1, at(1)), (1, at(1, 30)), (2, at(2))], [(1, at(9)), (2, at(2, 20))], [(4, at(9, 5))], [(1, at(1, 10)), (2, at(23))], [(3, at(23, 59))]]
+    stream = event_files(spark, str(tmp_path / "in"), batches, schema)
+    out = changes.run_to_end(changes.sessions(stream, "ts", "1 hour", "10 minutes", ["user_id"]), "sessions_test", "append", at=str(tmp_path / "out"))
+    got = sorted((r["user_id"], r["start"].hour, r["n"]) for r in out.collect())
+    # the row of 1:10 comes after the mark of 8:50 and is dropped; the last sessions are still open
+    assert got == [(1, 1, 2), (1, 9, 1), (2, 2, 2), (4, 9, 1)]
+
+
+def test_ledger_stream_takes_nulls(spark, tmp_path):
+    schema = "ledger long, at long, coins long"
+    stream = event_files(spark, str(tmp_path / "in"), [[(1, 1, 30), (1, 2, None), (2, 1, 5)], [(1, 3, 20), (1, 4, 10)]], schema)
+    out = changes.run_to_end(changes.ledger_stream(stream), "ledger_test", at=str(tmp_path / "out"))
+    got = sorted((r["ledger"], r["at"], r["coins"], r["accepted"], r["total_spent"]) for r in out.collect())
+    assert got == [(1, 1, 30, True, 30), (1, 2, None, False, 30), (1, 3, 20, False, 30), (1, 4, 10, True, 40), (2, 1, 5, True, 5)]
 
 
 def test_contains_pairs(spark):
