@@ -7,14 +7,19 @@ collect one number a round.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import fixed
 from graphloom.functions.text import is_dynamic
-from graphloom.operators.components import components  # noqa: F401  (an operator of graphs, asked for here)
+from graphloom.operators.components import APART, clean_edges, components, filled  # noqa: F401  (components is an operator of graphs, asked for here)
 from graphloom.sources.shared import ensure_checkpoint_dir
 
+#: Nodes with one edge in from which on chains are taken out before a search without a bound.
+CHAINED = 1_000
+
 
 def callers(edges: DataFrame) -> DataFrame:
     """id and callers: for each target the sorted distinct sources."""
@@ -246,21 +251,71 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return out.union(into)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """id and depth: everything that the seeds lead to, breadth first, each node once at its least depth."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    seen = seeds.select("id").distinct().withColumn("depth", F.lit(0).cast("long")).checkpoint()
-    frontier, depth = seen, 0
+def _reach_by_level(edges: DataFrame, seeds: DataFrame, most: int | None) -> DataFrame:
+    """id and depth, a level a round; what was seen is stored as one table now and then, not each round."""
+    seen = front = seeds.select("id").distinct().withColumn("depth", F.lit(0).cast("long")).checkpoint()
+    depth, apart = 0, 1
     while most is None or depth < most:
         depth += 1
-        step = edges.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth).cast("long")).checkpoint()
-        if not frontier.limit(1).count():
+        step = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        front = step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth).cast("long")).checkpoint()
+        if not filled(front):
             break
-        seen = seen.union(frontier).checkpoint()
+        seen, apart = seen.union(front), apart + 1
+        if apart == APART:
+            seen, apart = seen.checkpoint(), 1
     return seen
 
 
+def hung(up: DataFrame, size: int, watch: Callable[[str], None]) -> DataFrame:
+    """id, root and dist of each node of ``up`` (id, to: the only node before it): the first node before it that has no row, and how far it is.
+
+    By doubling, so in as many rounds as the longest chain has binary digits. Nodes behind a ring have no root and no row.
+    """
+    now = up.select("id", "to", F.lit(1).cast("long").alias("dist")).checkpoint()
+    for _ in range(size.bit_length() + 1):
+        watch("double")
+        then = now.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("dist").alias("more"))
+        step = now.join(then, "to", "left").select("id", F.coalesce("further", "to").alias("to"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("further").isNotNull().alias("moved")).checkpoint()
+        now = step.select("id", "to", "dist")
+        if not filled(step.where("moved")):
+            break
+    return now.join(now.select(F.col("id").alias("to")), "to", "left_anti").select("id", F.col("to").alias("root"), "dist")
+
+
+def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, watch: Callable[[str], None] = lambda step: None) -> DataFrame:
+    """id and depth: everything that the seeds lead to, each node once at its least depth.
+
+    Up to ``most`` levels, a level a round. Without a bound, chains are taken out first: a node with
+    one edge in, from ``to``, is one deeper than ``to``, so it hangs on the first node before it that
+    has several edges in or is a seed. What is left is relaxed with these lengths until no depth falls,
+    and then the chains get theirs. A graph with few such nodes goes level by level at once.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    if most is not None:
+        return _reach_by_level(edges, seeds, most)
+    start = seeds.select("id").distinct()
+    plain = clean_edges(edges)
+    up = plain.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("to")).where("n = 1").select(F.col("dst").alias("id"), "to").join(start, "id", "left_anti").checkpoint()
+    size = up.count()
+    if size < CHAINED or size * 2 < plain.select("dst").distinct().count():
+        return _reach_by_level(edges, start, None)
+    tree = hung(up, size, watch).checkpoint()
+    of = tree.select(F.col("id").alias("src"), "root", "dist")
+    into = plain.join(up.select(F.col("id").alias("dst")), "dst", "left_anti").join(of, "src", "left")
+    arcs = into.select(F.coalesce("root", "src").alias("src"), "dst", (F.coalesce("dist", F.lit(0)) + 1).alias("length")).groupBy("src", "dst").agg(F.min("length").alias("length")).checkpoint()
+    best = front = start.withColumn("depth", F.lit(0).cast("long")).checkpoint()
+    while True:
+        watch("relax")
+        found = arcs.join(front.withColumnsRenamed({"id": "src", "depth": "d"}), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("d") + F.col("length")).alias("new"))
+        front = found.join(best, "id", "left").where("depth is null or new < depth").select("id", F.col("new").alias("depth")).checkpoint()
+        if not filled(front):
+            break
+        best = best.join(front.select("id"), "id", "left_anti").union(front).checkpoint()
+    chained = tree.join(best.withColumnsRenamed({"id": "root"}), "root").select("id", (F.col("depth") + F.col("dist")).alias("depth"))
+    return best.union(chained)
+
+
 def degree(links: DataFrame) -> DataFrame:
     """id and degree: distinct links at either end."""
     distinct = links.select("src", "dst", "type").where("src <> dst").distinct()
@@ -328,28 +383,31 @@ def sibling_order(rows: DataFrame, ranked: DataFrame | None = None) -> DataFrame
     return out.withColumn("position", F.row_number().over(own).cast("long")).select(*rows.columns, "children", "position")
 
 
-def tree_search(rows: DataFrame, needle: str) -> DataFrame:
+def pointers_up(up: DataFrame, watch: Callable[[str], None]) -> list[DataFrame]:
+    """Tables (id, to) from each node of ``up`` (id, to: its parent) to its ancestor 1, 2, 4, ... levels above, as far as there are any."""
+    now = up.where("to is not null").distinct().checkpoint()
+    out, most = [], now.count().bit_length() + 1
+    while filled(now) and len(out) < most:  # parents that go round a ring never run out
+        watch("double")
+        out.append(now)
+        now = now.join(now.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").select("id", F.col("further").alias("to")).checkpoint()
+    return out
+
+
+def tree_search(rows: DataFrame, needle: str, watch: Callable[[str], None] = lambda step: None) -> DataFrame:
     """Rows whose label contains the needle in any case, with all their ancestors; a hit without hits below keeps its subtree.
 
-    A level a round, until no row is left, however deep the tree is.
+    Ancestors and subtrees are found by doubled parent pointers, in as many rounds as the depth has binary digits.
     """
-    hit = rows.where(F.contains(F.lower("label"), F.lit(needle.lower())))
     ensure_checkpoint_dir(rows.sparkSession)
-    keep, up = hit.select("node_id"), hit
-    while True:
-        # only rows that are new go on: shared ancestors once, and a parent that is its own descendant ends
-        parents = up.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct().join(keep, "node_id", "left_anti")
-        up = rows.join(parents, "node_id", "left_semi").checkpoint()
-        if not up.limit(1).count():
-            break
-        keep = keep.union(up.select("node_id")).checkpoint()
-    kept = keep.distinct()
+    hit = rows.where(F.contains(F.lower("label"), F.lit(needle.lower()))).select(F.col("node_id").alias("id")).distinct()
+    pointers = pointers_up(rows.select(F.col("node_id").alias("id"), F.col("parent_id").alias("to")), watch)
+    keep = hit.checkpoint()
+    for p in pointers:
+        keep = keep.union(p.join(keep, "id", "left_semi").select(F.col("to").alias("id"))).distinct().checkpoint()
     # hits with no hit among their descendants: everything below them stays
-    inner = kept.join(rows.select("node_id", "parent_id"), "node_id").select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
-    down = hit.select("node_id").join(inner, "node_id", "left_anti")
-    while True:
-        down = rows.join(down.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").select("node_id").join(kept, "node_id", "left_anti").checkpoint()
-        if not down.limit(1).count():
-            break
-        kept = kept.union(down).checkpoint()
-    return rows.join(kept.distinct(), "node_id", "left_semi")
+    inner = pointers[0].join(keep, "id", "left_semi").select(F.col("to").alias("id")) if pointers else keep.limit(0)
+    below = hit.join(inner, "id", "left_anti").checkpoint()
+    for p in pointers:
+        below = below.union(p.join(below.select(F.col("id").alias("to")), "to", "left_semi").select("id")).distinct().checkpoint()
+    return rows.join(keep.union(below).distinct().withColumnRenamed("id", "node_id"), "node_id", "left_semi")
