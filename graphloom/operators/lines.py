@@ -90,16 +90,18 @@ def source_slice(content: Column | str, start: Column | str, end: Column | str,
 def text_functions(lines: DataFrame, most: int = fixed.DEFINITION_LINES) -> DataFrame:
     """Functions found by their first line: name, path, line_start, line_end, code (``most`` lines at most).
 
-    ``lines`` has language; JavaScript counts as TypeScript. The code is the next lines, from a
-    window over the file.
+    ``lines`` has language; JavaScript counts as TypeScript. The code is the next lines of the file, as
+    far as there are any.
     """
     lang = F.when(F.col("language") == "javascript", "typescript").otherwise(F.col("language"))
     name = F.lit("")
     for k, pattern in fixed.TEXT_FUNCTION.items():
         name = F.when(lang == k, F.regexp_extract("line", pattern, 1)).otherwise(name)
-    ahead = Window.partitionBy("path").orderBy("line_no").rowsBetween(0, most - 1)
-    rows = lines.withColumn("name", name).withColumn("block", F.collect_list("line").over(ahead)).where("name <> ''")
-    return rows.select("name", "path", F.col("line_no").alias("line_start"), (F.col("line_no") + F.size("block") - 1).alias("line_end"), F.array_join("block", "\n").alias("code"))
+    starts = lines.withColumn("name", name).where("name <> ''").select("path", "name", F.col("line_no").alias("line_start"))
+    # a start asks for its lines by number, so only lines of functions come together
+    wanted = starts.withColumn("line_no", F.explode(F.sequence("line_start", F.col("line_start") + (most - 1))))
+    code = wanted.join(lines.select("path", "line_no", "line"), ["path", "line_no"]).groupBy("path", "line_start", "name").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("block"))
+    return code.select("name", "path", "line_start", F.element_at("block", -1)["line_no"].alias("line_end"), F.array_join(F.transform("block", lambda x: x["line"]), "\n").alias("code"))
 
 
 def cross_references(lines: DataFrame, least: int = 4) -> DataFrame:

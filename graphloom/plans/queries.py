@@ -13,6 +13,7 @@ from graphloom.plans import model as model_plan
 from graphloom.plans import standins as st
 from graphloom.plans.standins import table, with_
 from graphloom.sources import files as sources
+from graphloom.sources import history
 from graphloom.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -913,6 +914,37 @@ def revision_fingerprints(spark, sf):
     return sources.revision_fingerprint(rows).select("id", "fingerprint")
 
 
+# the log's text is written from the orders of a customer; SQL says what was written, so the two meet only if the text is read rightly
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k, o_orderkey % 40 + 1 AS start, o_orderkey % 3 AS grown FROM orders),
+ l AS (SELECT * FROM o WHERE k <= 3)
+ SELECT c_name AS symbol_name, CAST(k AS BIGINT) AS revision, left(sha256('c' || o_orderkey), 8) AS commit_sha, o_orderpriority AS author, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 5 = 0 THEN 'Merge pull request #' || o_orderkey || ' from x' ELSE 'order ' || o_orderkey END AS subject, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'why ' || o_orderstatus || chr(10) || chr(10) || 'more' END AS body, start || ',2,' || start || ',' || (2 + grown) AS hunk FROM l JOIN customer ON c_custkey = o_custkey""")
+def line_history(spark, sf):
+    return _line_history(spark, sf).select("symbol_name", F.col("revision").cast("long").alias("revision"), "commit_sha", "author", "date", "subject", "body", F.array_join(F.transform("hunks", lambda h: F.concat_ws(",", h["old_start"], h["old_lines"], h["new_start"], h["new_lines"])), ";").alias("hunk"))
+
+
+def _line_history(spark, sf):
+    o = table(spark, sf, "orders")
+    key, grown, start = F.col("o_orderkey"), F.col("o_orderkey") % 3, F.col("o_orderkey") % 40 + 1
+    subject = F.when(key % 5 == 0, F.concat(F.lit("Merge pull request #"), key, F.lit(" from x"))).otherwise(F.concat(F.lit("order "), key))
+    body = F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("why "), "o_orderstatus", F.lit("\n\nmore")))
+    patch = F.concat(F.lit("\n\ndiff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -"), start, F.lit(",2 +"), start, F.lit(","), grown + 2, F.lit(" @@\n-old line\n+new line\n"))
+    entry = F.concat_ws("\0", F.sha2(F.concat(F.lit("c"), key).cast("binary"), 256), "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd"), subject, F.concat(body, patch))
+    texts = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-key).alias("k"), entry.alias("t")))), lambda x: x["t"]), "\n").alias("log"))
+    c = table(spark, sf, "customer")
+    logs = c.join(texts, c["c_custkey"] == texts["o_custkey"], "left").select(F.col("c_name").alias("symbol_name"), F.lit(20).alias("line_start"), F.lit(45).alias("line_end"), "log")
+    return history.revisions(logs)
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k, o_orderkey % 40 + 1 AS s, o_orderkey % 3 AS g FROM orders),
+ m AS (SELECT o_custkey, max(s) FILTER (k = 1) AS s1, max(g) FILTER (k = 1) AS g1, max(s) FILTER (k = 2) AS s2, max(g) FILTER (k = 2) AS g2 FROM o WHERE k <= 2 GROUP BY 1),
+ a AS (SELECT *, CASE WHEN 20 >= s1 + 2 + g1 THEN 20 - g1 WHEN 20 >= s1 THEN s1 + least(20 - s1, 1) ELSE 20 END AS x1, CASE WHEN 30 >= s1 + 2 + g1 THEN 30 - g1 WHEN 30 >= s1 THEN s1 + least(30 - s1, 1) ELSE 30 END AS y1 FROM m)
+ SELECT c_name AS symbol_name, CAST(x1 AS BIGINT) AS start_1, CAST(y1 AS BIGINT) AS end_1, CAST(CASE WHEN s2 IS NULL THEN -1 WHEN x1 >= s2 + 2 + g2 THEN x1 - g2 WHEN x1 >= s2 THEN s2 + least(x1 - s2, 1) ELSE x1 END AS BIGINT) AS start_2, CAST(CASE WHEN s2 IS NULL THEN -1 WHEN y1 >= s2 + 2 + g2 THEN y1 - g2 WHEN y1 >= s2 THEN s2 + least(y1 - s2, 1) ELSE y1 END AS BIGINT) AS end_2 FROM a JOIN customer ON c_custkey = o_custkey""")
+def line_ranges(spark, sf):
+    r = _line_history(spark, sf).where("revision <= 2")
+    at = lambda c, k: F.coalesce(F.max(F.when(F.col("revision") == k, F.col(c))), F.lit(-1))
+    return r.groupBy("symbol_name").agg(at("start_before", 1).alias("start_1"), at("end_before", 1).alias("end_1"), at("start_before", 2).alias("start_2"), at("end_before", 2).alias("end_2"))
+
+
 @query("""WITH a AS (SELECT c_name AS n, 'pr' || c_nationkey AS t FROM customer WHERE c_acctbal > 5000), b AS (SELECT c_name AS n, 'log' AS t FROM customer) SELECT b.n AS symbol_name, coalesce(a.t, b.t) AS title FROM b LEFT JOIN a USING (n)""")
 def history_tiers(spark, sf):
     c = table(spark, sf, "customer")

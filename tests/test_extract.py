@@ -196,7 +196,7 @@ def test_deep_trees_keep_all_ancestors(spark):
     assert got == {f"n{k}" for k in range(90)} | {"x"}
 
 
-def test_containment_by_automaton_and_by_grams(spark):
+def test_containment_by_one_automaton_and_by_many(spark):
     texts = spark.createDataFrame([(1, "abcabc"), (2, "xyz"), (3, ""), (4, None), (5, "ab\nçd")], "text_id long, text string")
     needles = spark.createDataFrame([("a", "abc"), ("b", "bca"), ("c", "z"), ("d", ""), ("e", None), ("f", "\nç"), ("g", "abc"), ("h", "abcabcabc")], "needle_id string, needle string")
     want = {(1, "a"), (1, "b"), (1, "g"), (2, "c"), (5, "f")}
