@@ -194,3 +194,6 @@ KEYWORDS = (
 TEXT_FUNCTION = {"python": r"^\s*(?:async\s+)?def\s+([a-zA-Z_]\w*)\s*\(", "typescript": r"(?:export\s+)?(?:async\s+)?function\s+([a-zA-Z_]\w*)\s*\(", "go": r"^\s*func\s+(?:\([^)]+\)\s+)?([a-zA-Z_]\w*)\s*\("}
 FAN_IN_WEIGHT, MOST_COMPLEXITY, UNUSUAL_BONUS = 3, 20, 2
 DEFINITION_LINES = 35
+
+# Kinds of nodes of the tree in the order in which they stand under one parent.
+TREE_KINDS = ("module", "folder", "file", "symbol")

@@ -142,14 +142,17 @@ def spread(arcs: DataFrame, seeds: DataFrame, watch: Callable[[str], None]) -> D
             seen, apart = seen.checkpoint(), 1
 
 
-def pivot_component(live: DataFrame, watch: Callable[[str], None]) -> DataFrame:
-    """id, component of the node with the most ways through it: what it leads to and what leads to it."""
+def pivot_component(live: DataFrame, watch: Callable[[str], None]) -> DataFrame | None:
+    """id, component of the node with the most ways through it: what it leads to and what leads to it. None if no node has a way through."""
     out, into = (live.groupBy(F.col(c).alias("id")).agg(F.count("*").alias(n)) for c, n in (("src", "out"), ("dst", "into")))
     pivot = out.join(into, "id").orderBy(F.desc(F.col("out") * F.col("into")), "id").limit(1).select("id").checkpoint()
+    top = pivot.first()
+    if top is None:
+        return None
     arcs = live.withColumn("way", F.lit(0)).unionByName(turned(live).withColumn("way", F.lit(1)))
     seen = spread(arcs, pivot.withColumn("way", F.explode(F.array(F.lit(0), F.lit(1)))), watch)
     both = seen.groupBy("id").agg(F.count("*").alias("n")).where("n = 2")
-    return both.select("id", F.lit(pivot.first()["id"]).cast(live.schema["src"].dataType).alias("component")).checkpoint()
+    return both.select("id", F.lit(top["id"]).cast(live.schema["src"].dataType).alias("component")).checkpoint()
 
 
 def coloured_components(live: DataFrame, watch: Callable[[str], None]) -> DataFrame:
@@ -195,6 +198,8 @@ def components(edges: DataFrame, rounds: int = 1, watch: Callable[[str], None] =
         if not nodes:
             break
         own = pivot_component(live, watch) if first else coloured_components(live, watch)
+        if own is None:
+            break
         first = False
         found = found.unionByName(own)
         gone = own.select("id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import fixed, text
-from graphloom.operators import crawl, delta, extract, graph, insights, lines, report, resolve, ripple
+from graphloom.operators import crawl, delta, extract, graph, insights, lines, payloads, report, resolve, ripple
 from graphloom.sources import files as sources
 from graphloom.sources.shared import ensure_checkpoint_dir
 
@@ -248,18 +248,43 @@ def _documented(m: Model, needle: str, detail: int) -> DataFrame:
     return ripple.documentation(m.symbols.join(hit, "id", "left_semi"))
 
 
+def _context(m: Model, needle: str, detail: int) -> DataFrame:
+    hit = m.context(needle)
+    on = m.flows.select("ord", F.posexplode("path").alias("pos", "id")).join(m.symbols.select("id", "name"), "id")
+    chain = on.groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("chain"))
+    own = hit.select("id", F.posexplode("flows").alias("k", "flow")).select("id", "k", "flow.ord").join(chain, "ord")
+    flows = own.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "chain"))), lambda x: F.struct(F.get(x["chain"], F.lit(0)).alias("entry"), x["chain"].alias("chain"))).alias("flows"))
+    return payloads.context(hit, m.symbols, m.insights(), flows)
+
+
+def _usages(m: Model, needle: str, detail: int) -> DataFrame:
+    hit = m.find(needle).where("status = 'found'").select("id")
+    return payloads.usages(m.symbols.join(hit, "id", "left_semi"), m.symbols, m.edges)
+
+
+def _tree(m: Model, needle: str, detail: int) -> DataFrame:
+    return payloads.tree_view(m.file_meta, m.symbols, m.pivotal, max(1, min(3, detail)))
+
+
+def _dossier(m: Model, needle: str, detail: int) -> DataFrame:
+    """level, cards and the report as one document: its sections are capped tables, whatever the tree's size."""
+    level = max(1, min(3, detail))
+    cards = report.metric_cards(m.stats(), level).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label", "n"))), lambda x: F.struct(x["label"].alias("label"), x["n"].alias("n"))).alias("cards"))
+    return cards.select(F.lit(level).alias("level"), "cards", F.lit(m.dossier(level)).alias("html"))
+
+
 #: Routes by name: functions of the model, a symbol's name and the level of detail.
 ROUTES = {
     "health": _health,
     "stats": lambda m, needle, detail: m.stats(),
     "model": lambda m, needle, detail: m.enriched,
-    "tree": lambda m, needle, detail: graph.sibling_order(m.tree(), m.pivotal),
-    "context": lambda m, needle, detail: m.context(needle),
-    "usages": lambda m, needle, detail: m.usages(needle),
+    "tree": _tree,
+    "context": _context,
+    "usages": _usages,
     "dependencies": lambda m, needle, detail: m.dependencies(),
     "ripple": lambda m, needle, detail: m.ripple(needle),
     "doc": _documented,
     "delta": lambda m, needle, detail: m.manifest(),
     "index": lambda m, needle, detail: m.insights(),
-    "dossier": lambda m, needle, detail: report.metric_cards(m.stats(), detail),
+    "dossier": _dossier,
 }

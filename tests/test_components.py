@@ -41,6 +41,7 @@ def got(spark, edges, **more):
         [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (6, 5)],
         [(1, 2), (1, 2), (2, 1), (None, 1), (1, None), (9, 9)],
         [(1, 2), (2, 3), (3, 4)],
+        [(1, 2), (2, 3), (3, 4), (1, 3), (2, 4), (4, 5), (5, 6)],
         [(k, 100 + k) for k in range(30)] + [(100 + k, k) for k in range(30)],
     ],
 )
