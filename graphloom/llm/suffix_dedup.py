@@ -5,8 +5,9 @@ first of equals. Equal windows have equal anchors at equal places, so only windo
 anchor can be equal. The windows of one place that chose the same anchor make a segment of text.
 Equal segments are counted by digest, first within each task and then over all: every window of a
 segment that occurs twice is repeated, whatever the number of copies. Segments count as equal if two
-independent hashes of 64 bits agree: the polynomial one of the anchor's GRAM bytes, and the XXH64 of the
-whole segment, seeded with its length and the anchor's place. Of segments with a common
+hashes of 64 bits agree, which are not compared with the bytes: the polynomial one, which covers the
+anchor's GRAM bytes only, and the XXH64 of the whole segment, seeded with its length and the anchor's
+place, on which the bytes beside the anchor rest alone. Of segments with a common
 anchor but different text, one copy of each goes to the anchor's shard, since parts of it may be
 equal. All other segments hold no repeated window.
 
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ROW, dropped, ship, stored, swept, with_row
+from graphloom.llm.common import ROW, dropped, joined_evenly, ship, stored, swept, with_row
 from graphloom.llm.decontam import _MIX, _POWERS, mixed
 from graphloom.llm.suffix_sort import Scratch, sorted_suffixes
 from graphloom.llm.textbatch import binary, flat, release, slices, words
@@ -244,12 +245,13 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: i
     shards = F.when(F.col("crowded"), F.array_compact(F.array(left, right))).otherwise(F.array(F.xxhash64("anchor")))
     dealt = fetched.select("anchor", "digest", "bytes", F.explode(shards).alias("shard"))
     partly = shared_parts(dealt.repartition(parts, "shard"), span).groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    whole = groups.where("n > 1").select("anchor", "digest", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("at").bitwiseAND(low).alias("end"))).alias("spans"))
-    known = stored(whole.union(partly.join(whole, ["anchor", "digest"], "left_anti")), "known")
+    whole = groups.where("n > 1").select("anchor", "digest", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("at").bitwiseAND(low).alias("end"))).alias("spans"), "n")
+    # a segment that is known in part only occurs once
+    known = stored(whole.unionByName(partly.join(whole, ["anchor", "digest"], "left_anti").withColumn("n", F.lit(1).cast("long"))), "known")
     dropped(groups)
     spark.sparkContext._jvm.System.gc()  # lets the driver's cleaner drop shuffle files that are done with
     start = F.shiftright("at", 2 * _BITS)
-    hits = found.join(known, ["anchor", "digest"]).select("row", F.transform("spans", lambda s: F.struct((s["start"] + start).alias("start"), (s["end"] + start).alias("end"))).alias("spans"))
+    hits = joined_evenly(found, known, ["anchor", "digest"], "n", found.count()).select("row", F.transform("spans", lambda s: F.struct((s["start"] + start).alias("start"), (s["end"] + start).alias("end"))).alias("spans"))
     out = stored(hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     dropped(found)
     dropped(known)
