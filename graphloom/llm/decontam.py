@@ -1,8 +1,10 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Texts and items become words (runs of letters, marks and digits of any script, lower case) and
-shingles of SHINGLE words. A window as long as an item can be similar to it only if it holds one of
-its shingles, so windows are formed around every such place, and only there. Each window gets a
+shingles of SHINGLE words. A window as long as an item can be as similar as THRESHOLD only if most of
+its shingles are the item's, so windows are formed where so many lie close together as the similarity
+needs in common, and only there; a stem that thousands of items share is looked up once for each length
+of item. Each window gets a
 SimHash of 64 * LANES bits of its weighted shingles, from running sums of the votes. The items of the
 same length stand in a multi-index: fingerprints are cut into BLOCKS blocks of 16 bits, each with its
 buckets by value, and one within RADIUS bits has a block within RADIUS // BLOCKS bits of the window's,
@@ -21,7 +23,7 @@ for each block, so its size is bounded whatever the benchmark's.
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache, reduce
 
@@ -210,10 +212,9 @@ class Items:
         self.weights = [Counter(s.tolist()) for s in self.shingles]
         self.by_k: dict[int, tuple] = {}
         for k in set(self.k):
-            own = [(s, i) for i, x in enumerate(self.shingles) if self.k[i] == k for s in set(x.tolist())]
-            keys, of = np.array([x for x, _ in own], np.uint64), np.array([i for _, i in own], np.int64)
-            order = np.argsort(keys, kind="stable")
-            keys, of = keys[order], of[order]
+            # a shingle that many items share counts once for each length of item
+            own = sorted({(s, self.words[i]) for i, x in enumerate(self.shingles) if self.k[i] == k for s in x.tolist()})
+            keys, of = np.array([x for x, _ in own], np.uint64), np.array([n for _, n in own], np.int64)
             bits = max(16, 4 * len(keys)).bit_length() + 2
             sieve = np.zeros(1 << bits, bool)
             sieve[keys >> np.uint64(64 - bits)] = True
@@ -248,36 +249,51 @@ class Items:
                 continue
             keys, of, _, _ = self.by_k[k]
             lo, hi = np.searchsorted(keys, sh[at], "left"), np.searchsorted(keys, sh[at], "right")
-            place, item = np.repeat(at, hi - lo), of[expand(lo, hi - lo)]
+            place, length = np.repeat(at, hi - lo), of[expand(lo, hi - lo)]
             doc = np.searchsorted(ends, place, side="right")
-            sizes: dict[tuple[int, int], list[int]] = defaultdict(list)
-            length = np.array(self.words)[item]
-            for d, n, p in zip(doc.tolist(), length.tolist(), place.tolist(), strict=True):
-                sizes[d, n].append(p)
-            for (d, n), places in sizes.items():
-                yield from self._windows(d, int(ends[d] - per[d]), int(ends[d]), n, k, sorted(set(places)), sh, threshold)
-
-    def _windows(self, d: int, first: int, end: int, n: int, k: int, places: list[int], sh: np.ndarray, threshold: float):
+            order = np.lexsort((place, length, doc))
+            place, length, doc = place[order], length[order], doc[order]
+            head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (length[1:] != length[:-1])))
+            for a, b in zip(head.tolist(), [*head[1:].tolist(), len(place)], strict=True):
+                d = int(doc[a])
+                yield from self._windows(d, int(ends[d] - per[d]), int(ends[d]), int(length[a]), k, place[a:b], sh, threshold)
+
+    def _windows(self, d: int, first: int, end: int, n: int, k: int, places: np.ndarray, sh: np.ndarray, threshold: float):
+        """The best windows of a text for items of ``n`` words: ``places`` (ascending) are those of shingles that such an item has.
+
+        Only windows are formed in which so many places lie as the similarity needs in common at least,
+        so a stem that many items share forms none by itself.
+        """
         size = min(n, end - first) - k + 1  # shingles of a window; a shorter text is one window
         if size <= 0:
             return
+        need = max(1, int(np.ceil(threshold * (size + n - k + 1) / (1 + threshold) - 1e-9)))
+        if len(places) < need:
+            return
         index, own = self.same_size(k, n)
         best: dict[int, tuple[float, int]] = {}
+        # from the need-th place on, the window that ends there or later begins early enough to hold need places
+        spread = places[need - 1 :] - places[: len(places) - need + 1]
+        near = np.flatnonzero(spread < size)
         a = 0
-        while a < len(places):  # places whose windows touch are taken together
+        while a < len(near):  # places whose windows touch are taken together
             b = a
-            while b + 1 < len(places) and places[b + 1] - places[b] < 2 * size and places[b + 1] - places[a] < 4096:
+            while b + 1 < len(near) and places[near[b + 1]] - places[near[b]] < 2 * size and places[near[b + 1]] - places[near[a]] < 4096:
                 b += 1
-            lo, hi = max(first, places[a] - size + 1), min(end - k + 1 - size, places[b])
+            lo, hi = max(first, int(places[near[a] + need - 1]) - size + 1), min(end - k + 1 - size, int(places[near[b]]))
             a = b + 1
             if hi < lo:
                 continue
+            starts = np.arange(lo, hi + 1)
+            full = np.flatnonzero(np.searchsorted(places, starts + size) - np.searchsorted(places, starts) >= need)
+            if not len(full):
+                continue
             own_sh = sh[lo : hi + size]
             running = np.concatenate([np.zeros((1, 64 * LANES), np.int32), np.cumsum(votes(own_sh), axis=0, dtype=np.int32)])
-            fps = packed(running[size:] - running[:-size])
-            q, f = index.search(fps)
+            q, f = index.search(packed(running[full + size] - running[full]))
             if not len(q):
                 continue
+            q = full[q]
             member = {}
             for j in set(f.tolist()):
                 member[j] = np.append(0, np.cumsum(np.isin(own_sh, np.unique(self.shingles[own[j]]))))
