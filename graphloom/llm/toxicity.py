@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick in folded text.
 
-Folding lowers case, turns look-alike letters of other scripts and full-width forms into Latin
-letters, drops invisible characters, reads digits (and @ $ ! between letters) as the letters they
+Folding takes compatibility forms apart, drops marks, lowers case, turns look-alike letters of other
+scripts into Latin letters, drops invisible characters, reads digits (and @ $ ! between letters) as the letters they
 stand for, and turns everything else that is no letter into a space. The lexicon holds whole words
 and word beginnings that are in toxic texts more often than chance explains, with weights: the log
 ratio of their shares of the words of toxic and of clean texts. Hits inside an exception phrase don't
@@ -15,6 +15,7 @@ Labels are used only to fit; a score depends on the text alone.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -41,35 +42,58 @@ STEMS = (4, 5, 6, 7, 8)
 SHORT, EXCEPT_LEAST = 25, 5
 #: Phrases in which a term is harmless; hits that lie in one don't count.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "take out the trash", "trash collection", "clown fish", "class clown", "sore loser rule", "worthless check", "stupid question")
-# Look-alike letters, digits and signs, and the Latin letters that they stand for.
-GREEK, GREEK_AS = "αβεικνορτυχγ", "abeiknoptuxy"
+# Digits and signs, and the letters that they stand for.
 DIGITS, DIGITS_AS = "0134578", "oieastb"
 SIGNS = {"@": "a", "$": "s", "!": "i"}
 INVISIBLE = "­​‌‍⁠﻿"
+# Letters that look like a Latin one, by script, each before the letter that it looks like.
+ALIKE = {
+    "Greek": "αa βb γy εe ηn ιi κk νv οo ρp τt υu χx ωw",
+    "Cyrillic": "аa вb сc еe ԁd ԍg һh іi јj кk ӏl мm нh оo рp ԛq ѕs тt уy ѵv ԝw хx ьb",
+    "Armenian": "ոn սu օo հh զq ցg յj քf",
+    "Cherokee": "ᎠD ᎡR ᎢT ᎥI ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᎩY ᏀG ᏂH ᏃZ ᏎS ᏚS ᏟC ᏢP ᏤV ᏦK ᏧD ᏞL ᏴB ᏩG ᎾO",
+    "small capitals": "ᴀa ʙb ᴄc ᴅd ᴇe ꜰf ɢg ʜh ɪi ᴊj ᴋk ʟl ᴍm ɴn ᴏo ᴘp ʀr ꜱs ᴛt ᴜu ᴠv ᴡw ʏy ᴢz",
+    "other Latin": "ıi ȷj ɑa ɡg ɩi ſs łl øo đd ħh ŧt ƒf",
+}
+#: Letters in frames that have no decomposition: the first of each row of A to Z.
+FRAMED = (0x1F150, 0x1F170, 0x1F1E6)
+
+
+class Marks(dict):
+    """A translation table that takes marks away, filled as characters come up."""
+
+    def __missing__(self, code: int):
+        return self.setdefault(code, None if unicodedata.category(chr(code))[0] == "M" else code)
 
 
 class Fold(dict):
-    """A translation table, filled as characters come up."""
+    """A translation table of lower-case text, filled as characters come up."""
 
     def __init__(self):
-        super().__init__({ord(a): b for a, b in zip(GREEK + DIGITS, GREEK_AS + DIGITS_AS, strict=True)})
-        self.update({ord(a): b for a, b in {"а": "a", "в": "b", "с": "c", "е": "e", "ԁ": "d", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "ѵ": "v", "х": "x", "ԛ": "q", "ԝ": "w"}.items()})
+        super().__init__({ord(a): b for a, b in zip(DIGITS, DIGITS_AS, strict=True)})
+        self.update({ord(pair[0].lower()): pair[1].lower() for row in ALIKE.values() for pair in row.split()})
+        self.update({first + k: chr(ord("a") + k) for first in FRAMED for k in range(26)})
         self.update({ord(c): None for c in INVISIBLE})
 
     def __missing__(self, code: int):
-        if 0xFF21 <= code <= 0xFF5A:  # full-width letters
-            return self.setdefault(code, chr(code - 0xFEE0).lower())
         c = chr(code)
         self[code] = c if c.isalpha() else " "
         return self[code]
 
 
-_FOLD = Fold()
+_MARKS, _FOLD = Marks(), Fold()
 _SIGN = re.compile(r"(?<=[^\W_])[@$!](?=[^\W_])")
 
 
 def fold(text: str) -> str:
-    """Words of folded letters, spaces between, before and after."""
+    """Words of folded letters, spaces between, before and after.
+
+    Compatibility forms (full-width, mathematical, circled and other letters) are taken apart and marks
+    dropped, so that accented letters are plain ones; case is lowered; then look-alikes and digits are
+    read as the letters that they stand for.
+    """
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).translate(_MARKS)
     text = text.lower()
     if "@" in text or "$" in text or "!" in text:
         text = _SIGN.sub(lambda m: SIGNS[m.group()], text)
@@ -309,6 +333,11 @@ def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``scores`` of ``docs`` by a lexicon fitted to the labelled rows that are not held out.
+
+    Null labels and labels of ids that no document has are left out; of an id with several labels or
+    texts each pair counts; without labels no text scores 0.5; an empty table gives an empty result.
+    """
     return scores(docs, fit(docs, labels))
 
 
