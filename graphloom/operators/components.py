@@ -16,7 +16,8 @@ What a contraction merged may lie on a cycle or not. When all components are kno
 undone, the last first: a merged node is in its root's component if it or a node behind it has an edge
 into that component; these marks go up the trees by the same doubling.
 
-Every round is a checkpointed table and brings one number to the driver. No task holds a graph.
+Every round is a checkpointed table, of measured size where rounds join it with itself (``settled``),
+and brings one number to the driver. No task holds a graph.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.sources.shared import ensure_checkpoint_dir
+from graphloom.sources.shared import ensure_checkpoint_dir, settled
 
 #: A contraction is worth its rounds where at least one node in so many, and so many at least, would go.
 SHARE, LEAST = 64, 16
@@ -74,42 +75,42 @@ def rooted(up: DataFrame, size: int, watch: Callable[[str], None]) -> tuple[Data
 
     A root is a node that has no row. Of a ring the least node is the root, and has no row in the result.
     """
-    now = up.select("id", "to", F.col("id").alias("least")).checkpoint()
+    now = settled(up.select("id", "to", F.col("id").alias("least")))
     pointers = []
     for _ in range(size.bit_length() + 1):
         watch("double")
         pointers.append(now.select("id", "to"))
         then = now.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("least").alias("others"))
-        step = now.join(then, "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.least("least", F.coalesce("others", "least")).alias("least"), F.col("further").isNotNull().alias("moved")).checkpoint()
+        step = settled(now.join(then, "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.least("least", F.coalesce("others", "least")).alias("least"), F.col("further").isNotNull().alias("moved")))
         now = step.select("id", "to", "least")
         if not filled(step.where("moved")):
             return now.select("id", F.col("to").alias("root")), pointers
     # pointers that still move go round a ring, of which they have seen every node
     ring = now.select(F.col("id").alias("to"), F.col("least").alias("ring"))
     out = now.join(ring, "to", "left").select("id", F.coalesce("ring", "to").alias("root")).where("id <> root")
-    return out.checkpoint(), pointers
+    return settled(out), pointers
 
 
 def contracted(edges: DataFrame, nodes: int, watch: Callable[[str], None]) -> tuple[DataFrame, Contraction] | None:
     """Edges between what is left when nodes with one edge in have gone into the node before; None if too few would go."""
-    up = edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("to")).where("n = 1").select(F.col("dst").alias("id"), "to").checkpoint()
+    up = settled(edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("to")).where("n = 1").select(F.col("dst").alias("id"), "to"))
     size = up.count()
     if size < max(LEAST, nodes // SHARE):
         return None
     tree, pointers = rooted(up, size, watch)
     a, b = tree.select(F.col("id").alias("src"), F.col("root").alias("a")), tree.select(F.col("id").alias("dst"), F.col("root").alias("b"))
     # an edge into a tree's node is the tree's own; all others lead to roots
-    moved = edges.join(a, "src", "left").join(b, "dst", "left").where("b is null").select(F.coalesce("a", "src").alias("src"), "dst").distinct().checkpoint()
+    moved = settled(edges.join(a, "src", "left").join(b, "dst", "left").where("b is null").select(F.coalesce("a", "src").alias("src"), "dst").distinct())
     loops = moved.where("src = dst").select(F.col("src").alias("id"))
     return moved.where("src <> dst"), Contraction(edges, tree, pointers, loops)
 
 
 def undone(c: Contraction, known: DataFrame) -> DataFrame:
     """``known`` (id, component) with the merged nodes that are in their root's component, and roots with a loop that are in no other."""
-    known = known.unionByName(c.loops.join(known.select("id"), "id", "left_anti").withColumn("component", F.col("id"))).checkpoint()
+    known = settled(known.unionByName(c.loops.join(known.select("id"), "id", "left_anti").withColumn("component", F.col("id"))))
     out = c.edges.join(c.tree.withColumnRenamed("id", "src"), "src").join(c.tree.select(F.col("id").alias("dst")), "dst", "left_anti")
     of = lambda key, name: known.select(F.col("id").alias(key), F.col("component").alias(name))
-    marked = out.join(of("dst", "there"), "dst").join(of("root", "own"), "root").where("own = there").select(F.col("src").alias("id")).distinct().checkpoint()
+    marked = settled(out.join(of("dst", "there"), "dst").join(of("root", "own"), "root").where("own = there").select(F.col("src").alias("id")).distinct())
     if not filled(marked):
         return known
     for p in c.pointers:
@@ -117,7 +118,7 @@ def undone(c: Contraction, known: DataFrame) -> DataFrame:
         marked = marked.union(above).distinct().checkpoint()
     merged = c.tree.join(marked, "id", "left_semi").join(of("root", "component"), "root").select("id", "component")
     # a merged node with a loop of its own is known already; its root's component holds it now
-    return known.join(merged.select("id"), "id", "left_anti").unionByName(merged).checkpoint()
+    return settled(known.join(merged.select("id"), "id", "left_anti").unionByName(merged))
 
 
 #: Rounds whose nodes are kept apart before they are stored as one.
@@ -162,7 +163,7 @@ def coloured_components(live: DataFrame, watch: Callable[[str], None]) -> DataFr
     while True:
         watch("colour")
         pushed = live.join(colour, live.src == colour.id).groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
-        step = colour.join(pushed, "id", "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")).checkpoint()
+        step = settled(colour.join(pushed, "id", "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")))
         colour = step.select("id", "colour")
         if not filled(step.where("moved")):
             break

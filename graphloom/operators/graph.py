@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import fixed
 from graphloom.functions.text import is_dynamic
 from graphloom.operators.components import APART, clean_edges, components, filled  # noqa: F401  (components is an operator of graphs, asked for here)
-from graphloom.sources.shared import ensure_checkpoint_dir
+from graphloom.sources.shared import ensure_checkpoint_dir, settled
 
 #: Nodes with one edge in from which on chains are taken out before a search without a bound.
 CHAINED = 1_000
@@ -272,11 +272,11 @@ def hung(up: DataFrame, size: int, watch: Callable[[str], None]) -> DataFrame:
 
     By doubling, so in as many rounds as the longest chain has binary digits. Nodes behind a ring have no root and no row.
     """
-    now = up.select("id", "to", F.lit(1).cast("long").alias("dist")).checkpoint()
+    now = settled(up.select("id", "to", F.lit(1).cast("long").alias("dist")))
     for _ in range(size.bit_length() + 1):
         watch("double")
         then = now.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("dist").alias("more"))
-        step = now.join(then, "to", "left").select("id", F.coalesce("further", "to").alias("to"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("further").isNotNull().alias("moved")).checkpoint()
+        step = settled(now.join(then, "to", "left").select("id", F.coalesce("further", "to").alias("to"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("further").isNotNull().alias("moved")))
         now = step.select("id", "to", "dist")
         if not filled(step.where("moved")):
             break
@@ -385,12 +385,12 @@ def sibling_order(rows: DataFrame, ranked: DataFrame | None = None) -> DataFrame
 
 def pointers_up(up: DataFrame, watch: Callable[[str], None]) -> list[DataFrame]:
     """Tables (id, to) from each node of ``up`` (id, to: its parent) to its ancestor 1, 2, 4, ... levels above, as far as there are any."""
-    now = up.where("to is not null").distinct().checkpoint()
+    now = settled(up.where("to is not null").distinct())
     out, most = [], now.count().bit_length() + 1
     while filled(now) and len(out) < most:  # parents that go round a ring never run out
         watch("double")
         out.append(now)
-        now = now.join(now.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").select("id", F.col("further").alias("to")).checkpoint()
+        now = settled(now.join(now.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").select("id", F.col("further").alias("to")))
     return out
 
 

@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 from graphloom.operators import graph
+from graphloom.operators.components import rooted
+from graphloom.sources.shared import ensure_checkpoint_dir
 
 SCHEMA = "src long, dst long"
 
@@ -81,3 +83,13 @@ def test_a_long_chain_goes_without_a_round_a_node(spark):
     edges = [(k, k + 1) for k in range(n)] + [(n, n - 1)]
     assert got(spark, edges, watch=lambda step: rounds.update([step])) == {(n - 1, n - 1), (n, n - 1)}
     assert sum(rounds.values()) < 40
+
+
+def test_sizes_of_doubled_tables_stay_measured(spark):
+    """Each round joins a table with itself; a size estimated from joins would get twice as many digits a round."""
+    ensure_checkpoint_dir(spark)
+    n = 5000
+    up = spark.createDataFrame([(k, (k * 7 + 3) % n) for k in range(n)], "id long, to long")
+    tree, pointers = rooted(up, n, lambda step: None)
+    sizes = [int(str(p._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for p in [*pointers, tree]]
+    assert len(pointers) == n.bit_length() + 1 and max(sizes) < 100 * n
