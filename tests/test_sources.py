@@ -6,6 +6,7 @@ import time
 import pytest
 from graphloom.functions import text
 from graphloom.operators import matching
+from graphloom.plans import queries as plans
 from graphloom.sources import files as sources
 from graphloom.streaming import changes
 from pyspark.sql import functions as F
@@ -130,3 +131,12 @@ def test_globs_and_paths(spark):
     assert [r[0] for r in rows.select(text.glob_match("path", ["*.py", "x.*"])).collect()] == [True, False, True]
     assert [r[0] for r in rows.select(text.language("path")).collect()] == ["python", "go", "typescript"]
     assert [r[0] for r in rows.select(text.module_key("path")).collect()] == ["a", "a", "root"]
+
+
+def test_theta_contains_reads_texts_once(spark, sf_dir, monkeypatch):
+    """The benchmark has fewer characters than a shard holds, so the query makes one automaton."""
+    shards = []
+    plain = matching._with_automaton
+    monkeypatch.setattr(matching, "_with_automaton", lambda texts, shard, schema, kept: shards.append(len(shard)) or plain(texts, shard, schema, kept))
+    plans.QUERIES["theta_contains"](spark, sf_dir)
+    assert len(shards) == 1
