@@ -9,7 +9,9 @@ hashes of 64 bits agree, which are not compared with the bytes: the polynomial o
 anchor's GRAM bytes only, and the XXH64 of the whole segment, seeded with its length and the anchor's
 place, on which the bytes beside the anchor rest alone. Of segments with a common
 anchor but different text, one copy of each goes to the anchor's shard, since parts of it may be
-equal. All other segments hold no repeated window.
+equal. All other segments hold no repeated window. In the shard a segment is cut to the windows that
+can be equal to another's: KERNELS groups of them, by the bytes before the anchor, each have a string
+in common, a little shorter than SPAN, which must stand in another segment at that place too.
 
 Sorting. A shard's segments are one text with separators, whose suffixes are sorted by external
 induced sorting (``suffix_sort``). Two neighbours with a common prefix of SPAN bytes or more are
@@ -26,6 +28,7 @@ shared with a chance of one in 255 ** CODE).
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -98,6 +101,8 @@ PLACES = "row long, at long, anchor long, digest long"
 _BITS = 12
 #: An anchor with more different segments than this is dealt out by the bytes beside it.
 CROWD = 256
+#: Groups of a segment's windows that are told apart before the sort.
+KERNELS = 16
 
 
 def places(docs: DataFrame, span: int, gram: int) -> DataFrame:
@@ -172,7 +177,8 @@ def repeated_in(texts: Iterable[bytes], span: int = SPAN, memory: int = MEMORY,
         out = []
         for a, n in zip(first.tolist(), size.tolist(), strict=True):
             hit = np.flatnonzero(repeated[a : a + max(0, n - span + 1)])
-            out.append(joined(hit, hit + span))
+            whole = len(hit) and hit[-1] - hit[0] <= span  # one run, as in all segments
+            out.append([(int(hit[0]), int(hit[-1]) + span)] if whole else joined(hit, hit + span))
         return out
     finally:
         scratch.close()
@@ -188,24 +194,84 @@ def joined(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[head].tolist(), end[np.append(head[1:], len(start)) - 1].tolist(), strict=True))
 
 
-def shared_parts(wanted: DataFrame, span: int) -> DataFrame:
-    """(anchor, digest, spans) of the segments (anchor, digest, bytes) of each shard."""
+def kernels(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, span: int, gram: int) -> np.ndarray:
+    """For each segment, a row of hashes of the bytes that its windows of KERNELS groups have in common; 0 for no window.
+
+    A group has the windows whose bytes before the anchor are of about the same number. Each of them
+    holds the bytes from the fewest before the anchor to the fewest behind it, so equal windows have
+    equal hashes.
+    """
+    low, high, before, behind = grouped(np.diff(offsets), place, span, gram)
+    up, down = _POWERS.get(len(data))
+    sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up))
+    at = (offsets[:-1] + place)[:, None]
+    there = low <= high
+    start, end = np.where(there, at - before, 0), np.where(there, at + gram + behind, 0)
+    value = mixed((sums[end] - sums[start]) * down[np.minimum(start, len(data) - 1)] + np.arange(len(before)).astype(np.uint64) * _MIX)
+    return np.where(there, np.maximum(value, np.uint64(1)), np.uint64(0))
+
+
+def grouped(size: np.ndarray, place: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last start of each segment's windows of each group (first > last: none), and the group's fewest bytes before and behind the anchor."""
+    step = -(-(span - gram + 1) // KERNELS)
+    before = np.arange(0, span - gram + 1, step)
+    most = np.minimum(before + step - 1, span - gram)
+    low = np.maximum(place[:, None] - most, 0)
+    high = np.minimum(place[:, None] - before, (size - span)[:, None])
+    return low, high, before, span - gram - most
+
+
+def shared_windows(size: np.ndarray, place: np.ndarray, kernel: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the windows of each segment in groups whose hash another segment has too (first > last: none)."""
+    low, high, _, _ = grouped(size, place, span, gram)
+    _, which, copies = np.unique(kernel, return_inverse=True, return_counts=True)
+    shared = (copies[which].reshape(kernel.shape) > 1) & (kernel != 0)
+    return np.where(shared, low, span).min(axis=1), np.where(shared, high, -1).max(axis=1)
+
+
+def shared_parts(wanted: DataFrame, span: int, gram: int) -> DataFrame:
+    """(anchor, digest, spans) of the segments (anchor, digest, place, bytes) of each shard.
+
+    Of a segment only the windows go to the sort whose group has the same hash in another segment
+    of the shard; no other window can be equal to one of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         own: dict[tuple[int, int], None] = {}  # in order; both sides of a crowded segment may be here
-
-        def texts() -> Iterator[bytes]:
-            for batch in batches:
-                for key, text in zip(zip(batch.column("anchor").to_pylist(), batch.column("digest").to_pylist(), strict=True), batch.column("bytes"), strict=True):
+        size, place, kernel = [], [], []
+        with tempfile.TemporaryFile() as held:
+            for batch in slices(batches, "bytes", PLACE_BYTES):
+                fresh = []
+                for k, key in enumerate(zip(batch.column("anchor").to_pylist(), batch.column("digest").to_pylist(), strict=True)):
                     if key not in own:
                         own[key] = None
-                        yield text.as_py()
-
-        spans = repeated_in(texts(), span)
-        anchor, digest = np.array(list(own), np.int64).reshape(-1, 2).T
-        hit = [k for k, s in enumerate(spans) if s]
-        rows = pa.array([[{"start": a, "end": b} for a, b in spans[k]] for k in hit], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                        fresh.append(k)
+                if not fresh:
+                    continue
+                batch = batch.take(pa.array(fresh))
+                data, offsets = flat(batch.column("bytes"))
+                held.write(data)
+                size.append(np.diff(offsets))
+                place.append(batch.column("place").to_numpy().astype(np.int64))
+                kernel.append(kernels(data, offsets, place[-1], span, gram))
+            if not own:
+                return
+            size = np.concatenate(size)
+            first, last = shared_windows(size, np.concatenate(place), np.concatenate(kernel), span, gram)
+            hit = np.flatnonzero(first <= last)
+
+            def texts() -> Iterator[bytes]:
+                at = np.cumsum(size) - size + first
+                for k in hit.tolist():
+                    held.seek(int(at[k]))
+                    yield held.read(int(last[k] - first[k]) + span)
+
+            spans = repeated_in(texts(), span)
+        anchor, digest = np.array(list(own), np.int64).T
+        some = [k for k, s in enumerate(spans) if s]
+        hit = hit[some]
+        rows = pa.array([[{"start": a + own, "end": b + own} for a, b in spans[k]] for k, own in zip(some, first[hit].tolist(), strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         yield pa.record_batch([pa.array(anchor[hit]), pa.array(digest[hit]), rows], names=["anchor", "digest", "spans"])
 
     return wanted.mapInArrow(run, "anchor long, digest long, spans array<struct<start:long,end:long>>")
@@ -243,8 +309,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: i
     left = F.when(F.col("place") >= half, F.xxhash64(F.lit("left"), "anchor", F.expr(f"substring(bytes, place + 1 - {half}, {half})")))
     right = F.when(F.octet_length("bytes") >= F.col("place") + gram + half, F.xxhash64(F.lit("right"), "anchor", F.expr(f"substring(bytes, place + {gram} + 1, {half})")))
     shards = F.when(F.col("crowded"), F.array_compact(F.array(left, right))).otherwise(F.array(F.xxhash64("anchor")))
-    dealt = fetched.select("anchor", "digest", "bytes", F.explode(shards).alias("shard"))
-    partly = shared_parts(dealt.repartition(parts, "shard"), span).groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    dealt = fetched.select("anchor", "digest", "place", "bytes", F.explode(shards).alias("shard"))
+    partly = shared_parts(dealt.repartition(parts, "shard"), span, gram).groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     whole = groups.where("n > 1").select("anchor", "digest", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("at").bitwiseAND(low).alias("end"))).alias("spans"), "n")
     # a segment that is known in part only occurs once
     known = stored(whole.unionByName(partly.join(whole, ["anchor", "digest"], "left_anti").withColumn("n", F.lit(1).cast("long"))), "known")

@@ -80,6 +80,12 @@ class Queue:
     def push(self, c: int, pos: np.ndarray, lcp: np.ndarray) -> None:
         self.add(c, paired(pos, lcp))
 
+    def put(self, c: np.ndarray, head: np.ndarray, end: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
+        """Tuples ``head`` to ``end`` of those given, for each character of ``c``."""
+        pairs = paired(pos, lcp)
+        for own, a, b in zip(c.tolist(), head.tolist(), end.tolist(), strict=True):
+            self.add(own, pairs[a:b].copy())
+
     def add(self, c: int, block: np.ndarray) -> None:
         self.blocks[c].append(block)
         self.held += len(block)
@@ -102,12 +108,13 @@ class Queue:
     def _read(name: str, at: int, n: int) -> np.ndarray:
         return np.fromfile(name, PAIR, n, offset=at * PAIR.itemsize)
 
-    def pop(self, c: int) -> Iterator[np.ndarray]:
+    def pop(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         while self.files[c] or self.blocks[c]:
             if self.files[c]:
                 name, size = self.files[c].pop(0)
                 for at in range(0, size, BLOCK):
-                    yield self._read(name, at, min(BLOCK, size - at))
+                    block = self._read(name, at, min(BLOCK, size - at))
+                    yield block["pos"], block["lcp"]
                 Path(name).unlink()
                 continue
             # join small blocks; what is pushed while they are worked on comes after them
@@ -115,25 +122,56 @@ class Queue:
             block = one(taken)
             self.held -= len(block)
             for at in range(0, len(block), BLOCK):
-                yield block[at : at + BLOCK]
+                yield block["pos"][at : at + BLOCK], block["lcp"][at : at + BLOCK]
 
-    def backwards(self, c: int) -> Iterator[np.ndarray]:
+    def backwards(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for block in reversed(self.blocks[c]):
             for at in range(len(block), 0, -BLOCK):
-                yield block[max(0, at - BLOCK) : at][::-1]
+                part = block[max(0, at - BLOCK) : at][::-1]
+                yield part["pos"], part["lcp"]
         self.held -= sum(map(len, self.blocks[c]))
         self.blocks[c] = []
         for name, size in reversed(self.files[c]):
             for at in range(size, 0, -BLOCK):
-                yield self._read(name, max(0, at - BLOCK), min(BLOCK, at))[::-1]
+                part = self._read(name, max(0, at - BLOCK), min(BLOCK, at))[::-1]
+                yield part["pos"], part["lcp"]
             Path(name).unlink()
         self.files[c] = []
 
 
+class Buckets:
+    """The queue of a text whose tuples fit in memory: an array with as many places for a character as the text has of it.
+
+    Tuples stay when they are popped, so that ``backwards`` gives them all.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        end = np.cumsum(counts)
+        self.first = end - counts
+        self.head, self.tail = self.first.copy(), self.first.copy()
+        self.pos, self.lcp = np.empty(int(end[-1]), np.int32 if end[-1] < 1 << 31 else np.int64), np.empty(int(end[-1]), np.uint16)
+
+    def put(self, c: np.ndarray, head: np.ndarray, end: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
+        to = np.arange(len(pos)) + np.repeat(self.tail[c] - head, end - head)
+        self.pos[to], self.lcp[to] = pos, lcp
+        self.tail[c] += end - head
+
+    def pop(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        while self.head[c] < self.tail[c]:
+            a = self.head[c]
+            self.head[c] = b = min(self.tail[c], a + BLOCK)
+            yield self.pos[a:b], self.lcp[a:b]
+
+    def backwards(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in range(int(self.tail[c]), int(self.first[c]), -BLOCK):
+            a = max(int(self.first[c]), b - BLOCK)
+            yield self.pos[a:b][::-1], self.lcp[a:b][::-1]
+
+
 class Inducer:
     """Takes suffixes in order and pushes their predecessors, with the common prefixes between them."""
 
-    def __init__(self, text: np.ndarray, queue: Queue, cap: int, characters: int = 256):
+    def __init__(self, text: np.ndarray, queue: Queue | Buckets, cap: int, characters: int = 256):
         self.text, self.queue, self.cap = text, queue, cap
         self.least = np.full(characters, INF, np.uint16)  # of the common prefixes since the last push
         self.begun = np.zeros(characters, bool)
@@ -153,23 +191,22 @@ class Inducer:
             np.minimum(self.least, whole, out=self.least)
             return
         head = np.append(True, into[1:] != into[:-1])
+        start = np.flatnonzero(head)
         left = np.where(head, 0, np.append(0, at[:-1] + 1))
         low = self._range(table, left, at)
         first = into[head]
         low[head] = np.minimum(low[head], self.least[first])
         new = np.minimum(low.astype(np.int32) + 1, self.cap).astype(np.uint16)
         new[low == INF] = INF
-        new[np.flatnonzero(head)[~self.begun[first]]] = 0
+        new[start[~self.begun[first]]] = 0
         np.minimum(self.least, whole, out=self.least)
-        ends = np.append(np.flatnonzero(head)[1:], len(at))
+        ends = np.append(start[1:], len(at))
         last = at[ends - 1]
         rest = np.full(len(last), INF, np.uint16)
         more = last + 1 < n
         rest[more] = self._range(table, last[more] + 1, np.full(int(more.sum()), n - 1))
         self.least[first], self.begun[first] = rest, True
-        pairs = paired(pos[at] - 1, new)
-        for c, a, b in zip(first.tolist(), np.flatnonzero(head).tolist(), ends.tolist(), strict=True):
-            self.queue.add(c, pairs[a:b].copy())
+        self.queue.put(first, start, ends, pos[at] - 1, new)
 
     @staticmethod
     def _range(table: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -191,46 +228,45 @@ def induced(text: np.ndarray, seeds: Queue, cap: int, scratch: Scratch) -> Itera
     ``seeds`` has the LMS suffixes in order, by character. The text ends before a smallest end mark.
     """
     n = len(text)
-    large, done = Queue(scratch), Queue(scratch)
+    counts = np.bincount(text, minlength=256) if n <= scratch.memory else None
+    large = Queue(scratch) if counts is None else Buckets(counts)
+    done = Queue(scratch) if counts is None else large
     up = Inducer(text, large, cap)
     up.feed(np.array([n]), np.zeros(1, np.uint16), np.zeros(1, np.int64), np.asarray(text[n - 1 : n]))
     for c in range(256):
         last = None
-        for block in large.pop(c):
-            pos, lcp = block["pos"], block["lcp"]
+        for pos, lcp in large.pop(c):
             last = int(pos[-1])
-            done.push(c, pos, lcp)
+            if done is not large:
+                done.push(c, pos, lcp)
             before = text[np.maximum(pos - 1, 0)]
             chosen = np.flatnonzero((before >= c) & (pos > 0))
             up.feed(pos, lcp, chosen, before[chosen])
-        for block in seeds.pop(c):
-            pos, lcp = block["pos"], block["lcp"].copy()
+        for pos, lcp in seeds.pop(c):
             if last is not None:
-                lcp[0] = min(runs_at(text, last, cap), runs_at(text, int(pos[0]), cap))
+                lcp = np.append(np.uint16(min(runs_at(text, last, cap), runs_at(text, int(pos[0]), cap))), lcp[1:])
                 last = None
             before = text[np.maximum(pos - 1, 0)]
             chosen = np.flatnonzero(pos > 0)
             up.feed(pos, lcp, chosen, before[chosen])
-    small = Queue(scratch)
+    small = Queue(scratch) if counts is None else Buckets(counts)
     down = Inducer(text, small, cap)
     for c in range(255, -1, -1):
         last = None
-        for block in small.pop(c):
-            pos, lcp = block["pos"], block["lcp"]
+        for pos, lcp in small.pop(c):
             last = int(pos[-1])
             before = text[np.maximum(pos - 1, 0)]
             chosen = np.flatnonzero((before <= c) & (pos > 0))
             down.feed(pos, lcp, chosen, before[chosen])
             yield pos, lcp, c, True
         carried = None  # an L tuple holds its common prefix with the smaller one: shift by one
-        for block in done.backwards(c):
-            pos = block["pos"]
+        for pos, above in done.backwards(c):
             if carried is None:
                 head = 0 if last is None else min(runs_at(text, last, cap), runs_at(text, int(pos[0]), cap))
             else:
                 head = carried
-            lcp = np.append(np.uint16(head), block["lcp"][:-1])
-            carried = int(block["lcp"][-1])
+            lcp = np.append(np.uint16(head), above[:-1])
+            carried = int(above[-1])
             before = text[np.maximum(pos - 1, 0)]
             chosen = np.flatnonzero((before < c) & (pos > 0))
             down.feed(pos, lcp, chosen, before[chosen])
@@ -264,6 +300,45 @@ def lms_positions(text: np.ndarray, scratch: Scratch) -> np.ndarray:
     return out[first:]
 
 
+def named(text: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Names of the substrings between LMS positions, in their order, of a text in memory.
+
+    A character counts with its type, the smaller suffix first; so no substring begins another. Six
+    of them make a number; where numbers are equal and the substrings go on, the next six decide.
+    """
+    n, m, width = len(text), len(lms), 6
+    y = np.append(text[1:].astype(np.int16), -1)
+    settled = text != y
+    small = text < y
+    at = np.where(settled, np.arange(n, dtype=np.int32), n)
+    small = small[np.minimum.accumulate(at[::-1])[::-1]]
+    code = np.zeros(n + width, np.uint64)  # the end mark and what follows it: zero
+    code[:n] = 2 * text.astype(np.uint64) + small + np.uint64(1)
+    size = np.append(lms[1:] + 1, n + 1) - lms
+
+    def number(own: np.ndarray, done: int) -> np.ndarray:
+        out, start, left = np.zeros(len(own), np.uint64), lms[own] + done, size[own] - done
+        for k in range(width):
+            out = (out << np.uint64(10)) | np.where(left > k, code[np.minimum(start + k, n)], np.uint64(0))
+        return out
+
+    live, done = np.arange(m), 0
+    rank = np.zeros(m, np.int64)  # the number of substrings that are smaller as far as they were read
+    while len(live):
+        value, old = number(live, done), rank[live]
+        order = np.lexsort((value, old)) if done else np.argsort(value)
+        value, old = value[order], old[order]
+        fresh = np.append(True, old[1:] != old[:-1])
+        place = np.arange(len(live))
+        step = np.maximum.accumulate(np.where(np.append(True, value[1:] != value[:-1]) | fresh, place, 0))
+        live = live[order]
+        rank[live] = old + step - np.maximum.accumulate(np.where(fresh, place, 0))
+        done += width
+        alone = np.append(step[1:] != step[:-1], True) & (step == place)
+        live = live[~alone & (size[live] > done)]
+    return rank
+
+
 def lcp_of(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix lengths of the suffixes at ``a`` and ``b``, up to ``cap``."""
     n = len(text)
@@ -302,7 +377,7 @@ def doubled(names: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]
         inside = loose + h < m
         follow[inside] = rank[loose[inside] + h]
         key = rank[loose] * (m + 2) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         own = rank[loose[order]]
         # ranks leave room: an element's rank is 1 + the number of smaller ones
@@ -462,8 +537,8 @@ def sorted_suffixes(text: np.ndarray, depth: int, scratch: Scratch, base: int =
                 queue.push(c, pos[own], value[own])
         return queue
 
-    if m > 1:
-        # name the substrings between LMS positions: seeds of one character count as equal
+    def swept_names() -> np.ndarray:
+        """Names of the substrings between LMS positions: seeds of one character count as equal."""
         spot = scratch.array(n + 1, np.int32 if n < 1 << 31 else np.int64)
         for a in range(0, m, BLOCK):
             spot[lms[a : a + BLOCK]] = np.arange(a + 1, min(m, a + BLOCK) + 1)
@@ -480,12 +555,16 @@ def sorted_suffixes(text: np.ndarray, depth: int, scratch: Scratch, base: int =
             if len(hit):
                 steps = (breaks[hit + 1] - np.append(0, breaks[hit[:-1] + 1])) > 0
                 steps[0] |= fresh
-                named = name - np.cumsum(steps)
-                names[at[hit] - 1] = named
-                name = int(named[-1])
+                falling = name - np.cumsum(steps)
+                names[at[hit] - 1] = falling
+                name = int(falling[-1])
                 fresh = bool(breaks[-1] - breaks[hit[-1] + 1])
             else:
                 fresh = fresh or bool(breaks[-1])
+        return names
+
+    if m > 1:
+        names = named(np.asarray(text), lms) if n <= scratch.memory else swept_names()
         order, ranks = order_of_names(names, depth, scratch, base)
         lcp = neighbours(text, lms, order, ranks, depth, scratch)
     else:

@@ -468,6 +468,53 @@ def test_suffix_sort_keeps_long_arrays_in_files(monkeypatch):
     assert got[got < len(raw)].tolist() == sorted(range(len(raw)), key=lambda i: raw[i:], reverse=True)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 255), st.integers(1, 15)), min_size=1, max_size=40), st.lists(st.integers(1, 20), max_size=3))
+def test_suffix_order_with_long_runs_in_and_out_of_memory(runs, again):
+    text = np.array([c for c, n in runs for _ in range(n)], np.uint8)
+    text = np.concatenate([text, *(text[k:] for k in again)])
+    got = []
+    for memory in (1 << 20, 60):
+        scratch = suffix_sort.Scratch(memory)
+        got.append([int(x) for p, _ in suffix_sort.sorted_suffixes(text, len(text), scratch, 8 if memory == 60 else memory) for x in p])
+        scratch.close()
+    raw = text.tobytes()
+    want = sorted(range(len(raw)), key=lambda i: raw[i:], reverse=True)
+    assert [[x for x in g if x < len(raw)] for g in got] == [want, want]
+
+
+class Batches:
+    def __init__(self, batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, schema):
+        return [r for b in run(iter(self.batches)) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize(("span", "gram"), [(400, 200), (102, 51), (40, 20), (21, 20)])
+def test_only_windows_that_can_be_equal_are_sorted(span, gram, monkeypatch):
+    rng = np.random.default_rng(span)
+    side, byte = span - gram, lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    anchor, left, right = byte(gram), byte(side), byte(side)
+    rows = []  # place of the anchor, bytes
+    for _ in range(120):
+        a, b = int(rng.integers(0, side + 1)), int(rng.integers(0, side + 1))
+        before, after = byte(side - a) + left[side - a :], right[:b] + byte(side - b)
+        cut = int(rng.integers(0, side + 1))
+        rows.append((side - cut, before[cut:] + anchor + after[: side - int(rng.integers(0, side - cut + 1))]))
+    rows = [r for r in dict.fromkeys(rows) if len(r[1]) >= span]
+    rows += [(side, byte(side) + byte(gram) + byte(side)) for _ in range(200)]
+    batches = [pa.RecordBatch.from_pylist([{"anchor": 0, "digest": k, "place": p, "bytes": t} for k, (p, t) in enumerate(rows[at : at + 50], at)], pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("place", pa.int32()), ("bytes", pa.binary())])) for at in range(0, len(rows), 50)]
+    want = {k: s for k, s in enumerate(runs_by_force([t for _, t in rows], span)) if s}
+    taken, whole = [], suffix_dedup.repeated_in
+    monkeypatch.setattr(suffix_dedup, "repeated_in", lambda texts, *a: taken.extend(texts) or whole(taken, *a))
+    monkeypatch.setattr(suffix_dedup, "release", lambda: None)
+    found = suffix_dedup.shared_parts(Batches(batches + batches[:1]), span, gram)
+    assert {r["digest"]: [(s["start"], s["end"]) for s in r["spans"]] for r in found} == want and want
+    assert len(taken) < 120 and sum(map(len, taken)) < sum(len(t) for _, t in rows[:-200])
+    assert suffix_dedup.shared_parts(Batches([]), span, gram) == []
+
+
 def test_scratch_files_go(tmp_path, monkeypatch):
     monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
     suffix_dedup.repeated_in([b"abcabcabc" * 50, b"xabcabcabc" * 30], 20, 64, 8)
